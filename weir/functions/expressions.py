@@ -64,8 +64,8 @@ def label_text(col: str | Column, data_type: str) -> Column:
     whole, frac = F.regexp_extract(text, part, 1), F.regexp_extract(text, part, 2)
     shift = F.coalesce(F.regexp_extract(text, part, 3).try_cast("int"), F.lit(0))
     all_digits = F.concat(whole, frac)
-    lead = F.length(all_digits) - F.length(F.ltrim(F.lit("0"), all_digits))
-    digits = F.trim(F.lit("0"), all_digits)
+    lead = F.length(all_digits) - F.length(F.ltrim(all_digits, F.lit("0")))
+    digits = F.trim(all_digits, F.lit("0"))
     point = F.length(whole) + shift - lead
     exponent = point - 1
     tail = F.substr(digits, F.lit(2))
