@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     project_queries,
     sequence_queries,
     source_queries,
+    stream_queries,
 )
 from .registry import QUERIES, SQL
 
