@@ -55,7 +55,7 @@ from .operators.samplers import (
     with_poisson,
     with_zipf,
 )
-from .operators.sequence import every_nth, queue_peek, queue_pops, sync, toggle
+from .operators.sequence import every_nth, fire_at_ticks, queue_peek, queue_pops, sync, toggle
 from .sinks.writers import batch_payloads, bulk_docs, publish, show_messages, write_messages
 from .sources.messages import (
     csv_records,

@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     aggregate_queries,
     join_queries,
+    pattern_queries,
     project_queries,
     sequence_queries,
     source_queries,

@@ -57,12 +57,14 @@ SELECT t // {HOUR} * {HOUR} AS t_us, count(*) AS size, min(event_id) AS first, m
 FROM e WHERE t // {HOUR} * {HOUR} + {HOUR} <= {LATEST_MS} GROUP BY 1
 """)
 def _(spark, d):
-    out = pack_by_interval_stream(stream(spark, d).select("ts", "event_id"), "1h", "ts", "event_id")
-    packs = run_available(out, "tumbling")
-    ids = F.col("Pack.event_id")
-    return packs.select(us("start"), F.size(ids).cast("bigint").alias("size"),
-                        F.get(ids, F.lit(0)).alias("first"),
-                        F.get(ids, F.size(ids) - 1).alias("last"))
+    ids = stream(spark, d).select("ts", "event_id")
+    packs = run_available(pack_by_interval_stream(ids, "1h", "ts", "event_id", parts=4), "tumbling")
+    pack = F.col("Pack.event_id")
+    return packs.groupBy(us("start")).agg(
+        F.sum(F.size(pack)).cast("bigint").alias("size"),
+        F.min(F.get(pack, F.lit(0))).alias("first"),
+        F.max(F.get(pack, F.size(pack) - 1)).alias("last"),
+    )
 
 
 @query("stream_session", f"""

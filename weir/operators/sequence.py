@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.duration import parse_duration
+from ..functions.duration import interval_micros, parse_duration, window_micros
 from ..functions.expressions import as_col, micros
 from ..plans.ordering import with_index
 from ..plans.streams import Stream, arrival, of_stream, require_id
@@ -33,10 +34,9 @@ def sync(
         })
     )
     if positions:
-        order = ["release", "_own", require_id(df, id)]
+        order = ["_release_us", "_own", require_id(df, id)]
         out = out.withColumn("_release_us", micros("release"))
-        out = with_index(out, ["_release_us", *order[1:]], "pos", rows_per_chunk)
-        out = out.drop("_release_us")
+        out = with_index(out, order, "pos", rows_per_chunk).drop("_release_us")
     return out.drop("_own")
 
 
@@ -113,3 +113,49 @@ def every_nth(
     scan = arrival(Stream(df, ts, require_id(df, id)), rows_per_chunk=rows_per_chunk)
     scan = scan.scan(_n=("sum", F.lit(1))).df
     return of_stream(scan.where(F.col("_n") % n == 0), 0)
+
+
+def fire_at_ticks(
+    df: DataFrame, key: str, threshold: int, tick: str, window: str, ts: str = "ts"
+) -> DataFrame:
+    """A counter per key that is polled at every ``tick`` and cleared by firing: ``key``, ``at``,
+    ``Count`` for each poll at which at least ``threshold`` messages of the last ``window`` have come
+    since the last firing.
+
+    Firing feeds back into the count, so a key's polls must be taken one after the other. Its messages
+    are first added up per tick on the map side: a task gets at most two rows per key and tick, however
+    many messages there are. The window must be a whole number of ticks.
+    """
+    step, width = interval_micros(tick), window_micros(window)
+    if width % step:
+        raise ValueError("the window must be a whole number of ticks")
+    span = width // step
+    us = micros(ts)
+    # Messages at a tick are live one poll longer than those between two ticks.
+    counts = df.select(
+        F.col(key).alias("key"), F.ceil(us / F.lit(step)).alias("_tick"),
+        (F.pmod(us, F.lit(step)) == 0).alias("_exact"),
+    ).where(F.col("key").isNotNull() & F.col("_tick").isNotNull()).groupBy(
+        "key", "_tick", "_exact"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    kind = counts.schema["key"].dataType.simpleString()
+
+    def fire(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out, live, total = [], [], 0  # live: [first poll that no longer sees it, count]
+        by_tick = {t: g for t, g in rows.groupby("_tick")}
+        todo = sorted(by_tick)
+        for t in todo:
+            kept = [x for x in live if x[0] > t]
+            for r in by_tick[t].itertuples(index=False):
+                kept.append((t + span + int(r[2]), int(r[3])))
+            live, total = kept, sum(n for _, n in kept)
+            # The count only grows where messages arrive, so these are the only polls that can fire.
+            if total >= threshold:
+                out.append((keys[0], t, float(total)))
+                live = []
+        return pd.DataFrame(out, columns=["key", "tick", "Count"])
+
+    fired = counts.groupBy("key").applyInPandas(fire, f"key {kind}, tick bigint, Count double")
+    return fired.select(
+        "key", F.timestamp_micros(F.col("tick") * F.lit(step)).alias("at"), "Count"
+    )

@@ -35,19 +35,21 @@ def count_stream(
 
 def pack_by_interval_stream(
     df: DataFrame, interval: str, ts: str = "ts", id: str = "id", by: list[str] | None = None,
-    delay: str = "0 seconds",
+    parts: int = 1, delay: str = "0 seconds",
 ) -> DataFrame:
-    """Tumbling packs: ``start``, ``by``, ``Pack`` in arrival order, sent when the interval is over.
+    """Tumbling packs: ``start``, ``by``, ``Part``, ``Pack`` in arrival order, sent when the interval
+    is over.
 
-    A pack is one row, so ``by`` columns should keep the groups to a fair size. Empty intervals
-    give no row.
+    A pack is one row. With ``parts`` > 1 the messages of an interval are spread over so many packs
+    by their id, so that a busy interval is not one row. Empty intervals give no row.
     """
     message = F.struct(ts, id, F.struct("*").alias("_message"))
+    part = F.pmod(F.xxhash64(id), F.lit(parts)).cast("int").alias("Part")
     packs = df.withWatermark(ts, delay).groupBy(
-        F.window(ts, f"{interval_micros(interval)} microseconds"), *(by or [])
+        F.window(ts, f"{interval_micros(interval)} microseconds"), *(by or []), part
     ).agg(F.sort_array(F.collect_list(message)).alias("_m"))
     return packs.select(
-        F.col("window.start").alias("start"), *(by or []),
+        F.col("window.start").alias("start"), *(by or []), "Part",
         F.transform("_m", lambda m: m["_message"]).alias("Pack"),
     )
 
