@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.duration import window_micros
 from ..functions.expressions import array_literal, as_col, count_le, label_text, micros
+from ..plans.lookups import lookup_join
 from ..plans.ordering import CHUNK, ordered, with_index
 from ..plans.streams import Stream, arrival, of_stream, require_id
 from ..plans.trailing import few_polls, trailing_sums
@@ -40,8 +41,10 @@ def _live_sums(events, polls, window, sums, ts, id, poll_ts, clears=None, clear_
         polls.select(*by, micros(poll_ts).alias("_us")),
         width, {n: F.col(n) for n in sums}, by, times, rows_per_chunk,
     )
+    keys = [*by, "_us"]
+    live = live.select(*[F.col(k).alias(f"_of{k}") for k in keys], *sums)
     asked = polls.withColumn("_us", micros(poll_ts))
-    return asked.join(live, [*by, "_us"], "left").drop("_us", *by)
+    return lookup_join(asked, live, keys, [f"_of{k}" for k in keys])
 
 
 def count_at(
@@ -134,7 +137,8 @@ def histogram_at(
         F.sort_array(F.collect_list(F.struct("Label", "Count"))).alias("Histogram")
     )
     empty = F.from_json(F.lit("[]"), "array<struct<Label:string,Count:double>>")
-    return asked.join(packed, "_us", "left").select(
+    packed = packed.withColumnRenamed("_us", "_of")
+    return lookup_join(asked, packed, ["_us"], ["_of"]).select(
         *polls.columns, F.coalesce("Histogram", empty).alias("Histogram")
     )
 
@@ -208,7 +212,8 @@ def timeseries_at(
     )
     zeros = F.array_repeat(point(F.lit(0.0), F.lit(0.0)), F.lit(n) - F.size(found))
     series = F.concat(zeros, found) if pad else found
-    return reads.join(packed, "_before", "left").select(
+    packed = packed.withColumnRenamed("_before", "_of")
+    return lookup_join(reads, packed, ["_before"], ["_of"]).select(
         *polls.columns, series.alias("timeseries")
     )
 
@@ -347,7 +352,8 @@ def message_rate_at(
         .when(gap == 0, float("inf"))
         .otherwise(F.try_divide(used * F.lit(1e6), gap))
     )
-    return reads.join(oldest, "_idx", "left").select(*polls.columns, rate.alias("Rate"))
+    oldest = oldest.withColumnRenamed("_idx", "_of")
+    return lookup_join(reads, oldest, ["_idx"], ["_of"]).select(*polls.columns, rate.alias("Rate"))
 
 
 def last_message(df: DataFrame, ts: str = "ts", id: str = "id") -> DataFrame:

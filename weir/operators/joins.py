@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.duration import window_micros
+from ..plans.lookups import lookup_join
 from ..plans.streams import Stream, arrival, of_stream, require_id
 
 
@@ -34,9 +35,14 @@ def zip_join(
     done = F.when(F.col("_rank") == 0, F.struct("_a", "_b"))
     scan = scan.scan(_done=("last", done)).df
     seen = lambda side: F.col(side) - F.coalesce(F.col("_done")[side], F.lit(0)) - 1
-    left = scan.where(side_a).select("epoch", seen("_a").alias("idx"), F.col("_m1").alias("A"))
-    right = scan.where(side_b).select("epoch", seen("_b").alias("idx"), F.col("_m2").alias("B"))
-    return left.join(right, ["epoch", "idx"])
+    # Partners meet in a group of two. (A self-join would run the scan once per side.)
+    sides = scan.where(side_a | side_b).select(
+        "epoch", F.when(side_a, seen("_a")).otherwise(seen("_b")).alias("idx"), "_m1", "_m2"
+    )
+    pairs = sides.groupBy("epoch", "idx").agg(
+        F.first("_m1", ignorenulls=True).alias("A"), F.first("_m2", ignorenulls=True).alias("B")
+    )
+    return pairs.where(F.col("A").isNotNull() & F.col("B").isNotNull())
 
 
 def is_member(
@@ -45,13 +51,13 @@ def is_member(
 ) -> DataFrame:
     """``probes`` with ``isMember``: whether the key was added at or before the probe.
 
-    Adds shrink to one row per key before the join, so a key that is added or probed very often
-    costs one row on the set side, and the probe side can be split freely.
+    Adds shrink to one row per key before the join, with partial aggregation, and a key that is
+    probed very often is split on the probe side.
     """
     first = (
         adds.groupBy(F.col(add_key or key).alias("_key")).agg(F.min(add_ts or ts).alias("_first"))
     )
-    joined = probes.join(first, F.col(key) == F.col("_key"), "left")
+    joined = lookup_join(probes, first, [key], ["_key"])
     member = F.coalesce(F.col("_first") <= F.col(ts), F.lit(False))
     return joined.select(*[F.col(c) for c in probes.columns], member.alias("isMember"))
 
@@ -63,7 +69,7 @@ def keep_members(
     else in the set as a whole."""
     if ts is not None:
         return is_member(df, adds, key, ts, add_key).where("isMember").drop("isMember")
-    return df.join(_keys(adds, add_key or key), F.col(key) == F.col("_key"), "left_semi")
+    return lookup_join(df, _keys(adds, add_key or key), [key], ["_key"], "left_semi")
 
 
 def drop_members(
@@ -72,7 +78,7 @@ def drop_members(
     """The messages whose key is not in the set; see ``keep_members``."""
     if ts is not None:
         return is_member(df, adds, key, ts, add_key).where("not isMember").drop("isMember")
-    return df.join(_keys(adds, add_key or key), F.col(key) == F.col("_key"), "left_anti")
+    return lookup_join(df, _keys(adds, add_key or key), [key], ["_key"], "left_anti")
 
 
 def _keys(adds: DataFrame, key: str) -> DataFrame:

@@ -58,52 +58,36 @@ def pack_by_count(
         Stream(clears, "ts"), Stream(flushes, "ts"), Stream(df, ts, id),
         rows_per_chunk=rows_per_chunk,
     ).scan(epoch=("sum", (~is_row).cast("int")), _rows=("sum", is_row.cast("int")))
-    scan = scan.scan(_start=("last", F.when(~is_row, F.col("_rows")))).df
-    position = F.col("_rows") - F.coalesce("_start", F.lit(0)) - 1
-    order = [c for c in ("_us", "_rank", "_num_id", "_text_id") if c in scan.columns]
-    rows = scan.where(is_row).select(
-        "epoch", position.alias("_pos"), *order, F.col("_m2").alias("_message")
+    # Rows up to the last marker before this row: a marker sees where the epoch it ends began.
+    scan = scan.scan(exclusive=True, _start=("last", F.when(~is_row, F.col("_rows")))).df
+    since = F.col("_rows") - F.coalesce("_start", F.lit(0))
+    pack = lambda number, **what: F.struct(
+        number.cast("bigint").alias("number"),
+        *[what.get(k, F.lit(False)).alias(k) for k in ("member", "closes", "flushes", "ends")],
     )
-    # The first row of a pack also closes the pack before it.
-    copies = F.array(
-        F.struct(F.floor(F.col("_pos") / n).alias("number"), F.lit(False).alias("_closer")),
-        F.struct((F.floor(F.col("_pos") / n) - 1).alias("number"), F.lit(True).alias("_closer")),
+    yes, mine = F.lit(True), F.floor((since - 1) / n)
+    # A row belongs to its pack, and the first row of a pack closes the pack before it. A marker
+    # ends the open pack of its epoch, and a flush sends it.
+    row_says = F.when(
+        (since > 1) & ((since - 1) % n == 0),
+        F.array(pack(mine, member=yes), pack(mine - 1, closes=yes)),
+    ).otherwise(F.array(pack(mine, member=yes)))
+    marker_says = F.array(
+        pack(F.greatest(mine, F.lit(0)), flushes=F.col("_rank") == 1, ends=yes)
     )
-    wanted = F.filter(
-        copies, lambda c: ~c["_closer"] | ((F.col("_pos") % n == 0) & (c["number"] >= 0))
+    says = scan.select(
+        F.when(is_row, F.col("epoch")).otherwise(F.col("epoch") - 1).alias("epoch"),
+        "_rows", F.col("_m2").alias("_message"),
+        F.inline(F.when(is_row, row_says).otherwise(marker_says)),
     )
-    packs = (
-        rows.select("*", F.inline(wanted))
-        .withColumn("_message", F.when(~F.col("_closer"), F.col("_message")))
-        .groupBy("epoch", "number")
-        .agg(
-            F.transform(
-                F.sort_array(
-                    F.collect_list(F.when(~F.col("_closer"), F.struct("_pos", "_message")))
-                ),
-                lambda m: m["_message"],
-            ).alias("Pack"),
-            F.max("_closer").alias("_closed"),
-        )
+    member = F.when(F.col("member"), F.struct("_rows", "_message"))
+    packs = says.groupBy("epoch", "number").agg(
+        F.transform(F.sort_array(F.collect_list(member)), lambda m: m["_message"]).alias("Pack"),
+        (F.max("closes") | F.max("flushes")).alias("_sent"), F.max("ends").alias("_ended"),
     )
-    # A marker ends the epoch before it: a flush sends that epoch's open pack.
-    ends = scan.where(~is_row).select(
-        (F.col("epoch") - 1).alias("epoch"), (F.col("_rank") == 1).alias("_flushed"),
-    )
-    sent = packs.where("_closed")
-    open_packs = packs.where("not _closed").join(ends, "epoch", "left")
-    keep = F.coalesce(F.col("_flushed"), F.lit(flush_tail))
-    # An epoch of no messages that ends with a flush sends an empty pack.
-    empty = ends.where("_flushed").join(packs.where("number = 0").select("epoch"), "epoch", "anti")
-    return (
-        sent.select("epoch", "number", "Pack")
-        .unionByName(open_packs.where(keep).select("epoch", "number", "Pack"))
-        .unionByName(
-            empty.select(
-                "epoch", F.lit(0).cast("bigint").alias("number"),
-                F.lit(None).cast(packs.schema["Pack"].dataType).alias("Pack"),
-            )
-        )
+    sent = F.col("_sent") | (F.lit(flush_tail) & ~F.col("_ended"))
+    return packs.where(sent).select(
+        "epoch", "number", F.when(F.size("Pack") > 0, F.col("Pack")).alias("Pack")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.duration import interval_micros, parse_duration, window_micros
 from ..functions.expressions import as_col, micros
+from ..plans.lookups import lookup_join
 from ..plans.ordering import with_index
 from ..plans.streams import Stream, arrival, of_stream, require_id
 
@@ -73,13 +74,15 @@ def queue_pops(
     A pop on an empty queue does nothing. At equal time pushes come before pops.
     """
     state = _queue_state(pushes, pops, ts, id, rows_per_chunk)
-    served = state.where("_rank = 1 and _served").select(
-        (F.col("_taken") - 1).alias("k"), F.col("_m1").alias("pop")
+    is_push = F.col("_rank") == 0
+    # The pop and its message meet in a group of two.
+    both = state.where(is_push | F.col("_served")).select(
+        (F.when(is_push, F.col("_pushes")).otherwise(F.col("_taken")) - 1).alias("k"), "_m0", "_m1"
     )
-    stored = state.where("_rank = 0").select(
-        (F.col("_pushes") - 1).alias("k"), F.col("_m0").alias("message")
-    )
-    return served.join(stored, "k")
+    return both.groupBy("k").agg(
+        F.first("_m1", ignorenulls=True).alias("pop"),
+        F.first("_m0", ignorenulls=True).alias("message"),
+    ).where(F.col("pop").isNotNull())
 
 
 def queue_peek(
@@ -93,7 +96,8 @@ def queue_peek(
     )
     head = F.when(F.col("_pushes") > F.col("_taken"), F.col("_taken"))
     reads = of_stream(state, 2, head.alias("_k"))
-    return reads.join(stored, "_k", "left").select(*polls.columns, "message")
+    stored = stored.withColumnRenamed("_k", "_stored")
+    return lookup_join(reads, stored, ["_k"], ["_stored"]).select(*polls.columns, "message")
 
 
 def toggle(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lookups import lookup_join
+
 
 def enrich_by_url(
     df: DataFrame, url: str, responses: DataFrame, shape: str = "body",
@@ -17,8 +19,8 @@ def enrich_by_url(
     text), ``headers`` and ``status`` as the response table has them. If a URL was captured more than
     once, the last by ``order`` counts.
 
-    The response table shrinks to one row per URL first. A URL that very many messages share can
-    then be split on the message side by adaptive execution.
+    The response table shrinks to one row per URL first, and a URL that very many messages share is
+    split on the message side.
     """
     if shape not in ("body", "envelope"):
         raise ValueError("shape is 'body' or 'envelope'")
@@ -37,6 +39,6 @@ def enrich_by_url(
         made = F.struct(
             F.coalesce(parsed, as_text).alias("body"), *[F.col(f"_r.{c}").alias(c) for c in extras]
         )
-    return df.join(latest, F.col(url) == F.col("_url")).select(
+    return lookup_join(df, latest, [url], ["_url"], "inner").select(
         *[F.col(c) for c in df.columns], made.alias("response")
     )
