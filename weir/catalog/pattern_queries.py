@@ -270,14 +270,15 @@ def _(spark, d):
 
 
 @query("c12_poller", f"""
-WITH {sql_ticks(HOUR)}, first AS (SELECT url, html FROM pages WHERE page_id = 0)
-SELECT p AS t_us, url, html AS body FROM polls, first
+WITH {sql_ticks(HOUR)}, n AS (SELECT p, (p - min(p) OVER ()) // {HOUR} % 2 AS page FROM polls)
+SELECT p AS t_us, url, html AS body FROM n JOIN pages ON page_id = page
 """)
 def _(spark, d):
-    """Every tick asks for the same URL."""
+    """Every tick asks for one of two URLs in turn."""
     pages = table(spark, d, "pages")
-    one = pages.where("page_id = 0").select("url").first()["url"]
-    asked = map_messages(ticks(spark, d, "1h"), {"asked": F.lit(one)})
+    urls = {r.page_id: r.url for r in pages.where("page_id < 2").select("page_id", "url").collect()}
+    turn = F.when(F.col("tick") % 2 == 0, urls[0]).otherwise(urls[1])
+    asked = map_messages(ticks(spark, d, "1h"), {"asked": turn})
     got = enrich_by_url(asked, "asked", pages, body="html")
     return got.select(us(), F.col("asked").alias("url"), path("response", "$.data").alias("body"))
 

@@ -147,7 +147,21 @@ def _(spark, d):
                       F.round(F.col("params")[1], 3).alias("w1"))
 
 
-@query("learn_logistic")
+def _descent_sql(steps: int, eta: float) -> str:
+    """Gradient steps as a chain of aggregates."""
+    error = "1 / (1 + exp(-(w0 * x + w1))) - y"
+    chain = "".join(
+        f", p{i + 1} AS (SELECT w0 - {eta} * avg(({error}) * x) AS w0, w1 - {eta} * avg({error}) AS w1 "
+        f"FROM s, p{i} GROUP BY w0, w1)" for i in range(steps)
+    )
+    return f"""
+WITH s AS (SELECT l_quantity / 50 AS x, (l_extendedprice > 45000)::INT AS y FROM lineitem),
+p0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1){chain}
+SELECT round(w0 + 1e-9, 6) AS w0, round(w1 + 1e-9, 6) AS w1 FROM p{steps}
+"""
+
+
+@query("learn_logistic", _descent_sql(8, 4.0))
 def _(spark, d):
     """Whether an order line is large, from its scaled quantity and a constant."""
     rows = table(spark, d, "lineitem").select(
@@ -155,8 +169,7 @@ def _(spark, d):
         (F.col("l_extendedprice") > 45_000).cast("double").alias("y"),
     )
     out = learn(rows, ["x", "one"], "y", "logistic", "constant", [0.0, 0.0], 8, 4.0)
-    return out.select(F.round(F.col("params")[0], 6).alias("w0"),
-                      F.round(F.col("params")[1], 6).alias("w1"))
+    return out.select(rounded(F.col("params")[0], "w0"), rounded(F.col("params")[1], "w1"))
 
 
 def _numbered(spark, d):

@@ -163,7 +163,7 @@ def _(spark, d):
 WITH {SQL_EVENTS}, s AS (SELECT *, t // 1000 - (user_id % 40) * 60000 AS own FROM e),
 r AS (SELECT *, own * 1000 + {10 * HOUR // 60} AS due FROM s)
 SELECT event_id, greatest(due, t) AS t_us, t > due AS late FROM r
-WHERE t > due OR (due + 999) // 1000 * 1000 <= {LATEST_MS}
+WHERE t > due OR (due + 999) // 1000 * 1000 <= {LATEST_MS} - 1000
 """)
 def _(spark, d):
     rows = stream(spark, d).withColumn("time", F.expr("unix_millis(ts) - (user_id % 40) * 60000"))

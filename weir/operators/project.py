@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expressions import as_col
 
@@ -116,20 +118,20 @@ def script(
         raise ValueError("a Python script needs the output schema")
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    names = schema.fieldNames()
+    arrow_schema = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for message in batch.to_dict("records"):
+            for message in batch.to_pylist():
                 try:
                     made = fn(message)
-                    out.append([made.get(n) for n in names])
+                    out.append({f.name: made.get(f.name) for f in arrow_schema})
                 except Exception:  # noqa: BLE001 - any error means: no output for this message
                     continue
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def fft(df: DataFrame, series: str, out: str = "fft") -> DataFrame:

@@ -18,6 +18,10 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.duration import parse_duration, window_micros
 
+# Spark drops rows at or behind the watermark, so it must stay behind the latest arrival for rows of
+# the same instant that come with the next micro-batch.
+DELAY = "1 millisecond"
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -227,12 +231,12 @@ class _Cache(_KeyState):
 
 def cache_lookup_stream(
     lookups: DataFrame, puts: DataFrame, key: str, value: str, ttl: str, ts: str = "ts",
-    id: str = "id", delay: str = "0 seconds",
+    id: str = "id", delay: str = DELAY,
 ) -> DataFrame:
     """``key``, ``id`` of the lookup, ``value`` (as text): the latest put at most ``ttl`` old.
 
     Expired entries are removed from the state by a timer. ``delay`` says how far ``ts`` may be out of
-    order between micro-batches.
+    order between micro-batches; rows further behind are dropped.
     """
     values = puts.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.lit(0).alias("rank"),
@@ -280,14 +284,15 @@ class _Sync(_KeyState):
 
 def sync_stream(
     df: DataFrame, key: str, time_ms: str, lag: str, ts: str = "ts", id: str = "id",
-    delay: str = "0 seconds",
+    delay: str = DELAY,
 ) -> DataFrame:
     """Messages per key in the order of their own time, released ``lag`` later: ``key``, ``release``,
     ``late``, ``id``, ``message``.
 
     The clock is the watermark of the arrival time. A message whose release time has passed on
-    arrival is sent at once with ``late``; none is dropped. What is not yet due at the end of the
-    input stays in the state.
+    arrival is sent at once with ``late``. ``delay`` says how far arrival times may be out of order
+    between micro-batches; within it none is dropped. What is not yet due at the end of the input
+    stays in the state.
     """
     own = F.round(F.col(time_ms).try_cast("double") * 1000).cast("bigint")
     rows = df.where(F.col(key).isNotNull() & own.isNotNull()).select(
