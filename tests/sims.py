@@ -85,9 +85,18 @@ def zipped(a, b, clears=()):
     return out
 
 
-def popped(pushes, pops, polls=()):
+def in_batches(rows, size, side):
+    """Arrival order of two streams that come in micro-batches: ``side`` gives a row's stream."""
+    out = []
+    for i in range(0, len(rows), size):
+        part = rows[i:i + size]
+        out += ordered([r for r in part if side(r) == 0], [r for r in part if side(r) == 1])
+    return out
+
+
+def popped(pushes, pops, polls=(), arrived=None):
     q, out, peeks = deque(), [], {}
-    for t, rank, r in ordered(pushes, pops, list(polls)):
+    for t, rank, r in arrived or ordered(pushes, pops, list(polls)):
         if rank == 0:
             q.append(r["id"])
         elif rank == 1:
@@ -98,9 +107,9 @@ def popped(pushes, pops, polls=()):
     return out, peeks
 
 
-def looked_up(puts, lookups, ttl):
+def looked_up(puts, lookups, ttl, arrived=None):
     cache, out = {}, {}
-    for t, rank, r in ordered(puts, lookups):
+    for t, rank, r in arrived or ordered(puts, lookups):
         if rank == 0:
             cache[r["key"]] = (t, r["value"])
         else:

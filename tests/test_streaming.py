@@ -57,11 +57,11 @@ def test_pack(live):
 def test_queue(live):
     pushes, pops = live.where("id % 2 = 0"), live.where("id % 2 = 1")
     out = streaming.run_available(streaming.queue_stream(pushes, pops, "key"), "q")
+    arrived = sims.in_batches(ROWS, 20, lambda r: r["id"] % 2)
     want = set()
-    for rows in per_key().values():
-        served, _ = sims.popped([r for r in rows if r["id"] % 2 == 0],
-                                [r for r in rows if r["id"] % 2 == 1])
-        want |= set(served)
+    for key in per_key():
+        mine = [a for a in arrived if a[2]["key"] == key]
+        want |= set(sims.popped([], [], arrived=mine)[0])
     assert {tuple(r) for r in out.select("pop", number("message")).collect()} == want
 
 
@@ -79,8 +79,7 @@ def test_cache(live):
     puts, asks = live.where("id % 2 = 0"), live.where("id % 2 = 1")
     out = streaming.run_available(
         streaming.cache_lookup_stream(asks, puts, "key", "value", "5s"), "c")
-    want = sims.looked_up([r for r in ROWS if r["id"] % 2 == 0],
-                          [r for r in ROWS if r["id"] % 2 == 1], 5)
+    want = sims.looked_up([], [], 5, sims.in_batches(ROWS, 20, lambda r: r["id"] % 2))
     got = {r.id: None if r.value is None else float(r.value) for r in out.collect()}
     assert got == want
 
