@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import sims
 import weir
 from weir.functions.duration import interval_micros, parse_duration, window_micros
-from weir.functions.expressions import count_le, array_literal, label_text
+from weir.functions.expressions import array_literal, label_text, with_count_le
 
 
 @pytest.mark.parametrize("text,want", [
@@ -51,11 +51,11 @@ def test_label_text(spark):
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 8, 9])
-def test_count_le(spark, size):
+def test_with_count_le(spark, size):
     bounds = [i * 10 for i in range(size)]
     df = spark.range(-5, 100, 5)
-    col = count_le(array_literal(bounds, "array<bigint>"), size, F.col("id"))
-    for r in df.select("id", col.alias("n")).collect():
+    out = with_count_le(df, "n", array_literal(bounds, "array<bigint>"), size, F.col("id"))
+    for r in out.collect():
         assert r.n == sum(b <= r.id for b in bounds)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -105,21 +105,21 @@ def array_literal(values: list, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), ddl)
 
 
-def count_le(bounds: Column, size: int, key: Column) -> Column:
-    """How many of the ascending ``bounds`` (an array of ``size`` elements) are <= ``key``.
+def with_count_le(
+    df: DataFrame, name: str, bounds: Column, size: int, key: Column
+) -> DataFrame:
+    """``df`` with the column ``name``: how many of the ascending ``bounds`` (a constant array of
+    ``size`` elements) are <= ``key``.
 
-    A binary search in about log2(size) steps, evaluated row by row without a join.
+    A binary search in about log2(size) plain column steps, so it runs in generated code and needs
+    no join.
     """
-    if size == 0:
-        return F.lit(0)
-    steps = [1 << i for i in reversed(range(size.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= size) & (F.get(bounds, at + step - 1) <= key), at + step
-        ).otherwise(at),
-    )
+    df = df.withColumn(name, F.lit(0))
+    for i in reversed(range(size.bit_length())):
+        further = F.col(name) + (1 << i)
+        fits = (further <= size) & (F.get(bounds, further - 1) <= key)
+        df = df.withColumn(name, F.when(fits, further).otherwise(F.col(name)))
+    return df
 
 
 def hashed_uniform(seed: int, salt: int, id_col: str | Column) -> Column:

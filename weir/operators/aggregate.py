@@ -12,39 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.duration import window_micros
-from ..functions.expressions import array_literal, as_col, count_le, label_text, micros
+from ..functions.expressions import array_literal, as_col, label_text, micros, with_count_le
 from ..plans.lookups import lookup_join
-from ..plans.ordering import CHUNK, ordered, with_index
-from ..plans.streams import Stream, arrival, of_stream, require_id
-from ..plans.trailing import few_polls, trailing_sums
+from ..plans.ordering import ordered
+from ..plans.streams import Stream, arrival, merged, of_stream, require_id
+from ..plans.trailing import few_polls, few_spans, span_counts, trailing_sums
 
+RECENT_ROWS = 200_000
 EPS = 0.0001  # Fixed value: stands in for a zero count in kl_divergence.
 
 
-def _live_sums(events, polls, window, sums, ts, id, poll_ts, clears=None, clear_ts=None,
-               every_message=False, rows_per_chunk=None):
-    """``polls`` with the sums over the live events of each poll."""
-    require_id(events, id)
-    width = window_micros(window)
-    times = None if every_message else few_polls(polls.select(micros(poll_ts).alias("_us")), "_us")
-    by = []
-    if clears is not None:
-        by = ["_epoch"]
-        epochs = arrival(
-            Stream(clears, clear_ts or ts), Stream(events, ts, id), Stream(polls, poll_ts),
-            rows_per_chunk=rows_per_chunk,
-        ).scan(_epoch=("sum", (F.col("_rank") == 0).cast("int"))).df
-        events, polls = of_stream(epochs, 1, "_epoch"), of_stream(epochs, 2, "_epoch")
-    live = trailing_sums(
-        events.select(*by, micros(ts).alias("_us"), F.col(id).alias("_id"),
-                      *[c.alias(n) for n, c in sums.items()]),
-        polls.select(*by, micros(poll_ts).alias("_us")),
-        width, {n: F.col(n) for n in sums}, by, times, rows_per_chunk,
-    )
-    keys = [*by, "_us"]
-    live = live.select(*[F.col(k).alias(f"_of{k}") for k in keys], *sums)
+def _with_result(polls: DataFrame, result: DataFrame, poll_ts: str, *names: str) -> DataFrame:
+    """``polls`` with the columns ``names`` of a result that has one row per poll time ``_us``."""
+    found = result.select(F.col("_us").alias("_of_us"), *names)
     asked = polls.withColumn("_us", micros(poll_ts))
-    return lookup_join(asked, live, keys, [f"_of{k}" for k in keys])
+    return lookup_join(asked, found, ["_us"], ["_of_us"])
 
 
 def count_at(
@@ -57,27 +39,51 @@ def count_at(
     ``clears`` empty the count; a clear at a message's time comes before the message. A window
     of 0 counts the messages at exactly the poll's instant.
     """
-    out = _live_sums(events, polls, window, {"_n": F.lit(1)}, ts, id, poll_ts, clears, clear_ts,
-                     rows_per_chunk=rows_per_chunk)
-    count = F.coalesce(F.col("_n"), F.lit(0)).cast("double").alias("Count")
-    return out.select(*polls.columns, count)
+    return _count(events, polls, window, ts, id, poll_ts, clears, clear_ts, False, rows_per_chunk)
 
 
 def rolling_count(events: DataFrame, window: str, ts: str = "ts", id: str = "id",
                   rows_per_chunk: int | None = None) -> DataFrame:
     """``count_at`` with a poll right after every message."""
-    out = _live_sums(events, events, window, {"_n": F.lit(1)}, ts, id, ts, every_message=True,
-                     rows_per_chunk=rows_per_chunk)
-    return out.select(*events.columns, F.col("_n").cast("double").alias("Count"))
+    return _count(events, events, window, ts, id, ts, None, None, True, rows_per_chunk)
+
+
+def _count(events, polls, window, ts, id, poll_ts, clears, clear_ts, every_message, rows_per_chunk):
+    require_id(events, id)
+    width = window_micros(window)
+    lowest = F.col("_us") - width
+    spans = polls.select(micros(poll_ts).alias("_us"))
+    if clears is not None:
+        # Only polls and clears are put in order here, not the events.
+        scan = arrival(
+            Stream(clears.select(F.col(clear_ts or ts).alias("ts")), "ts"),
+            Stream(polls.select(F.col(poll_ts).alias("ts")), "ts"), rows_per_chunk=rows_per_chunk,
+        ).scan(_cleared=("max", F.when(F.col("_rank") == 0, F.col("_us")))).df
+        spans = scan.where("_rank = 1").select("_us", "_cleared")
+        lowest = F.greatest(lowest, F.col("_cleared"))
+    spans = spans.where(F.col("_us").isNotNull()).withColumn("_lo", lowest)
+    counts = span_counts(
+        events.select(micros(ts).alias("_us"), F.col(id).alias("_id")), spans,
+        spans=None if every_message else few_spans(spans), rows_per_chunk=rows_per_chunk,
+    )
+    count = F.coalesce(F.col("_n"), F.lit(0)).cast("double").alias("Count")
+    return _with_result(polls, counts, poll_ts, "_n").select(*polls.columns, count)
 
 
 def _averages(events, polls, value, window, ts, id, poll_ts, every_message, rows_per_chunk):
-    number = as_col(value).try_cast("double")
-    valid = events.withColumn("_value", number).where(F.col("_value").isNotNull())
-    sums = {"_n": F.lit(1), "_total": F.col("_value")}
-    out = _live_sums(valid, polls, window, sums, ts, id, poll_ts, every_message=every_message,
-                     rows_per_chunk=rows_per_chunk)
-    return out.select(*polls.columns, F.try_divide("_total", "_n").alias("Average"))
+    require_id(events, id)
+    valid = events.select(
+        micros(ts).alias("_us"), F.col(id).alias("_id"),
+        as_col(value).try_cast("double").alias("_value"),
+    ).where(F.col("_value").isNotNull())
+    asked = polls.select(micros(poll_ts).alias("_us"))
+    live = trailing_sums(
+        valid, asked, window_micros(window), {"_n": F.lit(1), "_total": F.col("_value")},
+        poll_times=None if every_message else few_polls(asked, "_us"),
+        rows_per_chunk=rows_per_chunk,
+    )
+    average = F.try_divide("_total", "_n").alias("Average")
+    return _with_result(polls, live, poll_ts, "_n", "_total").select(*polls.columns, average)
 
 
 def moving_average_at(
@@ -125,11 +131,12 @@ def histogram_at(
         reads = first.select("Label", F.col("_first").alias("_us")).where(F.lit(False))
     else:
         all_times = array_literal(times, "array<bigint>")
-        before = count_le(all_times, len(times), F.col("_first") - 1)
-        later = F.slice(all_times, before + 1, F.lit(len(times)))
+        first = with_count_le(first, "_before", all_times, len(times), F.col("_first") - 1)
+        later = F.slice(all_times, F.col("_before") + 1, F.lit(len(times)))
         reads = first.select("Label", F.explode(later).alias("_us"))
-    counts = trailing_sums(
-        labelled, reads, width, {"_n": F.lit(1)}, ["Label"], times, rows_per_chunk
+    spans = None if times is None else [(t - width, t) for t in times]
+    counts = span_counts(
+        labelled, reads.withColumn("_lo", F.col("_us") - width), ["Label"], spans, rows_per_chunk
     ).select("_us", "Label", F.col("_n").cast("double").alias("Count"))
     if long:
         return asked.join(counts, "_us").select(*polls.columns, "Label", "Count")
@@ -137,8 +144,7 @@ def histogram_at(
         F.sort_array(F.collect_list(F.struct("Label", "Count"))).alias("Histogram")
     )
     empty = F.from_json(F.lit("[]"), "array<struct<Label:string,Count:double>>")
-    packed = packed.withColumnRenamed("_us", "_of")
-    return lookup_join(asked, packed, ["_us"], ["_of"]).select(
+    return _with_result(polls, packed, poll_ts, "Histogram").select(
         *polls.columns, F.coalesce("Histogram", empty).alias("Histogram")
     )
 
@@ -190,19 +196,23 @@ def timeseries_at(
     """
     if n < 1:
         raise ValueError("the number of samples must be positive")
-    scan = _events_before(events, polls, ts, id, poll_ts, rows_per_chunk)
-    samples = of_stream(scan, 0, "_us", (F.col("_before") - 1).alias("_idx")).select(
-        "_idx",
+    number = F.coalesce(as_col(value).try_cast("double"), F.lit(0.0))
+    scan = _events_before(
+        events.select(ts, require_id(events, id), number.alias("_value")), polls, n, ts, id,
+        poll_ts, rows_per_chunk,
+    )
+    samples = scan.where("_rank = 0").select(
+        (F.col("_before") - 1).alias("_idx"),
         F.floor(F.col("_us") / 1000).cast("double").alias("timestamp"),
-        F.coalesce(as_col(value).try_cast("double"), F.lit(0.0)).alias("value"),
+        F.col("_m0._value").alias("value"),
     )
-    reads = of_stream(scan, 1, "_before")
+    reads = scan.where("_rank = 1").select("_us", "_before")
     wanted = (
         reads.select("_before").distinct().where("_before > 0")
         .select("_before", F.explode(F.sequence(
             F.greatest(F.col("_before") - n, F.lit(0)), F.col("_before") - 1)).alias("_idx"))
     )
-    packed = wanted.join(samples, "_idx").groupBy("_before").agg(
+    packed = wanted.join(samples, "_idx").groupBy(F.col("_before").alias("_of")).agg(
         F.sort_array(F.collect_list(F.struct("_idx", "timestamp", "value"))).alias("_last")
     )
     point = lambda t, v: F.struct(t.alias("timestamp"), v.alias("value"))
@@ -211,19 +221,39 @@ def timeseries_at(
         F.from_json(F.lit("[]"), "array<struct<timestamp:double,value:double>>"),
     )
     zeros = F.array_repeat(point(F.lit(0.0), F.lit(0.0)), F.lit(n) - F.size(found))
-    series = F.concat(zeros, found) if pad else found
-    packed = packed.withColumnRenamed("_before", "_of")
-    return lookup_join(reads, packed, ["_before"], ["_of"]).select(
-        *polls.columns, series.alias("timeseries")
-    )
+    series = (F.concat(zeros, found) if pad else found).alias("timeseries")
+    result = lookup_join(reads, packed, ["_before"], ["_of"]).select("_us", series)
+    return _with_result(polls, result, poll_ts, "timeseries").select(*polls.columns, "timeseries")
 
 
-def _events_before(events, polls, ts, id, poll_ts, rows_per_chunk) -> DataFrame:
-    """Events (rank 0) and polls (rank 1) with the number of events up to each row."""
-    return arrival(
-        Stream(events, ts, require_id(events, id)), Stream(polls, poll_ts),
-        rows_per_chunk=rows_per_chunk,
-    ).scan(_before=("sum", (F.col("_rank") == 0).cast("int"))).df
+def _recent(events, polls, n, ts, id, poll_ts, rows_per_chunk, **running) -> DataFrame:
+    """Events (rank 0) and distinct poll times (rank 1) in arrival order, with running values.
+
+    Only the last ``n`` events before each poll matter. With few polls and many events, no more than
+    the last ``n`` between neighbouring polls are kept. That rank filter runs per map task before the
+    shuffle, and what is left is known to be small.
+    """
+    asked = polls.select(F.col(poll_ts).alias("ts")).distinct()
+    times = few_polls(asked.select(micros("ts").alias("_us")), "_us") if n <= RECENT_ROWS else None
+    few = bool(times) and n * len(times) <= RECENT_ROWS
+    small = few and events.count() >= 4 * n * len(times)
+    if small:
+        at = micros(ts)
+        bounds = array_literal(times, "array<bigint>")
+        latest = Window.partitionBy("_slot").orderBy(F.desc(ts), F.desc(id))
+        events = (
+            with_count_le(events.where(at <= times[-1]), "_slot", bounds, len(times), at - 1)
+            .withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= n)
+            .drop("_slot", "_n")
+        )
+    rows, order = merged(Stream(events, ts, id), Stream(asked, "ts"))
+    return ordered(rows, order, None, rows_per_chunk, bounded=small).scan(**running).df
+
+
+def _events_before(events, polls, n, ts, id, poll_ts, rows_per_chunk) -> DataFrame:
+    """Events and poll times with the number of (recent) events up to each row."""
+    seen = ("sum", (F.col("_rank") == 0).cast("int"))
+    return _recent(events, polls, n, ts, id, poll_ts, rows_per_chunk, _before=seen)
 
 
 def last_n(df: DataFrame, n: int, ts: str = "ts", id: str = "id") -> DataFrame:
@@ -262,8 +292,10 @@ def cardinality_at(
     first = adds.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("id")).agg(
         F.min(ts).alias("ts")
     )
-    scan = _events_before(first, polls, "ts", "id", poll_ts, rows_per_chunk)
-    return of_stream(scan, 1, F.col("_before").cast("double").alias("cardinality"))
+    scan = arrival(
+        Stream(first, "ts", "id"), Stream(polls, poll_ts), rows_per_chunk=rows_per_chunk
+    ).scan(_keys=("sum", (F.col("_rank") == 0).cast("int"))).df
+    return of_stream(scan, 1, F.col("_keys").cast("double").alias("cardinality"))
 
 
 def cache_snapshot(
@@ -340,20 +372,22 @@ def message_rate_at(
 ) -> DataFrame:
     """``polls`` with ``Rate``, messages per second over the last ``n`` messages: their number
     divided by the time since the oldest of them; 0 before any message (A13)."""
-    scan = _events_before(events, polls, ts, id, poll_ts, rows_per_chunk)
+    scan = _events_before(
+        events.select(ts, require_id(events, id)), polls, n, ts, id, poll_ts, rows_per_chunk
+    )
     oldest = scan.where("_rank = 0").select(
-        (F.col("_before") - 1).alias("_idx"), F.col("_us").alias("_oldest")
+        (F.col("_before") - 1).alias("_of"), F.col("_us").alias("_oldest")
     )
     used = F.least(F.lit(n), F.col("_before"))
-    reads = of_stream(scan, 1, "_us", "_before").withColumn("_idx", F.col("_before") - used)
+    reads = scan.where("_rank = 1").select("_us", "_before", (F.col("_before") - used).alias("_idx"))
     gap = F.col("_us") - F.col("_oldest")
     rate = (
         F.when(F.col("_before") == 0, 0.0)
         .when(gap == 0, float("inf"))
         .otherwise(F.try_divide(used * F.lit(1e6), gap))
-    )
-    oldest = oldest.withColumnRenamed("_idx", "_of")
-    return lookup_join(reads, oldest, ["_idx"], ["_of"]).select(*polls.columns, rate.alias("Rate"))
+    ).alias("Rate")
+    result = lookup_join(reads, oldest, ["_idx"], ["_of"]).select("_us", rate)
+    return _with_result(polls, result, poll_ts, "Rate").select(*polls.columns, "Rate")
 
 
 def last_message(df: DataFrame, ts: str = "ts", id: str = "id") -> DataFrame:
@@ -366,16 +400,15 @@ def last_message_at(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """``polls`` with ``Last``, the most recent message (a struct) at each poll, or null."""
-    scan = arrival(
-        Stream(events, ts, require_id(events, id)), Stream(polls, poll_ts),
-        rows_per_chunk=rows_per_chunk,
-    ).scan(Last=("last", F.col("_m0"))).df
-    return of_stream(scan, 1, "Last")
+    require_id(events, id)
+    result = _recent(events, polls, 1, ts, id, poll_ts, rows_per_chunk,
+                     Last=("last", F.col("_m0")))
+    result = result.where("_rank = 1").select("_us", "Last")
+    return _with_result(polls, result, poll_ts, "Last").select(*polls.columns, "Last")
 
 
 __all__ = [
     "cache_snapshot", "cardinality", "cardinality_at", "count_at", "dedupe", "histogram_at",
     "kl_divergence", "kl_divergence_arrays", "last_message", "last_message_at", "last_n",
     "message_rate_at", "moving_average_at", "rolling_average", "rolling_count", "timeseries_at",
-    "with_index", "CHUNK",
 ]

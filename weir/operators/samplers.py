@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import array_literal, count_le, hashed_uniform
+from ..functions.expressions import array_literal, hashed_uniform, with_count_le
 
 DEFAULT_SEED = 12345  # Fixed value: the default seed of the reference's samplers.
 
@@ -34,14 +34,16 @@ def with_exponential(
     return df.withColumn("sample", -F.log(1 - hashed_uniform(seed, 1, id)) / rate)
 
 
-def _by_table(weights: list[float], id: str, seed: int) -> Column:
+def _by_table(df: DataFrame, weights: list[float], id: str, seed: int) -> DataFrame:
     """Index drawn in proportion to ``weights``, by binary search in the cumulative table."""
     total, cumulative, sum_so_far = math.fsum(weights), [], 0.0
     for w in weights[:-1]:
         sum_so_far += w / total
         cumulative.append(sum_so_far)
     table = array_literal(cumulative, "array<double>")
-    return count_le(table, len(cumulative), hashed_uniform(seed, 1, id))
+    u = hashed_uniform(seed, 1, id)
+    drawn = with_count_le(df, "sample", table, len(cumulative), u)
+    return drawn.withColumn("sample", F.col("sample").cast("double"))
 
 
 def with_categorical(
@@ -50,7 +52,7 @@ def with_categorical(
     """Index 0 … len(weights)-1 drawn by weight; the weights need not add up to 1."""
     if any(w < 0 for w in weights) or sum(weights) == 0:
         raise ValueError("weights must not be negative and must not all be zero")
-    return df.withColumn("sample", _by_table(list(weights), id, seed).cast("double"))
+    return _by_table(df, list(weights), id, seed)
 
 
 def with_poisson(
@@ -66,7 +68,7 @@ def with_poisson(
         k += 1
         if k > rate + 40 * math.sqrt(rate) + 40:
             break
-    return df.withColumn("sample", _by_table(weights, id, seed).cast("double"))
+    return _by_table(df, weights, id, seed)
 
 
 def with_zipf(
@@ -77,4 +79,4 @@ def with_zipf(
     if s <= 1 or v < 1 or n < 0:
         raise ValueError("needs s > 1, v >= 1 and n >= 0")
     weights = [(v + k) ** -s for k in range(n + 1)]
-    return df.withColumn("sample", _by_table(weights, id, seed).cast("double"))
+    return _by_table(df, weights, id, seed)

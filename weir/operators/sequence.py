@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,18 +148,20 @@ def fire_at_ticks(
     kind = counts.schema["key"].dataType.simpleString()
 
     def fire(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, live, total = [], [], 0  # live: [first poll that no longer sees it, count]
-        by_tick = {t: g for t, g in rows.groupby("_tick")}
-        todo = sorted(by_tick)
-        for t in todo:
-            kept = [x for x in live if x[0] > t]
-            for r in by_tick[t].itertuples(index=False):
-                kept.append((t + span + int(r[2]), int(r[3])))
-            live, total = kept, sum(n for _, n in kept)
-            # The count only grows where messages arrive, so these are the only polls that can fire.
+        rows = rows.sort_values("_tick")
+        out, live, total = [], deque(), 0  # live: (first poll that no longer sees it, count)
+        slots = list(zip(rows["_tick"], rows["_exact"], rows["_n"]))
+        # The count only grows where messages arrive, so no other poll can fire.
+        for at, group in groupby(slots, key=lambda s: s[0]):
+            for _, exact, n in sorted(group, key=lambda s: s[1]):
+                live.append((at + span + int(exact), n))
+                total += n
+            while live[0][0] <= at:
+                total -= live.popleft()[1]
             if total >= threshold:
-                out.append((keys[0], t, float(total)))
-                live = []
+                out.append((keys[0], at, float(total)))
+                live.clear()
+                total = 0
         return pd.DataFrame(out, columns=["key", "tick", "Count"])
 
     fired = counts.groupBy("key").applyInPandas(fire, f"key {kind}, tick bigint, Count double")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import array_literal, count_le
+from ..functions.expressions import array_literal, with_count_le
 
 ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 20_000
@@ -56,13 +56,13 @@ def _cuts(df: DataFrame, order: list[str], n: int, chunks: int) -> list[tuple]:
     return picks
 
 
-def _cut_index(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+def _with_cut_index(df: DataFrame, order: list[str], cuts: list[tuple]) -> DataFrame:
     types = [df.schema[c].dataType for c in order]
     ddl = ",".join(f"k{i}:{t.simpleString()}" for i, t in enumerate(types))
     values = [{f"k{i}": v for i, v in enumerate(cut)} for cut in cuts]
     bounds = array_literal(values, f"array<struct<{ddl}>>")
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    return count_le(bounds, len(cuts), key)
+    return with_count_le(df, CHUNK, bounds, len(cuts), key)
 
 
 class Ordered:
@@ -174,8 +174,7 @@ def ordered(
     smallest = min(limit, MIN_ROWS_PER_CHUNK)
     chunks = min(MAX_CHUNKS, max(math.ceil(n / limit), min(cores, n // smallest), 1))
     cuts = _cuts(df, order, n, chunks) if chunks > 1 else []
-    index = _cut_index(df, order, cuts) if cuts else F.lit(0)
-    return Ordered(df.withColumn(CHUNK, index), order, by, chunked=True, carry=bool(cuts))
+    return Ordered(_with_cut_index(df, order, cuts), order, by, chunked=True, carry=bool(cuts))
 
 
 def _ordered_by(df, order, by, n, limit) -> Ordered:
@@ -198,9 +197,10 @@ def _ordered_by(df, order, by, n, limit) -> Ordered:
     schema = T.StructType([df.schema[c] for c in by])
     hot_keys = df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
     cuts = _cuts(df, order, n, math.ceil(n / limit))
-    index = F.when(F.col("_hot"), _cut_index(df, order, cuts) + 1).otherwise(0)
     # The broadcast side has at most MAX_HOT_KEYS rows.
-    marked = df.join(F.broadcast(hot_keys), by, "left").withColumn(CHUNK, index).drop("_hot")
+    marked = _with_cut_index(df.join(F.broadcast(hot_keys), by, "left"), order, cuts)
+    index = F.when(F.col("_hot"), F.col(CHUNK) + 1).otherwise(0)
+    marked = marked.withColumn(CHUNK, index).drop("_hot")
     return Ordered(marked, order, by, chunked=True, carry=True)
 
 

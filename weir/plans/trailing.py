@@ -1,14 +1,19 @@
-"""Aggregates over a trailing time window, read at poll times.
+"""Aggregates over the live rows of a trailing time window, read at poll times.
 
 At poll time ``p`` the live rows are those with ``p - W <= t <= p``, both ends included. A range
-frame would re-add the whole frame for every poll, and a busy window would be one task. Instead
-time is cut into blocks of ``W + 1`` microseconds. Every window is then the end of one block plus
-the start of the next, i.e. one running sum counted backwards in time and one counted forwards.
-Nothing is ever subtracted, so float sums do not drift, and busy blocks are cut into chunks.
+frame would re-add the whole frame for every poll, and a busy window would be one task.
+
+Counts are a difference: the rows up to ``p`` less the rows before ``p - W``, both read from one
+running count along time. Whole numbers are exact, so the lower end may also be another time, such as
+that of the last clear.
+
+Float sums must not be subtracted, as rounding errors would pile up. For them time is cut into blocks of
+``W + 1`` microseconds. Every window is then the end of one block plus the start of the next, i.e. one
+running sum counted backwards in time and one counted forwards. Busy blocks are cut into chunks.
 
 When there are few polls, rows that no poll can tell apart are first summed up into one row per
-(key, slot between neighbouring poll limits). This is a partial aggregation on the map side, so the
-raw rows are never shuffled.
+(key, slot between neighbouring limits). This is a partial aggregation on the map side, so the raw
+rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import array_literal, count_le
+from ..functions.expressions import array_literal, with_count_le
 from .ordering import ordered
 
 MAX_SLOT_POLLS = 4_096
@@ -28,6 +33,70 @@ def few_polls(polls: DataFrame, us: str) -> list[int] | None:
     return sorted(r[0] for r in rows) if len(rows) <= MAX_SLOT_POLLS else None
 
 
+def few_spans(polls: DataFrame) -> list[tuple[int, int]] | None:
+    """The distinct ``(_lo, _us)`` of polls when there are at most MAX_SLOT_POLLS, else None."""
+    rows = polls.select("_lo", "_us").distinct().limit(MAX_SLOT_POLLS + 1).collect()
+    return sorted((r[0], r[1]) for r in rows) if len(rows) <= MAX_SLOT_POLLS else None
+
+
+def _slots(
+    values: DataFrame, by: list[str], spans: list[tuple[int, int]], sums: dict[str, Column]
+) -> DataFrame:
+    """One row per key and slot, for polls that each see the times of one span. A slot holds the
+    times between two neighbouring span limits, so every poll sees all of it or nothing."""
+    cuts = sorted({hi + 1 for _, hi in spans} | {lo for lo, _ in spans})
+    if spans:
+        values = values.where(F.col("_us").between(cuts[0], cuts[-1] - 1))
+    bounds = array_literal(cuts, "array<bigint>")
+    return (
+        with_count_le(values, "_slot", bounds, len(cuts), F.col("_us"))
+        .groupBy(*by, "_slot")
+        .agg(F.min("_us").alias("_us"), *[c.alias(n) for n, c in sums.items()])
+        .withColumnRenamed("_slot", "_id")
+    )
+
+
+def span_counts(
+    events: DataFrame,
+    polls: DataFrame,
+    by: list[str] | None = None,
+    spans: list[tuple[int, int]] | None = None,
+    rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """Number of events with ``_lo <= t <= _us`` for every distinct ``(by, _lo, _us)`` of ``polls``:
+    ``by``, ``_us``, ``_n``.
+
+    ``events`` has ``by``, ``_us`` and a unique ``_id``. ``spans`` are all the ``(_lo, _us)`` when they
+    are few (see ``few_spans``); each key then has at most a few rows per poll.
+    """
+    by = list(by or [])
+    values = events.select(*by, "_us", "_id")
+    if spans is not None:
+        values = _slots(values, by, spans, {"_w": F.count(F.lit(1))})
+    else:
+        values = values.withColumn("_w", F.lit(1).cast("bigint"))
+    rows = values.select(*by, F.col("_us").alias("_t"), F.lit(1).alias("_rank"), "_id", "_w",
+                         F.lit(None).cast("bigint").alias("_poll"))
+    ends = F.array(
+        F.struct(F.col("_us").alias("_t"), F.lit(2).alias("_rank")),
+        F.struct(F.col("_lo").alias("_t"), F.lit(0).alias("_rank")),
+    )
+    reads = polls.select(*by, "_lo", "_us").distinct().select(
+        *by, F.col("_us").alias("_poll"), F.inline(ends)
+    ).select(*by, "_t", "_rank", F.lit(None).cast(values.schema["_id"].dataType).alias("_id"),
+             F.lit(0).cast("bigint").alias("_w"), "_poll")
+    scan = ordered(
+        rows.unionByName(reads), ["_t", "_rank", "_id"], by, rows_per_chunk,
+        bounded=spans is not None,
+    ).scan(_seen=("sum", F.col("_w")))
+    upper = F.col("_rank") == 2
+    return (
+        scan.df.where(F.col("_rank") != 1)
+        .groupBy(*by, F.col("_poll").alias("_us"))
+        .agg(F.sum(F.when(upper, F.col("_seen")).otherwise(-F.col("_seen"))).alias("_n"))
+    )
+
+
 def trailing_sums(
     events: DataFrame,
     polls: DataFrame,
@@ -47,18 +116,8 @@ def trailing_sums(
     block_us = window_us + 1
     values = events.select(*by, "_us", "_id", *[c.alias(n) for n, c in sums.items()])
     if poll_times is not None:
-        if poll_times:
-            values = values.where(
-                F.col("_us").between(poll_times[0] - window_us, poll_times[-1])
-            )
-        cuts = sorted({p + 1 for p in poll_times} | {p - window_us for p in poll_times})
-        slot = count_le(array_literal(cuts, "array<bigint>"), len(cuts), F.col("_us"))
-        values = (
-            values.withColumn("_slot", slot)
-            .groupBy(*by, "_slot")
-            .agg(F.min("_us").alias("_us"), *[F.sum(n).alias(n) for n in sums])
-            .withColumnRenamed("_slot", "_id")
-        )
+        values = _slots(values, by, [(p - window_us, p) for p in poll_times],
+                        {n: F.sum(n) for n in sums})
     id_type = values.schema["_id"].dataType
     start = lambda us: us - F.pmod(us, F.lit(block_us))
     us = F.col("_us")

@@ -39,6 +39,6 @@ def enrich_by_url(
         made = F.struct(
             F.coalesce(parsed, as_text).alias("body"), *[F.col(f"_r.{c}").alias(c) for c in extras]
         )
-    return lookup_join(df, latest, [url], ["_url"], "inner").select(
-        *[F.col(c) for c in df.columns], made.alias("response")
-    )
+    # Decoded once per URL, not once per message.
+    decoded = latest.select("_url", made.alias("response"))
+    return lookup_join(df, decoded, [url], ["_url"], "inner").select(*df.columns, "response")
