@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import sims
 import weir
 from weir.functions.duration import interval_micros, parse_duration, window_micros
-from weir.functions.expressions import array_literal, label_text, with_count_le
+from weir.functions.expressions import array_literal, count_le, label_text, with_count_le
 
 
 @pytest.mark.parametrize("text,want", [
@@ -55,8 +55,10 @@ def test_with_count_le(spark, size):
     bounds = [i * 10 for i in range(size)]
     df = spark.range(-5, 100, 5)
     out = with_count_le(df, "n", array_literal(bounds, "array<bigint>"), size, F.col("id"))
-    for r in out.collect():
-        assert r.n == sum(b <= r.id for b in bounds)
+    structs = array_literal([{"k": b} for b in bounds], "array<struct<k:bigint>>")
+    key = F.struct(F.col("id").alias("k")).cast("struct<k:bigint>")
+    for r in out.withColumn("m", count_le(structs, size, key)).collect():
+        assert r.n == r.m == sum(b <= r.id for b in bounds)
 
 
 def test_paths_and_keys(spark):

@@ -109,7 +109,7 @@ def with_count_le(
     df: DataFrame, name: str, bounds: Column, size: int, key: Column
 ) -> DataFrame:
     """``df`` with the column ``name``: how many of the ascending ``bounds`` (a constant array of
-    ``size`` elements) are <= ``key``.
+    ``size`` numbers) are <= ``key``.
 
     A binary search in about log2(size) plain column steps, so it runs in generated code and needs
     no join.
@@ -122,6 +122,25 @@ def with_count_le(
     return df
 
 
+def count_le(bounds: Column, size: int, key: Column) -> Column:
+    """The same as one expression, for keys that are structs: their comparison is too much code to
+    repeat in every step. The key travels in the accumulator, so that the lambda refers to no column;
+    the optimizer can lose track of columns that a lambda captures."""
+    further = lambda acc, step: acc["at"] + step
+    fits = lambda acc, step: (
+        (further(acc, step) <= size) & (F.get(bounds, further(acc, step) - 1) <= acc["key"])
+    )
+    return F.aggregate(
+        F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))]),
+        F.struct(F.lit(0).alias("at"), key.alias("key")),
+        lambda acc, step: F.struct(
+            F.when(fits(acc, step), further(acc, step)).otherwise(acc["at"]).alias("at"),
+            acc["key"].alias("key"),
+        ),
+        lambda acc: acc["at"],
+    )
+
+
 def hashed_uniform(seed: int, salt: int, id_col: str | Column) -> Column:
     """A uniform number in [0, 1) that depends only on ``seed``, ``salt`` and the row's id, so
     the draw is the same however the rows are partitioned or retried."""

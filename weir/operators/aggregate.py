@@ -52,7 +52,8 @@ def _count(events, polls, window, ts, id, poll_ts, clears, clear_ts, every_messa
     require_id(events, id)
     width = window_micros(window)
     lowest = F.col("_us") - width
-    spans = polls.select(micros(poll_ts).alias("_us"))
+    ids = [F.col(id).alias("_id")] if every_message else []
+    spans = polls.select(micros(poll_ts).alias("_us"), *ids)
     if clears is not None:
         # Only polls and clears are put in order here, not the events.
         scan = arrival(
@@ -76,7 +77,8 @@ def _averages(events, polls, value, window, ts, id, poll_ts, every_message, rows
         micros(ts).alias("_us"), F.col(id).alias("_id"),
         as_col(value).try_cast("double").alias("_value"),
     ).where(F.col("_value").isNotNull())
-    asked = polls.select(micros(poll_ts).alias("_us"))
+    ids = [F.col(id).alias("_id")] if every_message else []
+    asked = polls.select(micros(poll_ts).alias("_us"), *ids)
     live = trailing_sums(
         valid, asked, window_micros(window), {"_n": F.lit(1), "_total": F.col("_value")},
         poll_times=None if every_message else few_polls(asked, "_us"),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import array_literal, with_count_le
+from ..functions.expressions import array_literal, count_le, with_count_le
 
 ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 20_000
@@ -57,29 +57,53 @@ def _cuts(df: DataFrame, order: list[str], n: int, chunks: int) -> list[tuple]:
 
 
 def _with_cut_index(df: DataFrame, order: list[str], cuts: list[tuple]) -> DataFrame:
+    """The number of cuts at or before each row as the column CHUNK.
+
+    The first order column decides, but for times that hold more than one cut: only rows of such
+    hot instants are placed by the whole order key.
+    """
+    first = [cut[0] for cut in cuts]
+    kind = df.schema[order[0]].dataType.simpleString()
+    df = with_count_le(
+        df, CHUNK, array_literal(first, f"array<{kind}>"), len(cuts), F.col(order[0])
+    )
+    hot = sorted({a for a, b in zip(first, first[1:]) if a is not None and a == b})
+    if not hot:
+        return df
     types = [df.schema[c].dataType for c in order]
     ddl = ",".join(f"k{i}:{t.simpleString()}" for i, t in enumerate(types))
     values = [{f"k{i}": v for i, v in enumerate(cut)} for cut in cuts]
     bounds = array_literal(values, f"array<struct<{ddl}>>")
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    return with_count_le(df, CHUNK, bounds, len(cuts), key)
+    exact = count_le(bounds, len(cuts), key.cast(f"struct<{ddl}>"))
+    return df.withColumn(CHUNK, F.when(F.col(order[0]).isin(hot), exact).otherwise(F.col(CHUNK)))
 
 
 class Ordered:
     """Rows cut into chunks along ``order``, ready for running aggregates.
 
-    ``order`` are column names that form a total order (the last one a unique id); rows that
+    ``order`` are column names that form a total order (the last one a unique id); a few rows that
     carry no weight in the scan, such as polls, may tie. ``by`` are non-null key columns.
     """
 
-    def __init__(self, df: DataFrame, order: list[str], by: list[str], chunked: bool, carry: bool):
+    def __init__(
+        self, df: DataFrame, order: list[str], by: list[str], chunked: bool, carry: bool,
+        tasks: int = 0,
+    ):
         self.df, self.order, self.by = df, order, by
-        self.chunked, self.carry = chunked, carry
+        self.chunked, self.carry, self.tasks = chunked, carry, tasks
 
     def replace(self, df: DataFrame) -> Ordered:
         """The same chunks over a narrower or widened row."""
         return Ordered(df, self.order, self.by, self.chunked, self.carry)
 
+    def spread(self, keys: list[str]) -> DataFrame:
+        """The rows shuffled by ``keys`` into as many tasks as there are chunks, where the
+        session's number of shuffle partitions is lower. The windows keep this partitioning."""
+        if self.tasks <= int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            return self.df
+        return self.df.repartition(self.tasks, *keys)
+
     def scan(self, exclusive: bool = False, **running: tuple[str, Column]) -> Ordered:
         """Add running aggregates: ``name=(kind, column)``, kind one of sum, min, max, last.
 
@@ -92,7 +116,7 @@ class Ordered:
             .orderBy(*self.order)
             .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
         )
-        local = self.df.withColumns(
+        local = self.spread(keys).withColumns(
             {name: _windowed(kind, col).over(frame) for name, (kind, col) in running.items()}
         )
         if not self.carry:
@@ -174,7 +198,8 @@ def ordered(
     smallest = min(limit, MIN_ROWS_PER_CHUNK)
     chunks = min(MAX_CHUNKS, max(math.ceil(n / limit), min(cores, n // smallest), 1))
     cuts = _cuts(df, order, n, chunks) if chunks > 1 else []
-    return Ordered(_with_cut_index(df, order, cuts), order, by, chunked=True, carry=bool(cuts))
+    cut = _with_cut_index(df, order, cuts)
+    return Ordered(cut, order, by, chunked=True, carry=bool(cuts), tasks=len(cuts) + 1)
 
 
 def _ordered_by(df, order, by, n, limit) -> Ordered:
@@ -192,16 +217,17 @@ def _ordered_by(df, order, by, n, limit) -> Ordered:
         .limit(MAX_HOT_KEYS)
         .collect()
     )
+    pieces = math.ceil(n / limit)
     if not hot:
-        return Ordered(df, order, by, chunked=False, carry=False)
+        return Ordered(df, order, by, chunked=False, carry=False, tasks=pieces)
     schema = T.StructType([df.schema[c] for c in by])
     hot_keys = df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
-    cuts = _cuts(df, order, n, math.ceil(n / limit))
+    cuts = _cuts(df, order, n, pieces)
     # The broadcast side has at most MAX_HOT_KEYS rows.
     marked = _with_cut_index(df.join(F.broadcast(hot_keys), by, "left"), order, cuts)
     index = F.when(F.col("_hot"), F.col(CHUNK) + 1).otherwise(0)
     marked = marked.withColumn(CHUNK, index).drop("_hot")
-    return Ordered(marked, order, by, chunked=True, carry=True)
+    return Ordered(marked, order, by, chunked=True, carry=True, tasks=pieces)
 
 
 def with_index(

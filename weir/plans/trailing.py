@@ -39,6 +39,14 @@ def few_spans(polls: DataFrame) -> list[tuple[int, int]] | None:
     return sorted((r[0], r[1]) for r in rows) if len(rows) <= MAX_SLOT_POLLS else None
 
 
+def _asked(polls: DataFrame, cols: list[str], id_type, few: bool) -> DataFrame:
+    """The polls, so that no instant can pile up in one chunk: with an ``_id`` of their own they can
+    be cut apart, otherwise each time is taken once."""
+    if "_id" in polls.columns and not few:
+        return polls.select(*cols, "_id")
+    return polls.select(*cols).distinct().withColumn("_id", F.lit(None).cast(id_type))
+
+
 def _slots(
     values: DataFrame, by: list[str], spans: list[tuple[int, int]], sums: dict[str, Column]
 ) -> DataFrame:
@@ -66,7 +74,7 @@ def span_counts(
     """Number of events with ``_lo <= t <= _us`` for every distinct ``(by, _lo, _us)`` of ``polls``:
     ``by``, ``_us``, ``_n``.
 
-    ``events`` has ``by``, ``_us`` and a unique ``_id``. ``spans`` are all the ``(_lo, _us)`` when they
+    ``events`` has ``by``, ``_us`` and a unique ``_id``; ``polls`` may have a unique ``_id`` too. ``spans`` are all the ``(_lo, _us)`` when they
     are few (see ``few_spans``); each key then has at most a few rows per poll.
     """
     by = list(by or [])
@@ -81,19 +89,20 @@ def span_counts(
         F.struct(F.col("_us").alias("_t"), F.lit(2).alias("_rank")),
         F.struct(F.col("_lo").alias("_t"), F.lit(0).alias("_rank")),
     )
-    reads = polls.select(*by, "_lo", "_us").distinct().select(
-        *by, F.col("_us").alias("_poll"), F.inline(ends)
-    ).select(*by, "_t", "_rank", F.lit(None).cast(values.schema["_id"].dataType).alias("_id"),
-             F.lit(0).cast("bigint").alias("_w"), "_poll")
+    id_type = values.schema["_id"].dataType
+    reads = _asked(polls, [*by, "_lo", "_us"], id_type, spans is not None).select(
+        *by, F.col("_us").alias("_poll"), "_id", F.inline(ends)
+    ).select(*by, "_t", "_rank", "_id", F.lit(0).cast("bigint").alias("_w"), "_poll")
     scan = ordered(
         rows.unionByName(reads), ["_t", "_rank", "_id"], by, rows_per_chunk,
         bounded=spans is not None,
     ).scan(_seen=("sum", F.col("_w")))
-    upper = F.col("_rank") == 2
+    # Polls of the same time read the same values, so the largest of them is the one.
+    read = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_seen")))
     return (
         scan.df.where(F.col("_rank") != 1)
         .groupBy(*by, F.col("_poll").alias("_us"))
-        .agg(F.sum(F.when(upper, F.col("_seen")).otherwise(-F.col("_seen"))).alias("_n"))
+        .agg((read(2) - read(0)).alias("_n"))
     )
 
 
@@ -108,8 +117,8 @@ def trailing_sums(
 ) -> DataFrame:
     """Sums over the live events for every distinct ``(by, _us)`` of ``polls``.
 
-    ``events`` has ``by``, ``_us`` and a unique ``_id``; ``polls`` has ``by`` and ``_us``. The
-    result has ``by``, ``_us`` and the sums, 0 where no live row has a value. ``poll_times``
+    ``events`` has ``by``, ``_us`` and a unique ``_id``; ``polls`` has ``by``, ``_us`` and
+    maybe a unique ``_id``. The result has ``by``, ``_us`` and the sums, 0 where no live row has a value. ``poll_times``
     are all the poll times when they are few (see ``few_polls``).
     """
     by = list(by or [])
@@ -131,20 +140,20 @@ def trailing_sums(
         F.lit(None).cast("bigint").alias("_poll"),
         *sums,
     ).withColumn("_t", F.col("_t") * F.col("_dir"))
-    asked = polls.select(*by, "_us").distinct()
     sides = F.array(
         F.struct(F.lit(1).alias("_dir"), us.alias("_t")),
         F.struct(F.lit(-1).alias("_dir"), (us - window_us).alias("_t")),
     )
     reads = (
-        asked.select(*by, us.alias("_poll"), F.explode(sides).alias("_side"))
+        _asked(polls, [*by, "_us"], id_type, poll_times is not None)
+        .select(*by, us.alias("_poll"), "_id", F.explode(sides).alias("_side"))
         .select(
             *by,
             "_side._dir",
             start(F.col("_side._t")).alias("_block"),
             (F.col("_side._t") * F.col("_side._dir")).alias("_t"),
             F.lit(1).alias("_rank"),
-            F.lit(None).cast(id_type).alias("_id"),
+            "_id",
             "_poll",
             *[F.lit(None).cast(values.schema[n].dataType).alias(n) for n in sums],
         )
@@ -157,8 +166,12 @@ def trailing_sums(
         rows_per_chunk,
         bounded=poll_times is not None,
     ).scan(**{f"_run_{n}": ("sum", F.col(n)) for n in sums})
+    # Polls of the same time read the same values, so the largest of them is the one.
+    read = lambda way, n: F.max(F.when(F.col("_dir") == way, F.col(f"_run_{n}")))
     return (
         scan.df.where(F.col("_rank") == 1)
         .groupBy(*by, F.col("_poll").alias("_us"))
-        .agg(*[F.sum(f"_run_{n}").alias(n) for n in sums])
+        .agg(*[
+            (read(1, n) + F.coalesce(read(-1, n), F.lit(0))).alias(n) for n in sums
+        ])
     )
