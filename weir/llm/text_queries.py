@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import table
 from .decontaminate import contamination
+from .jaccard_join import near_components
+from .licenses import license_scan, license_sql
+from .line_dedup import line_dedup
 from .personal import personal_data
 from .quality import quality
 from .registry import query
@@ -58,3 +61,18 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6(spark: SparkSession, d: str) -> DataFrame:
     return quality(table(spark, d, "documents"))
+
+
+@query("op3_license_scan", license_sql())
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan(table(spark, d, "documents"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return near_components(table(spark, d, "documents"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup(table(spark, d, "documents"))
