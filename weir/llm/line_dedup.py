@@ -2,8 +2,8 @@
 
 Two lines are linked if they are equal, or if both have LEAST characters or more and one edit (EDITS) turns one into the
 other. By the partition principle, of EDITS + 1 = 2 segments of a line one is free of edits; the other is split again
-in the same way, three times over, so linked lines agree in all but one of eight leaves. A line is indexed under each of
-its eight (length, leaf, text around the leaf), and probes the same places of lines one character shorter. Keys that
+in the same way, once more, so linked lines agree in all but one of four leaves. A line is indexed under each of
+its four (length, leaf, text around the leaf), and probes the same places of lines one character shorter. Keys that
 only one line has are dropped. The leaves of those that remain are halved further, with the shared keys kept
 each time, down to one character: lines that still share a key are linked, so a key needs no pairs but those with one
 line of it. Links are then verified by banded bit-parallel edit distance on the leaves they first differed in.
@@ -28,7 +28,7 @@ from .graph import components
 
 EDITS = 1
 LEAST = 16
-LEAVES = 8
+LEAVES = 4
 WORD = r"[^\x20\x09-\x0D]"
 
 
