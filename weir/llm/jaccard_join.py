@@ -40,6 +40,8 @@ N = 5
 FEW = 3
 SPARE = 0.3
 SEEN = 100_000
+#: Members of one signature that are compared in one group.
+BLOCK = 2_000
 
 
 def shingles(text: Column) -> Column:
@@ -152,23 +154,43 @@ def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(100 * F.col("i") >= 80 * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+def still_open(shared_rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, one, other (blocks), member, component: what is left to compare.
+
+    Pairs with the pivot are done, so pivots are left out. Of signatures with the same members one is kept. More than
+    BLOCK members come in blocks, each pair of blocks once, so a group that is compared stays small.
+    """
+    rows = stored(shared_rows.where("member <> pivot").join(labels, "member").select("sig", "member", "component"), "near-open")
+    marks = F.xxhash64("member"), F.xxhash64("member", F.lit(1))
+    groups = rows.groupBy("sig").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        *[F.bit_xor(m).alias(f"x{i}") for i, m in enumerate(marks)],
+    ).where("low < high")
+    kept = groups.groupBy("n", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = rows.join(kept, "sig").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")))
+    dealt = dealt.select("sig", "block", "member", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    return dealt.select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "member", "component")
+
+
 def across(rows: DataFrame) -> DataFrame:
     """a, b (a below b): pairs in one signature, of different components, that sizes and coarse counts allow."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["n", "member"])
-        n, comp, member = g["n"].to_numpy(), g["component"].to_numpy(), g["member"].to_numpy()
+        n, comp, member, block = (g[c].to_numpy() for c in ("n", "component", "member", "block"))
+        mixed = g["one"].iloc[0] != g["other"].iloc[0]
         counts = [np.frombuffer(x, np.uint8) for x in g["coarse"]]
-        out: list[tuple[int, int]] = []
-        for i in range(len(g)):
-            end = np.searchsorted(n, n[i] * 5 // 4, "right")
-            js = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
-            for j in js.tolist():
-                least = np.abs(folded(counts[j], len(counts[i])) - counts[i].astype(np.int32)).sum()
-                if 9 * least <= n[i] + n[j]:
-                    out.append((min(member[i], member[j]), max(member[i], member[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        parts = min(map(len, counts))
+        counts = np.stack([folded(x, parts) for x in counts])
+        a, b = [], []
+        for i in range(len(g) - 1):
+            js = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
+            js = js[(comp[js] != comp[i]) & (~mixed | (block[js] != block[i]))]
+            js = js[9 * np.abs(counts[js] - counts[i]).sum(axis=1) <= n[i] + n[js]]
+            a.append(np.minimum(member[i], member[js]))
+            b.append(np.maximum(member[i], member[js]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-    return rows.groupBy("sig").applyInPandas(run, "a long, b long").distinct()
+    return rows.groupBy("sig", "one", "other").applyInPandas(run, "a long, b long").distinct()
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,10 +222,7 @@ def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
     more = stored(bounded(docs, owners, apart(ranked.where("place > 1"))), "near-more")
     links = links.union(stored(linked(docs, owners, more), "near-links"))
     labels = stored(labelled(members, links), "near-labels")
-    of_sig = Window.partitionBy("sig")
-    open_rows = shared.select("sig", "member").join(labels, "member").select(
-        "sig", "member", "component", F.min("component").over(of_sig).alias("low"), F.max("component").over(of_sig).alias("high"))
-    open_rows = stored(open_rows.where("low < high").select("sig", "member", "component"), "near-open")
+    open_rows = stored(still_open(shared, labels), "near-compared")
     known = coarse_counts(docs, owners, open_rows.select("member").distinct())
     pairs = across(open_rows.join(known, "member"))
     tried = ranked.select("a", "b")
