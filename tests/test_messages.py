@@ -368,6 +368,23 @@ def test_pack_by_interval(spark):
     assert [sims.sec(r.start) for r in shifted] == [-3, 12, 17]
     parts = weir.pack_by_interval(df, "5s", pack_rows=1).collect()
     assert sorted(m.id for r in parts for m in r.Pack) == [0, 1, 2, 3, 4]
+    cut = lambda n: sorted(
+        (sims.sec(r.start), r.Part, [m.id for m in r.Pack])
+        for r in weir.pack_by_interval(df.repartition(n), "5s", pack_rows=2, rows_per_chunk=2).collect())
+    assert cut(1) == cut(7) == [(0, 0, [0, 1]), (0, 1, [2]), (10, 0, [3]), (15, 0, [4])]
+    beside = weir.pack_by_interval(df, "5s", start=F.lit(sims.at(2)), ticks=grid).collect()
+    assert sorted(m.id for r in beside for m in r.Pack or []) == [0, 1, 2, 3, 4]
+
+
+def test_decode_keeps_what_no_schema_fits(spark):
+    texts = ['{"a": 1}', "[1,2]", "3", '{"a": "x"}', "no", '{"b": 2}']
+    rows = weir.decode_messages(spark.createDataFrame([(t,) for t in texts], "p string"), "p", schema="a bigint").collect()
+    assert [(r.a, r.data) for r in rows] == [(1, None), *[(None, t) for t in texts[1:5]], (None, None)]
+
+
+def test_messages_keep_microseconds(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:00.172425' AS ts")
+    assert weir.to_messages(df).first().message == '{"ts":"2024-01-01T00:00:00.172425Z"}'
 
 
 def test_batches_and_publishing(spark, tmp_path):

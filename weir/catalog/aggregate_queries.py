@@ -202,17 +202,19 @@ def _(spark, d):
 
 
 @query("pack_by_interval", f"""
-WITH {SQL_EVENTS}, {sql_ticks(HOUR // 2)}
-SELECT p AS t_us, CASE WHEN count(t) > 0 THEN count(t) END AS size, min(event_id) AS first,
-       max(event_id) AS last
-FROM polls LEFT JOIN e ON t >= p AND t < p + {HOUR // 2} GROUP BY p
+WITH {SQL_EVENTS}, {sql_ticks(HOUR // 2)},
+r AS (SELECT *, (row_number() OVER (PARTITION BY t // {HOUR // 2} ORDER BY t, event_id) - 1) // 5 AS part FROM e)
+SELECT p AS t_us, coalesce(part, 0) AS part, CASE WHEN count(t) > 0 THEN count(t) END AS size,
+       min(event_id) AS first, max(event_id) AS last
+FROM polls LEFT JOIN r ON t >= p AND t < p + {HOUR // 2} GROUP BY p, 2
 """)
 def _(spark, d):
     ids = events(spark, d).select("event_id", "ts")
-    out = pack_by_interval(ids, "30m", "ts", "event_id", ticks=ticks(spark, d, "30m"))
+    out = pack_by_interval(ids, "30m", "ts", "event_id", ticks=ticks(spark, d, "30m"), pack_rows=5,
+                           rows_per_chunk=500)
     pack = F.col("Pack.event_id")
     size = F.when(F.col("Pack").isNotNull(), F.size("Pack")).cast("bigint")
-    return out.select(us("start"), size.alias("size"), F.array_min(pack).alias("first"),
+    return out.select(us("start"), F.col("Part").cast("bigint").alias("part"), size.alias("size"), F.array_min(pack).alias("first"),
                       F.array_max(pack).alias("last"))
 
 
@@ -233,13 +235,18 @@ def _readers(spark, d):
     )
 
 
-@query("pack_by_value", SESSIONS)
+@query("pack_by_value", SESSIONS.replace("SELECT CAST(user_id", """, r AS (
+  SELECT *, min(t) OVER (PARTITION BY user_id, session) AS begin,
+         (row_number() OVER (PARTITION BY user_id, session ORDER BY t, event_id) - 1) // 2 AS part FROM s)
+SELECT CAST(user_id""").replace("min(t) AS t_us", "begin AS t_us, part").replace(
+    "FROM s GROUP BY user_id, session", "FROM r GROUP BY user_id, begin, part"))
 def _(spark, d):
-    out = pack_by_value(_readers(spark, d), "reader", "6h", "ts", "event_id")
+    out = pack_by_value(_readers(spark, d), "reader", "6h", "ts", "event_id", pack_rows=2,
+                        rows_per_chunk=500)
     pack = F.col("Pack.event_id")
-    return out.groupBy("reader", us("session")).agg(
-        F.sum(F.size("Pack")).cast("bigint").alias("size"),
-        F.min(F.array_min(pack)).alias("first"), F.max(F.array_max(pack)).alias("last"),
+    return out.select(
+        "reader", us("session"), F.col("Part").cast("bigint").alias("part"),
+        F.size("Pack").cast("bigint").alias("size"), F.array_min(pack).alias("first"), F.array_max(pack).alias("last"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.tables import scratch_path, use_utc, zoned
 from ..streaming import (
@@ -31,11 +32,20 @@ LATEST = "(SELECT max(t) FROM e)"
 LATEST_MS = f"({LATEST} // 1000 * 1000)"
 
 
+def file_stream(spark: SparkSession, d: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    source = spark.readStream.schema(schema)
+    files = spark.read.parquet(f"{d}/{name}.parquet").inputFiles()
+    if any(f.rsplit("/", 2)[-2] == f"{name}.parquet" for f in files):
+        return source.parquet(f"{d}/{name}.parquet")
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def stream(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
     """The events table as a stream of files."""
     use_utc(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    files = file_stream(spark, d, "events", schema)
     rows = zoned(files)
     return rows.where(F.col("event_type").isin(*kinds)) if kinds else rows
 
@@ -178,7 +188,7 @@ SELECT CAST(0 AS BIGINT) AS batch, count(*) AS n, round(-4 * avg((0.5 - y) * x)
 """)
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    files = file_stream(spark, d, "lineitem", schema)
     rows = files.select(
         (F.col("l_quantity") / 50).alias("x"), F.lit(1.0).alias("one"),
         (F.col("l_extendedprice") > 45_000).cast("double").alias("y"),

@@ -7,6 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Option of ``to_json``: its default drops microseconds.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def as_col(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -362,10 +362,38 @@ def kl_divergence(p: DataFrame, q: DataFrame, by: list[str] | None = None) -> Da
 
 
 def kl_divergence_arrays(df: DataFrame, p: str, q: str, id: str = "id") -> DataFrame:
-    """``df`` with ``KL`` of two ``Histogram`` array columns; ``id`` identifies the row. A row
-    without both histograms is dropped."""
-    side = lambda col: df.select(id, F.inline(col))
-    return df.join(kl_divergence(side(p), side(q), [id]), id).select(*df.columns, "KL")
+    """``df`` with ``KL`` of two ``Histogram`` array columns, each row for itself. A row without
+    both histograms is dropped. ``id`` is no longer needed."""
+    none = F.lit(None).cast("double")
+
+    def side(col: str, first: bool) -> Column:
+        count = lambda x: F.when(x["Count"] == 0, EPS).otherwise(x["Count"].cast("double"))
+        total = F.aggregate(F.transform(col, count), F.lit(0.0), lambda a, x: a + x)
+        return F.flatten(F.transform(F.array(total), lambda z: F.transform(col, lambda x: F.struct(
+            x["Label"].alias("Label"), (count(x) / z if first else none).alias("p"),
+            (none if first else count(x) / z).alias("q"),
+        ))))
+
+    def divergence(cells: Column) -> Column:
+        """Cells of one label lie side by side; each label counts at its first cell."""
+        at = lambda i: F.get(cells, i)
+        begins = lambda i: (i == 0) | ~at(i - 1)["Label"].eqNullSafe(at(i)["Label"])
+        twin = lambda i, side: F.when(at(i + 1)["Label"].eqNullSafe(at(i)["Label"]), at(i + 1)[side])
+        labels = F.transform(F.filter(F.sequence(F.lit(0), F.size(cells) - 1), begins), lambda i: F.struct(
+            F.coalesce(at(i)["p"], twin(i, "p"), F.lit(EPS)).alias("a"),
+            F.coalesce(at(i)["q"], twin(i, "q"), F.lit(EPS)).alias("b"),
+        ))
+        sums = F.aggregate(
+            labels, F.struct(*[F.lit(0.0).alias(n) for n in ("t", "za", "zb")]),
+            lambda s, x: F.struct((s["t"] + x["a"] * F.log(x["a"] / x["b"])).alias("t"),
+                                  (s["za"] + x["a"]).alias("za"), (s["zb"] + x["b"]).alias("zb")),
+            lambda s: s["t"] / s["za"] + F.log(s["zb"] / s["za"]),
+        )
+        return sums
+
+    cells = F.array_sort(F.concat(side(p, True), side(q, False)))
+    rows = df.where((F.size(p) > 0) & (F.size(q) > 0))
+    return rows.withColumn("KL", F.element_at(F.transform(F.array(cells), divergence), 1))
 
 
 def message_rate_at(

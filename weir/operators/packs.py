@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.duration import interval_micros, window_micros
 from ..functions.expressions import micros
-from ..plans.ordering import CHUNK, ordered
+from ..plans.ordering import ordered
 from ..plans.streams import Stream, arrival, require_id
 
 PACK_ROWS = 100_000
@@ -20,14 +20,17 @@ def _array(message: Column, order: list[str]) -> Column:
     return F.transform(F.sort_array(F.collect_list(numbered)), lambda m: m["_message"])
 
 
-def _packs(df: DataFrame, by: list[str], order: list[str], pack_rows: int) -> DataFrame:
-    """``by``, ``Part``, ``Pack``: a group is one pack with Part 0 unless it is much larger than
-    ``pack_rows``. Such a group comes as several packs with ascending Part, cut along the order,
-    so that no task has to hold it whole."""
-    cut = ordered(df, order, by, pack_rows)
-    part = F.col(CHUNK) if cut.chunked else F.lit(0)
+def _packs(
+    df: DataFrame, by: list[str], order: list[str], pack_rows: int, rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """``by``, ``Part``, ``Pack``: the messages of a group in packs of ``pack_rows``, the last one
+    shorter. ``Part`` counts a group's packs from 0 along the order, whatever the size or partitioning
+    of the input."""
+    if pack_rows < 1:
+        raise ValueError("pack_rows must be positive")
+    scan = ordered(df, order, by, rows_per_chunk).scan(_row=("sum", F.lit(1)))
     return (
-        cut.df.withColumn("Part", part)
+        scan.df.withColumn("Part", F.floor((F.col("_row") - 1) / pack_rows).cast("int"))
         .groupBy(*by, "Part")
         .agg(_array(F.col("_message"), order).alias("Pack"))
     )
@@ -102,22 +105,23 @@ def interval_start(ts: str, interval: str, start: Column | None = None) -> Colum
 def pack_by_interval(
     df: DataFrame, interval: str = "1s", ts: str = "ts", id: str = "id",
     start: Column | None = None, ticks: DataFrame | None = None, pack_rows: int = PACK_ROWS,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Tumbling packs: ``start``, ``Part``, ``Pack``.
 
     ``ticks`` (a ``tick_grid`` with ``ts`` at the interval starts) adds a row with a null Pack for
-    every interval without messages. ``Part`` is 0 but for intervals much larger than
-    ``pack_rows`` messages, which come as several parts.
+    every interval without messages; intervals that are no tick keep their packs. An interval of more
+    than ``pack_rows`` messages comes as several parts of so many.
     """
     require_id(df, id)
     rows = df.select(
         interval_start(ts, interval, start).alias("start"),
         micros(ts).alias("_us"), F.col(id).alias("_id"), F.struct("*").alias("_message"),
     ).where(F.col("start").isNotNull())
-    packs = _packs(rows, ["start"], ["_us", "_id"], pack_rows)
+    packs = _packs(rows, ["start"], ["_us", "_id"], pack_rows, rows_per_chunk)
     if ticks is None:
         return packs
-    return ticks.select(F.col("ts").alias("start")).join(packs, "start", "left").withColumn(
+    return ticks.select(F.col("ts").alias("start")).join(packs, "start", "full").withColumn(
         "Part", F.coalesce("Part", F.lit(0))
     )
 
@@ -171,15 +175,14 @@ def pack_by_value(
 ) -> DataFrame:
     """Session packs: key, ``session``, ``Part``, ``Pack``.
 
-    Sessions much larger than ``pack_rows`` messages come as several parts; all others have the
-    single Part 0. ``as_of`` leaves out sessions still open at that time.
+    Sessions of more than ``pack_rows`` messages come as several parts of so many. ``as_of`` leaves out sessions still open at that time.
     """
     tagged = sessions(df, key, gap, ts, id, rows_per_chunk)
     rows = tagged.select(
         key, "session", micros(ts).alias("_us"), F.col(id).alias("_id"),
         F.struct(*df.columns).alias("_message"),
     )
-    packs = _packs(rows, [key, "session"], ["_us", "_id"], pack_rows)
+    packs = _packs(rows, [key, "session"], ["_us", "_id"], pack_rows, rows_per_chunk)
     if as_of is None:
         return packs
     closed = session_summary(df, key, gap, ts, id, as_of, rows_per_chunk)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.expressions import as_col
+from ..functions.expressions import MICROS, as_col
 
 
 def filter_messages(df: DataFrame, cond: str | Column | None = None) -> DataFrame:
@@ -97,8 +97,9 @@ def unpack(df: DataFrame, array_col: str, label: str | None = None) -> DataFrame
 
 
 def to_messages(df: DataFrame) -> DataFrame:
-    """Every row as one JSON object in the column ``message`` (P12). Null fields are absent."""
-    return df.select(F.to_json(F.struct("*")).alias("message"))
+    """Every row as one JSON object in the column ``message`` (P12). Null fields are absent; times
+    keep their microseconds."""
+    return df.select(F.to_json(F.struct("*"), MICROS).alias("message"))
 
 
 def script(

@@ -156,7 +156,7 @@ def fire_at_ticks(
             for _, exact, n in sorted(group, key=lambda s: s[1]):
                 live.append((at + span + int(exact), n))
                 total += n
-            while live[0][0] <= at:
+            while live and live[0][0] <= at:
                 total -= live.popleft()[1]
             if total >= threshold:
                 out.append((keys[0], at, float(total)))

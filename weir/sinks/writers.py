@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.duration import interval_micros
+from ..functions.expressions import MICROS
 from ..operators.project import to_messages
 from ..plans.streams import Stream, arrival, require_id
 
@@ -45,7 +46,7 @@ def batch_payloads(
         position = F.col("_n") - F.col("_base")
         by = [start.alias("start")]
     batch = F.floor(position / max_batch).alias("batch")
-    rows = scan.df.select(*by, batch, "_n", F.to_json("_m0").alias("_payload"))
+    rows = scan.df.select(*by, batch, "_n", F.to_json("_m0", MICROS).alias("_payload"))
     keys = (["start"] if by else []) + ["batch"]
     out = rows.groupBy(*keys).agg(
         F.transform(
@@ -83,7 +84,7 @@ def bulk_docs(df: DataFrame, index: str, id: str | None = None) -> DataFrame:
     if id is not None:
         target["_id"] = F.col(id).cast("string")
     action = F.struct(F.struct(*[c.alias(k) for k, c in target.items()]).alias("index"))
-    return df.select(F.to_json(action).alias("action"), F.to_json(F.struct("*")).alias("document"))
+    return df.select(F.to_json(action).alias("action"), F.to_json(F.struct("*"), MICROS).alias("document"))
 
 
 def show_messages(df: DataFrame, n: int = 20) -> None:

@@ -15,7 +15,8 @@ def decode_messages(
 
     Without a schema the result column ``message`` is a variant. With ``on_error="data"`` a payload
     that is no JSON becomes ``{"data": payload}``; with ``"drop"`` the row is dropped. With a schema
-    the result has its columns and, unless dropping, ``data`` for payloads that are no JSON.
+    the result has its columns and, unless dropping, ``data``: the payload if it is no JSON object or
+    if a field is not of the schema's type.
     """
     if on_error not in ("data", "drop"):
         raise ValueError("on_error is 'data' or 'drop'")
@@ -30,10 +31,13 @@ def decode_messages(
         return rows.select(*keep, F.coalesce(parsed, wrapped).alias("message"))
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    out = rows.select(*keep, F.from_json(text, schema).alias("_m"),
-                      F.when(parsed.isNull(), text).alias("_bad"))
-    data = [F.col("_bad").alias("data")] if on_error == "data" else []
-    return out.select(*keep, "_m.*", *data)
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    out = rows.select(
+        *keep, text.alias("_text"), F.from_json(text, wide, {"columnNameOfCorruptRecord": "_bad"}).alias("_m")
+    )
+    bad = F.coalesce(F.col("_m._bad"), F.when(F.col("_m").isNull(), F.col("_text")))
+    data = [bad.alias("data")] if on_error == "data" else []
+    return out.select(*keep, *[F.col("_m").getField(f.name).alias(f.name) for f in schema.fields], *data)
 
 
 def read_messages(

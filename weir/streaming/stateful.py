@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.duration import parse_duration, window_micros
+from ..functions.expressions import MICROS
 
 # Spark drops rows at or behind the watermark, so it must stay behind the latest arrival for rows of
 # the same instant that come with the next micro-batch.
@@ -32,7 +33,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def _rows(df: DataFrame, key: str, ts: str, id: str, rank: int = 0) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.lit(rank).alias("rank"),
-        F.col(id).cast("bigint").alias("id"), F.to_json(F.struct("*")).alias("message"),
+        F.col(id).cast("bigint").alias("id"), F.to_json(F.struct("*"), MICROS).alias("message"),
     )
 
 
@@ -298,7 +299,7 @@ def sync_stream(
     rows = df.where(F.col(key).isNotNull() & own.isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.lit(0).alias("rank"),
         F.col(id).cast("bigint").alias("id"), own.alias("own"),
-        (own + parse_duration(lag)).alias("due"), F.to_json(F.struct("*")).alias("message"),
+        (own + parse_duration(lag)).alias("due"), F.to_json(F.struct("*"), MICROS).alias("message"),
     )
     schema = "key string, release timestamp, late boolean, id bigint, message string"
     return _run(rows.withWatermark("ts", delay), _Sync(), schema, "EventTime")
