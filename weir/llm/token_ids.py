@@ -13,6 +13,7 @@ the rounds of ``bpe``, which tests hold against the library, and all others go t
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import scratch_path
 from .bpe import loaded
-from .common import pick, short_batches, stored
+from .common import pick, short_batches, small_side, stored
 
 #: Bytes of each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
@@ -50,31 +51,38 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def width(path: str, end_id: int | None) -> str:
+    """The little-endian type that holds every id of the vocabulary: two bytes if they suffice."""
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    top = max([*data["model"]["vocab"].values(), *(x["id"] for x in data.get("added_tokens", [])), end_id or 0])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit values), the end id included."""
+    """doc_id, n_tokens, ids (values of the vocabulary's ``width``), the end id included."""
     spark = docs.sparkSession
     short_batches(spark)
     spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
-    end = np.array([] if end_id is None else [end_id], np.int32)
+    end, kind = np.array([] if end_id is None else [end_id], np.int32), width(path, end_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = loaded(spec.value)
         for b in batches:
-            ids = [np.append(x, end).astype("<u4") for x in encoder.encode(b["text"])]
+            ids = [np.append(x, end).astype(kind) for x in encoder.encode(b["text"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
 
     texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     return texts.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def ranked(ids: DataFrame) -> np.ndarray:
+def ranked(ids: DataFrame, kind: str) -> np.ndarray:
     """Token ids by falling frequency, then by id. Counts are summed per task first; the result is one number per
     id of the vocabulary, which bounds what reaches the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b["ids"]), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(b["ids"]), kind))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
@@ -89,7 +97,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, b
     """Encode all texts and write ``folder``/ranks and ``folder``/blocks."""
     spark = docs.sparkSession
     ids = stored(encoded(docs, path, end_id), "token-ids")
-    by_rank = ranked(ids)
+    kind = width(path, end_id)
+    size_of = np.dtype(kind).itemsize
+    by_rank = ranked(ids, kind)
     spark.createDataFrame([(by_rank.tolist(),)], "ids array<long>").write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -100,10 +110,10 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, b
 
         def row() -> pd.DataFrame:
             nonlocal block, before, held
-            flat = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            flat = np.frombuffer(b"".join(x for _, x in held), kind)
             control, data = pack(shared.value[flat])
             out = {"chunk": chunk, "block": block, "before": before, "n_ids": len(flat), "doc_ids": [d for d, _ in held],
-                   "lengths": [len(x) // 4 for _, x in held], "control": control, "data": data}
+                   "lengths": [len(x) // size_of for _, x in held], "control": control, "data": data}
             block, before, held = block + 1, before + len(flat), []
             return pd.DataFrame([out])
 
@@ -111,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, b
         for b in batches:
             for doc, x in zip(b["doc_id"], b["ids"]):
                 held.append((None if pd.isna(doc) else int(doc), x))
-                size += len(x) // 4
+                size += len(x) // size_of
                 if size >= block_ids:
                     yield row()
                     size = 0
@@ -149,7 +159,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     "ids_crc32": [zlib.crc32(x) for x in raw], "ids": raw,
                 })
 
-    return blocks.join(starts, "chunk").mapInPandas(
+    return blocks.join(small_side(starts, 16), "chunk").mapInPandas(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     )
 
