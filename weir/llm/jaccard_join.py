@@ -42,6 +42,9 @@ SPARE = 0.3
 SEEN = 100_000
 #: Members of one signature that are compared in one group.
 BLOCK = 2_000
+#: Of so many members one is signed beforehand, and a signature of more than about so many members is shuffled in parts.
+SAMPLE = 16
+PART_ROWS = 1_000
 
 
 def shingles(text: Column) -> Column:
@@ -200,13 +203,37 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         "member", F.coalesce("component", "member").alias("component"))
 
 
+def crowded(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """sig, parts: signatures that many members have, as those members tell whose hash is a multiple of SAMPLE.
+
+    It only decides how rows are shuffled, never which.
+    """
+    some = owners.where(F.pmod("member", F.lit(SAMPLE)) == 0).select("doc_id")
+    n = signed(docs.join(small_side(some, 16), "doc_id", "left_semi")).groupBy("sig").agg((F.count("*") * SAMPLE).alias("n"))
+    return stored(n.where(F.col("n") > PART_ROWS).select("sig", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "near-crowded")
+
+
+def shared_signatures(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """sig, member, pivot (least member) of the signatures of two or more members.
+
+    One shuffle by signature serves to drop repeats, find pivots and drop signatures of one member; a crowded signature
+    is dealt to several tasks by member, and the ends that each found are put together.
+    """
+    split = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("member"), "parts"))
+    rows = signed(docs).join(small_side(crowded(docs, owners), 16), "sig", "left").select("sig", "member", split.alias("part"))
+    group = Window.partitionBy("sig", "part")
+    ends = rows.repartition("sig", "part").distinct().select(
+        "sig", "member", "part", F.min("member").over(group).alias("low"), F.max("member").over(group).alias("high"))
+    found = stored(ends.where("part is not null or low < high"), "near-found")
+    whole = stored(found.where("part is not null").groupBy("sig").agg(
+        F.min("low").alias("least"), F.max("high").alias("greatest")), "near-ends")
+    rows = found.join(small_side(whole, 24), "sig", "left").withColumn("pivot", F.coalesce("least", "low"))
+    return rows.where(F.col("pivot") < F.coalesce("greatest", "high")).select("sig", "member", "pivot")
+
+
 def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Links a, b between members, enough of them to connect all that are connected."""
-    by_sig = Window.partitionBy("sig")
-    # one shuffle by signature serves to drop repeats, find pivots and drop signatures of one member
-    rows = signed(docs).repartition("sig").dropDuplicates(["sig", "member"]).select(
-        "sig", "member", F.min("member").over(by_sig).alias("pivot"), F.max("member").over(by_sig).alias("top"))
-    shared = stored(rows.where("pivot < top").select("sig", "member", "pivot"), "near-shared")
+    shared = shared_signatures(docs, owners)
     stars = shared.where("pivot <> member").groupBy("pivot", "member").agg(F.count("*").alias("k"))
     ranked = stored(stars.select(
         F.col("pivot").alias("a"), F.col("member").alias("b"),
