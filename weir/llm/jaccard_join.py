@@ -42,6 +42,8 @@ SPARE = 0.3
 SEEN = 100_000
 #: Members of one signature that are compared in one group.
 BLOCK = 2_000
+#: Counts held for one group; parts of larger groups are folded.
+CELLS = 8_000_000
 #: Of so many members one is signed beforehand, and a signature of more than about so many members is shuffled in parts.
 SAMPLE = 16
 PART_ROWS = 1_000
@@ -111,13 +113,14 @@ def signatures(hashes: np.ndarray, band: int, high: int) -> np.ndarray:
 
 
 def coarse(hashes: np.ndarray) -> bytes:
-    """Elements by coarse parts, about one part for eight elements, a power of two in number."""
-    parts = 1 << max(0, int(np.ceil(np.log2(max(len(hashes), 1) / 8))))
+    """Elements by coarse parts, about one part for two elements, a power of two in number."""
+    parts = 1 << max(0, int(np.ceil(np.log2(max(len(hashes), 1) / 2))))
     n = np.bincount((mix(hashes.astype(np.uint64) ^ np.uint64(11)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
     return np.minimum(n, 255).astype(np.uint8).tobytes()
 
 
 def folded(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Counts of fewer parts (a power of two): a weaker bound, but still one."""
     return counts.astype(np.int32).reshape(-1, parts).sum(axis=0)
 
 
@@ -183,12 +186,16 @@ def across(rows: DataFrame) -> DataFrame:
         mixed = g["one"].iloc[0] != g["other"].iloc[0]
         counts = [np.frombuffer(x, np.uint8) for x in g["coarse"]]
         parts = min(map(len, counts))
-        counts = np.stack([folded(x, parts) for x in counts])
+        while parts > 1 and parts * len(g) > CELLS:
+            parts //= 2
+        fine = np.stack([folded(x, parts) for x in counts])
+        rough = fine.reshape(len(g), -1, max(1, parts // 4)).sum(axis=1)
         a, b = [], []
         for i in range(len(g) - 1):
             js = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
             js = js[(comp[js] != comp[i]) & (~mixed | (block[js] != block[i]))]
-            js = js[9 * np.abs(counts[js] - counts[i]).sum(axis=1) <= n[i] + n[js]]
+            for counts in (rough, fine):
+                js = js[9 * np.abs(counts[js] - counts[i]).sum(axis=1) <= n[i] + n[js]]
             a.append(np.minimum(member[i], member[js]))
             b.append(np.maximum(member[i], member[js]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
