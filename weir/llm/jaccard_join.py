@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ SPARE = 0.3
 SEEN = 100_000
 #: Members of one signature that are compared in one group.
 BLOCK = 2_000
-#: Counts held for one group; parts of larger groups are folded.
-CELLS = 8_000_000
+#: Counts that are held for one group, or compared at a time; parts of larger groups are folded.
+CELLS = 1_000_000
 #: Of so many members one is signed beforehand, and a signature of more than about so many members is shuffled in parts.
 SAMPLE = 16
 PART_ROWS = 1_000
@@ -126,25 +127,26 @@ def folded(counts: np.ndarray, parts: int) -> np.ndarray:
 
 def signed(docs: DataFrame) -> DataFrame:
     """sig, member of all sets; copies in one task sign once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             sig, member = [], []
-            for m, s in zip(b["member"], b["set"]):
-                if m in seen:
+            for m, s in zip(b["member"].to_pylist(), b["set"]):
+                if m is None or m in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(m)
-                s = np.asarray(s, np.int64)
+                s = s.values.to_numpy()
                 for band, high in bands_of(len(s)):
                     keys = signatures(s, band, high)
                     sig.append(keys.astype(np.int64))
                     member.append(np.full(len(keys), m, np.int64))
-            yield pd.DataFrame({"sig": np.concatenate(sig), "member": np.concatenate(member)}) if sig else pd.DataFrame(
-                {"sig": np.zeros(0, np.int64), "member": np.zeros(0, np.int64)})
+            if sig:
+                yield pa.record_batch({"sig": np.concatenate(sig), "member": np.concatenate(member)})
 
-    return sets(docs).where("n > 0").select("member", "set").mapInPandas(run, "sig long, member long")
+    # sets without a member are left out in the task: as a filter, the shingles would be worked out twice
+    return sets(docs).select("member", "set").mapInArrow(run, "sig long, member long")
 
 
 def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     a_sets = docs.join(small_side(right, 16, n), "doc_id").select("a", shingles(F.col("text")).alias("set_a"))
     both = b_sets.join(a_sets.hint("merge"), "a").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"),
                                                          (F.size("set_a") + F.size("set_b")).alias("t"))
-    return both.where(100 * F.col("i") >= 80 * (F.col("t") - F.col("i"))).select("a", "b")
+    return both.where(180 * F.col("i") >= 80 * F.col("t")).select("a", "b")
 
 
 def still_open(shared_rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,29 +180,44 @@ def still_open(shared_rows: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "member", "component")
 
 
+def allowed_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, mixed: bool, counts: list[np.ndarray]) -> np.ndarray:
+    """Index pairs of sets (by rising n) of different components that sizes and each of the counts allow, in two columns."""
+    found, step = [np.zeros((0, 2), np.int64)], max(1, CELLS // 4 // len(n))
+    for low in range(0, len(n), step):
+        first = slice(low, low + step)
+        ok = (component[first, None] != component) & (4 * n <= 5 * n[first, None])
+        if mixed:
+            ok &= block[first, None] != block
+        i, j = np.nonzero(np.triu(ok, low + 1))
+        i += low
+        for c in counts:
+            some = max(1, CELLS // c.shape[1])
+            fits = [9 * np.abs(c[i[k:k + some]] - c[j[k:k + some]]).sum(axis=1) <= n[i[k:k + some]] + n[j[k:k + some]] for k in range(0, len(i), some)]
+            if fits:
+                fit = np.concatenate(fits)
+                i, j = i[fit], j[fit]
+        found.append(np.stack([i, j], axis=1))
+    return np.concatenate(found)
+
+
 def across(rows: DataFrame) -> DataFrame:
     """a, b (a below b): pairs in one signature, of different components, that sizes and coarse counts allow."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "member"])
-        n, comp, member, block = (g[c].to_numpy() for c in ("n", "component", "member", "block"))
-        mixed = g["one"].iloc[0] != g["other"].iloc[0]
-        counts = [np.frombuffer(x, np.uint8) for x in g["coarse"]]
+    def run(g: pa.Table) -> pa.Table:
+        n, member, component, block = (g[c].to_numpy() for c in ("n", "member", "component", "block"))
+        order = np.lexsort((member, n))
+        n, member, component, block = (x[order].astype(np.int64) for x in (n, member, component, block))
+        raw = g["coarse"].to_pylist()
+        counts = [np.frombuffer(raw[i], np.uint8) for i in order]
         parts = min(map(len, counts))
-        while parts > 1 and parts * len(g) > CELLS:
+        while parts > 1 and parts * len(n) > CELLS:
             parts //= 2
         fine = np.stack([folded(x, parts) for x in counts])
-        rough = fine.reshape(len(g), -1, max(1, parts // 4)).sum(axis=1)
-        a, b = [], []
-        for i in range(len(g) - 1):
-            js = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
-            js = js[(comp[js] != comp[i]) & (~mixed | (block[js] != block[i]))]
-            for counts in (rough, fine):
-                js = js[9 * np.abs(counts[js] - counts[i]).sum(axis=1) <= n[i] + n[js]]
-            a.append(np.minimum(member[i], member[js]))
-            b.append(np.maximum(member[i], member[js]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    return rows.groupBy("sig", "one", "other").applyInPandas(run, "a long, b long").distinct()
+        rough = fine.reshape(len(n), -1, max(1, parts // 4)).sum(axis=1, dtype=np.int32)
+        mixed = g["one"][0].as_py() != g["other"][0].as_py()
+        i, j = allowed_pairs(n, component, block, mixed, [rough, fine]).T
+        return pa.table({"a": np.minimum(member[i], member[j]), "b": np.maximum(member[i], member[j])})
+
+    return rows.groupBy("sig", "one", "other").applyInArrow(run, "a long, b long").distinct()
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
