@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from weir.llm import jaccard_join
 from weir.llm.bpe import Bpe, round_trip
 from weir.llm.decontaminate import clean_documents, contamination
 from weir.llm.jaccard_join import near_components, one_of_each
@@ -249,6 +250,26 @@ def test_jaccard_join(spark, edge, none):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_jaccard_join_in_parts(spark, monkeypatch):
+    """Crowded signatures dealt to several tasks, and blocks of few members, give the same components."""
+    for name, value in (("SAMPLE", 1), ("PART_ROWS", 3), ("BLOCK", 4), ("CELLS", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, docs = random.Random(5), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    for k in range(60):
+        x = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            x[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        docs.append((k, " ".join(x)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    owners = jaccard_join.sets(df).groupBy("member").agg(jaccard_join.F.min("doc_id").alias("doc_id"))
+    crowded = jaccard_join.crowded(df, owners).collect()
+    assert crowded and max(r.parts for r in crowded) > 3
+    want = components_of(docs)
+    assert len({c for _, c in want.values()}) > 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(df).collect()} == want
+
+
 def one_edit(a, b):
     a, b = sorted((a, b), key=len)
     i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
