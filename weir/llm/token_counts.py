@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 from .token_ids import encoded
 
 RANGE = 256
@@ -23,7 +24,11 @@ def length_histogram(docs: DataFrame, path: str, end_id: int | None = None) -> D
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length L that occurs: docs and tokens of that length, docs_longer and tokens_longer beyond it,
-    docs_total, tokens_total, truncated_tokens (sum of min(length, L)), and quantile (share of documents up to L)."""
+    docs_total, tokens_total, truncated_tokens (sum of min(length, L)), and quantile (share of documents up to L).
+
+    The histogram is written out first, as it is read twice and texts should be encoded once.
+    """
+    histogram = stored(histogram, "token-histogram")
     rows = histogram.select(
         "n_tokens", "docs", (F.col("docs") * F.col("n_tokens")).alias("tokens"),
         F.floor(F.col("n_tokens") / RANGE).alias("range"),
