@@ -1,8 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds the 64-bit hashes of its different 5-word shingles. Set sizes fall into bands whose ends grow by
-1/0.8; similar sets lie in one band or in two adjacent ones, so each set signs for its own band and the next. Two similar
-sets of at most r shingles differ in k = 2r/9 at most. For small k, the domain of hashes is cut into k + 2 parts and all
+1/0.8; similar sets lie in one band or in two adjacent ones, and pairs go by the band of the smaller set, so each set signs
+for its own band and the one before. Similar sets of m and n shingles differ in k = (m + n)/9 at most. For small k, the domain of hashes is cut into k + 2 parts and all
 pairs of parts sign: at most k parts differ, so one pair agrees. For larger k it is cut into k + 1 + e parts (e is
 0.3 k) and each part signs for itself, but a set leaves out the e parts that are last by (elements, hash of content). Of
 the e + 1 or more parts that agree, the first in that order is left out by neither set, so no similar pair is lost, while
@@ -14,7 +14,7 @@ yet connected to. Where members of a signature are still in different components
 as well; a lower bound of the difference by coarse counts comes first, so few are read. Every pair that shares a signature
 is then verified, excluded by a bound, or connected already: components are exact.
 
-Sets, components and joins are DataFrame operations; signatures and coarse counts are numpy work in tasks.
+Components and joins are DataFrame operations; sets, signatures and coarse counts are numpy work in tasks.
 Words: A-Z in lower case, runs without ASCII white space. Null, empty and blank texts have no shingles and are linked
 with nothing; fewer than five words are one shingle. Equal rows are copies of one another. Rows without doc_id
 belong to a component like others, but don't name it, unless nothing else does. Other columns are ignored.
@@ -22,18 +22,18 @@ belong to a component like others, but don't name it, unless nothing else does.
 
 from __future__ import annotations
 
-import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, pick, short_batches, small_side, stored
+from .common import pick, short_batches, small_side, stored
 from .graph import components
 
 N = 5
@@ -41,6 +41,10 @@ N = 5
 FEW = 3
 SPARE = 0.3
 SEEN = 100_000
+LONG_WORD = 64
+SET = pa.list_(pa.int64())
+#: Odd factors of the words of a shingle.
+PLACES = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, N + 1, dtype=np.uint64)
 #: Members of one signature that are compared in one group.
 BLOCK = 2_000
 #: Counts that are held for one group, or compared at a time; parts of larger groups are folded.
@@ -50,34 +54,76 @@ SAMPLE = 16
 PART_ROWS = 1_000
 
 
-def shingles(text: Column) -> Column:
-    """Different 5-word hashes of a text, in order of their place; one hash for fewer words, none for no word."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    words = F.array_remove(F.split(F.coalesce(lowered, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+class Hashes(dict):
+    """64-bit hashes of words; the words seen before are looked up, as long as they are few and short."""
 
-    def hashed(w: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(w) - N + 1)
-        grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(N)])))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < N, F.array(F.xxhash64(F.size(w), w))).otherwise(grams)
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= SEEN:
+                self.clear()
+            self[word] = h
+        return h
 
-    return let(words, hashed)
+
+def shingles(text: bytes | None, hashes: Hashes) -> np.ndarray:
+    """Sorted different 5-word hashes of a text; one hash for fewer words, none for no word."""
+    # both methods of bytes know ASCII only: A-Z, and white space
+    words = (text or b"").lower().split()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if len(h) == 0:
+        return h
+    size = min(len(h), N)
+    grams = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        grams += h[i:len(h) - size + 1 + i] * PLACES[i]
+    return np.unique(mix(grams))
+
+
+def member_of(grams: np.ndarray) -> int | None:
+    """Hash of a set, signed; None for an empty one."""
+    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+
+
+def mapped(rows: DataFrame, kept: str, made: dict[str, pa.DataType], of: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """Columns ``kept`` of rows (longs, comma-separated), and those that ``of`` makes of the shingles of the text."""
+    names = kept.split(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            values = zip(*(of(shingles(t.as_py(), hashes)) for t in b["text"])) if len(b) else [[] for _ in made]
+            columns = [pa.array(v, kind) for v, kind in zip(values, made.values())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *columns], names=[*names, *made])
+
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in names]
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", SET: "array<bigint>"}
+    schema = ", ".join([*fields, *(f"{c} {kinds[kind]}" for c, kind in made.items())])
+    return rows.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), member (hash of the sorted set, null for an empty one) and the set."""
-    rows = docs.select("doc_id", shingles(F.col("text")).alias("set"))
-    return rows.select("doc_id", F.size("set").alias("n"), F.when(F.size("set") > 0, F.xxhash64(F.sort_array("set"))).alias("member"), "set")
+    """doc_id, n (set size) and member (hash of the sorted set, null for an empty one)."""
+    return mapped(docs, "doc_id", {"n": pa.int32(), "member": pa.int64()}, lambda s: (len(s), member_of(s)))
+
+
+def with_set(rows: DataFrame, kept: str, name: str) -> DataFrame:
+    """Columns ``kept`` of rows and the set of the text."""
+    return mapped(rows, kept, {name: SET}, lambda s: (s.view(np.int64),))
 
 
 @cache
 def bands_of(size: int) -> list[tuple[int, int]]:
-    """Number and end of a set size's own band and of the next."""
-    band, low = 0, 1
+    """Band and most differing elements of the pairs that a set of this size can be in: as smaller set, as larger set.
+
+    Pairs go by the band of their smaller set. Of sizes m <= n <= 5 m / 4, at most (m + n) / 9 elements differ.
+    """
+    band, low, before = 0, 1, 0
     while low * 5 // 4 < size:
-        band, low = band + 1, low * 5 // 4 + 1
-    high = low * 5 // 4
-    return [(band, high), (band + 1, (high + 1) * 5 // 4)]
+        before = low * 5 // 4
+        band, low = band + 1, before + 1
+    ends = [(band, low * 5 // 4)] + ([(band - 1, before)] if before * 5 // 4 >= size else [])
+    return [(b, (end + end * 5 // 4) // 9) for b, end in ends]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,9 +141,8 @@ def part_sums(hashes: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndar
     return np.bincount(part, minlength=parts), low + (high << np.uint64(32))
 
 
-def signatures(hashes: np.ndarray, band: int, high: int) -> np.ndarray:
-    """Signatures of one set for a band that ends at ``high``."""
-    k = 2 * high // 9
+def signatures(hashes: np.ndarray, band: int, k: int) -> np.ndarray:
+    """Signatures of one set for pairs of a band, of which at most ``k`` elements differ."""
     if k == 0:
         return np.zeros(0, np.uint64)
     h = hashes.astype(np.uint64)
@@ -129,24 +174,25 @@ def signed(docs: DataFrame) -> DataFrame:
     """sig, member of all sets; copies in one task sign once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hashes = Hashes()
         for b in batches:
             sig, member = [], []
-            for m, s in zip(b["member"].to_pylist(), b["set"]):
+            for t in b["text"]:
+                s = shingles(t.as_py(), hashes)
+                m = member_of(s)
                 if m is None or m in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(m)
-                s = s.values.to_numpy()
-                for band, high in bands_of(len(s)):
-                    keys = signatures(s, band, high)
-                    sig.append(keys.astype(np.int64))
+                for band, k in bands_of(len(s)):
+                    keys = signatures(s, band, k)
+                    sig.append(keys.view(np.int64))
                     member.append(np.full(len(keys), m, np.int64))
             if sig:
                 yield pa.record_batch({"sig": np.concatenate(sig), "member": np.concatenate(member)})
 
-    # sets without a member are left out in the task: as a filter, the shingles would be worked out twice
-    return sets(docs).select("member", "set").mapInArrow(run, "sig long, member long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, member long")
 
 
 def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,20 +201,20 @@ def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     who = owners.select("doc_id", "member")
     left = pairs.join(who.withColumnRenamed("member", "b"), "b").select("doc_id", "a", "b")
     right = pairs.select("a").distinct().join(who.withColumnRenamed("member", "a"), "a").select("doc_id", "a")
-    b_sets = docs.join(small_side(left, 24, n), "doc_id").select("a", "b", shingles(F.col("text")).alias("set_b"))
-    a_sets = docs.join(small_side(right, 16, n), "doc_id").select("a", shingles(F.col("text")).alias("set_a"))
+    b_sets = with_set(docs.join(small_side(left, 24, n), "doc_id"), "a, b", "set_b")
+    a_sets = with_set(docs.join(small_side(right, 16, n), "doc_id"), "a", "set_a")
     both = b_sets.join(a_sets.hint("merge"), "a").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"),
                                                          (F.size("set_a") + F.size("set_b")).alias("t"))
     return both.where(180 * F.col("i") >= 80 * F.col("t")).select("a", "b")
 
 
-def still_open(shared_rows: DataFrame, labels: DataFrame) -> DataFrame:
+def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, one, other (blocks), member, component: what is left to compare.
 
     Pairs with the pivot are done, so pivots are left out. Of signatures with the same members one is kept. More than
     BLOCK members come in blocks, each pair of blocks once, so a group that is compared stays small.
     """
-    rows = stored(shared_rows.where("member <> pivot").join(labels, "member").select("sig", "member", "component"), "near-open")
+    rows = stored(shared.join(labels, "member").select("sig", "member", "component"), "near-open")
     marks = F.xxhash64("member"), F.xxhash64("member", F.lit(1))
     groups = rows.groupBy("sig").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
@@ -237,32 +283,49 @@ def crowded(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return stored(n.where(F.col("n") > PART_ROWS).select("sig", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "near-crowded")
 
 
+def after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by sig, part, member: repeats go, low is the first member of sig and part, and that member's
+    own row goes where there is no part."""
+    last = None
+    for b in batches:
+        sig, member = b["sig"].to_numpy(), b["member"].to_numpy()
+        part = b["part"].fill_null(-1).to_numpy(zero_copy_only=False)
+        if not len(sig):
+            continue
+        was = [np.concatenate([x[:1] if last is None else [v], x[:-1]]) for x, v in zip((sig, part, member), last or (0, 0, 0))]
+        start = (sig != was[0]) | (part != was[1])
+        start[0] |= last is None
+        place = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
+        low = np.where(place < 0, last[3] if last else 0, member[place])
+        kept = start & (part >= 0) | ~start & (member != was[2])
+        last = sig[-1], part[-1], member[-1], low[-1]
+        columns = {"sig": sig[kept], "member": member[kept], "part": part[kept], "low": low[kept]}
+        yield pa.record_batch({name: pa.array(x, pa.int64()) for name, x in columns.items()})
+
+
 def shared_signatures(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """sig, member, pivot (least member) of the signatures of two or more members.
+    """sig, member, pivot (least member of the signature, another than this one).
 
     One shuffle by signature serves to drop repeats, find pivots and drop signatures of one member; a crowded signature
-    is dealt to several tasks by member, and the ends that each found are put together.
+    is dealt to several tasks by member, and what each found least is put together.
     """
     split = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("member"), "parts"))
     rows = signed(docs).join(small_side(crowded(docs, owners), 16), "sig", "left").select("sig", "member", split.alias("part"))
-    group = Window.partitionBy("sig", "part")
-    ends = rows.repartition("sig", "part").distinct().select(
-        "sig", "member", "part", F.min("member").over(group).alias("low"), F.max("member").over(group).alias("high"))
-    found = stored(ends.where("part is not null or low < high"), "near-found")
-    whole = stored(found.where("part is not null").groupBy("sig").agg(
-        F.min("low").alias("least"), F.max("high").alias("greatest")), "near-ends")
-    rows = found.join(small_side(whole, 24), "sig", "left").withColumn("pivot", F.coalesce("least", "low"))
-    return rows.where(F.col("pivot") < F.coalesce("greatest", "high")).select("sig", "member", "pivot")
+    dealt = rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "member")
+    found = stored(dealt.mapInArrow(after_first, "sig long, member long, part long, low long"), "near-found")
+    whole = stored(found.where("part >= 0").groupBy("sig").agg(F.min("low").alias("least")), "near-ends")
+    rows = found.join(small_side(whole, 16), "sig", "left").withColumn("pivot", F.coalesce("least", "low"))
+    return rows.where("pivot <> member").select("sig", "member", "pivot")
 
 
 def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Links a, b between members, enough of them to connect all that are connected."""
     shared = shared_signatures(docs, owners)
-    stars = shared.where("pivot <> member").groupBy("pivot", "member").agg(F.count("*").alias("k"))
+    stars = shared.groupBy("pivot", "member").agg(F.count("*").alias("k"))
     ranked = stored(stars.select(
         F.col("pivot").alias("a"), F.col("member").alias("b"),
         F.row_number().over(Window.partitionBy("member").orderBy(F.desc("k"), "pivot")).alias("place")), "near-stars")
-    members = shared.select("member").distinct()
+    members = ranked.select(F.explode(F.array("a", "b")).alias("member")).distinct()
     links = stored(linked(docs, owners, ranked.where("place = 1")), "near-links")
     labels = stored(labelled(members, links), "near-labels")
 
@@ -283,14 +346,9 @@ def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
 
 def coarse_counts(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
     """member, n, coarse of the given members."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            arrays = [np.asarray(s, np.int64) for s in b["set"]]
-            yield pd.DataFrame({"member": b["member"], "n": [len(s) for s in arrays], "coarse": [coarse(s) for s in arrays]})
-
     wanted = stored(owners.join(members, "member").select("doc_id", "member"), "near-wanted")
-    rows = docs.join(small_side(wanted, 16), "doc_id").select("member", shingles(F.col("text")).alias("set"))
-    return stored(rows.mapInPandas(run, "member long, n int, coarse binary"), "near-coarse")
+    rows = docs.join(small_side(wanted, 16), "doc_id")
+    return stored(mapped(rows, "member", {"n": pa.int32(), "coarse": pa.binary()}, lambda s: (len(s), coarse(s))), "near-coarse")
 
 
 def bounded(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -315,7 +373,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     short_batches(docs.sparkSession)
     texts = pick(docs, "doc_id", "text")
-    rows = stored(sets(texts).select("doc_id", "n", "member"), "near-members")
+    rows = stored(sets(texts), "near-members")
     owners = stored(rows.where("member is not null and doc_id is not null").groupBy("member").agg(F.min("doc_id").alias("doc_id")), "near-owners")
     found = stored(components(near_links(texts, owners)), "near-components")
     named = found.toDF("member", "component").join(owners, "member").groupBy("component").agg(F.min("doc_id").alias("least"))
