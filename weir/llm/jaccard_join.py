@@ -11,10 +11,11 @@ parts of no or one element mostly are.
 Equal sets are one member. Members that share a signature are first tried against one pivot of it (the least
 member): each member verifies against the pivot it shares most signatures with, then against the others it isn't
 yet connected to. Where members of a signature are still in different components, the pairs across components are tried
-as well; a lower bound of the difference by coarse counts comes first, so few are read. Every pair that shares a signature
-is then verified, excluded by a bound, or connected already: components are exact.
+as well: a lower bound of the difference by parities of small parts comes first, so few are read, and each member tries
+its nearest before all that is then still open. Every pair that shares a signature is in the end verified, excluded by a
+bound, or connected already: components are exact.
 
-Components and joins are DataFrame operations; sets, signatures and coarse counts are numpy work in tasks.
+Components and joins are DataFrame operations; sets, signatures and parities are numpy work in tasks.
 Words: A-Z in lower case, runs without ASCII white space. Null, empty and blank texts have no shingles and are linked
 with nothing; fewer than five words are one shingle. Equal rows are copies of one another. Rows without doc_id
 belong to a component like others, but don't name it, unless nothing else does. Other columns are ignored.
@@ -47,8 +48,8 @@ SET = pa.list_(pa.int64())
 PLACES = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, N + 1, dtype=np.uint64)
 #: Members of one signature that are compared in one group.
 BLOCK = 2_000
-#: Counts that are held for one group, or compared at a time; parts of larger groups are folded.
-CELLS = 1_000_000
+#: 64-bit words that are held for one group; parts of larger groups are folded.
+CELLS = 4_000_000
 #: Of so many members one is signed beforehand, and a signature of more than about so many members is shuffled in parts.
 SAMPLE = 16
 PART_ROWS = 1_000
@@ -158,16 +159,19 @@ def signatures(hashes: np.ndarray, band: int, k: int) -> np.ndarray:
     return key[np.lexsort((key, -n))[: k + 1]]
 
 
-def coarse(hashes: np.ndarray) -> bytes:
-    """Elements by coarse parts, about one part for two elements, a power of two in number."""
-    parts = 1 << max(0, int(np.ceil(np.log2(max(len(hashes), 1) / 2))))
-    n = np.bincount((mix(hashes.astype(np.uint64) ^ np.uint64(11)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
-    return np.minimum(n, 255).astype(np.uint8).tobytes()
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of four to eight times as many parts as elements (a power of two): whether it holds an odd number.
+
+    Where two sets differ in a bit, at least one element of that part is in one of them only.
+    """
+    parts = 64 << max(0, int(np.ceil(np.log2(max(len(hashes), 1) / 16))))
+    part = (mix(hashes.astype(np.uint64) ^ np.uint64(11)) & np.uint64(parts - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=parts) & 1).astype(np.uint8)).tobytes()
 
 
-def folded(counts: np.ndarray, parts: int) -> np.ndarray:
-    """Counts of fewer parts (a power of two): a weaker bound, but still one."""
-    return counts.astype(np.int32).reshape(-1, parts).sum(axis=0)
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (64-bit words) of fewer parts: a weaker bound, but still one."""
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -226,9 +230,17 @@ def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.select("sig", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "member", "component")
 
 
-def allowed_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, mixed: bool, counts: list[np.ndarray]) -> np.ndarray:
-    """Index pairs of sets (by rising n) of different components that sizes and each of the counts allow, in two columns."""
-    found, step = [np.zeros((0, 2), np.int64)], max(1, CELLS // 4 // len(n))
+def nearest_of(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (rows i, j, distance) those that are the nearest of i or of j."""
+    order = pairs[np.argsort(pairs[:, 2], kind="stable")]
+    ends = np.stack([order[:, 0], order[:, 1]], axis=1).ravel()
+    return order[np.unique(np.unique(ends, return_index=True)[1] // 2)]
+
+
+def allowed_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, mixed: bool, bits: list[np.ndarray], nearest: bool) -> np.ndarray:
+    """Rows i, j, lower bound of the difference: the sets (by rising n) of different components that sizes and each of
+    the parities allow; all of them or the nearest of each set."""
+    found, step = [np.zeros((0, 3), np.int64)], max(1, CELLS // 4 // len(n))
     for low in range(0, len(n), step):
         first = slice(low, low + step)
         ok = (component[first, None] != component) & (4 * n <= 5 * n[first, None])
@@ -236,31 +248,33 @@ def allowed_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, mixed
             ok &= block[first, None] != block
         i, j = np.nonzero(np.triu(ok, low + 1))
         i += low
-        for c in counts:
-            some = max(1, CELLS // c.shape[1])
-            fits = [9 * np.abs(c[i[k:k + some]] - c[j[k:k + some]]).sum(axis=1) <= n[i[k:k + some]] + n[j[k:k + some]] for k in range(0, len(i), some)]
-            if fits:
-                fit = np.concatenate(fits)
-                i, j = i[fit], j[fit]
-        found.append(np.stack([i, j], axis=1))
-    return np.concatenate(found)
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """a, b (a below b): pairs in one signature, of different components, that sizes and coarse counts allow."""
+        d = np.zeros(len(i), np.int64)
+        for x in bits:
+            some = max(1, CELLS // 8 // x.shape[1])
+            d = np.concatenate([d[:0], *(
+                np.bitwise_count(x[i[k:k + some]] ^ x[j[k:k + some]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), some))])
+            fit = 9 * d <= n[i] + n[j]
+            i, j, d = i[fit], j[fit], d[fit]
+        pairs = np.stack([i, j, d], axis=1)
+        found.append(nearest_of(pairs) if nearest else pairs)
+    pairs = np.concatenate(found)
+    return nearest_of(pairs) if nearest else pairs
+
+
+def across(rows: DataFrame, nearest: bool) -> DataFrame:
+    """a, b (a below b): pairs in one signature, of different components, that sizes and parities allow."""
     def run(g: pa.Table) -> pa.Table:
         n, member, component, block = (g[c].to_numpy() for c in ("n", "member", "component", "block"))
         order = np.lexsort((member, n))
         n, member, component, block = (x[order].astype(np.int64) for x in (n, member, component, block))
-        raw = g["coarse"].to_pylist()
-        counts = [np.frombuffer(raw[i], np.uint8) for i in order]
-        parts = min(map(len, counts))
-        while parts > 1 and parts * len(n) > CELLS:
-            parts //= 2
-        fine = np.stack([folded(x, parts) for x in counts])
-        rough = fine.reshape(len(n), -1, max(1, parts // 4)).sum(axis=1, dtype=np.int32)
+        raw = g["bits"].to_pylist()
+        bits = [np.frombuffer(raw[i], np.uint64) for i in order]
+        words = min(map(len, bits))
+        while words > 1 and words * len(n) > CELLS:
+            words //= 2
+        fine = np.stack([folded(x, words) for x in bits])
         mixed = g["one"][0].as_py() != g["other"][0].as_py()
-        i, j = allowed_pairs(n, component, block, mixed, [rough, fine]).T
+        i, j, _ = allowed_pairs(n, component, block, mixed, [folded(fine, max(1, words // 8)), fine], nearest).T
         return pa.table({"a": np.minimum(member[i], member[j]), "b": np.maximum(member[i], member[j])})
 
     return rows.groupBy("sig", "one", "other").applyInArrow(run, "a long, b long").distinct()
@@ -336,35 +350,40 @@ def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
     more = stored(bounded(docs, owners, apart(ranked.where("place > 1"))), "near-more")
     links = links.union(stored(linked(docs, owners, more), "near-links"))
     labels = stored(labelled(members, links), "near-labels")
-    open_rows = stored(still_open(shared, labels), "near-compared")
-    known = coarse_counts(docs, owners, open_rows.select("member").distinct())
-    pairs = across(open_rows.join(known, "member"))
+    rows = stored(still_open(shared, labels), "near-compared")
+    known = with_parities(docs, owners, rows.select("member").distinct())
     tried = ranked.select("a", "b")
-    rest = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    return links.union(linked(docs, owners, rest))
-
-
-def coarse_counts(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
-    """member, n, coarse of the given members."""
+    for nearest in (True, False):
+        fresh = stored(across(rows.join(known, "member"), nearest).join(tried, ["a", "b"], "left_anti"), "near-fresh")
+        links = links.union(stored(linked(docs, owners, fresh), "near-links"))
+        if nearest:
+            labels = stored(labelled(members, links), "near-labels")
+            rows = stored(still_open(rows.select("sig", "member").distinct(), labels), "near-compared")
+            tried = tried.union(fresh)
+    return links
+
+
+def with_parities(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
+    """member, n, bits of the given members."""
     wanted = stored(owners.join(members, "member").select("doc_id", "member"), "near-wanted")
     rows = docs.join(small_side(wanted, 16), "doc_id")
-    return stored(mapped(rows, "member", {"n": pa.int32(), "coarse": pa.binary()}, lambda s: (len(s), coarse(s))), "near-coarse")
+    return stored(mapped(rows, "member", {"n": pa.int32(), "bits": pa.binary()}, lambda s: (len(s), parities(s))), "near-bits")
 
 
 def bounded(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that sizes and coarse counts allow."""
+    """The pairs that sizes and parities allow."""
     @F.pandas_udf("boolean")
-    def allowed(na: pd.Series, nb: pd.Series, ca: pd.Series, cb: pd.Series) -> pd.Series:
+    def allowed(na: pd.Series, nb: pd.Series, xa: pd.Series, xb: pd.Series) -> pd.Series:
         out = []
-        for n, m, x, y in zip(na, nb, ca, cb):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            parts = min(len(x), len(y))
-            out.append(9 * np.abs(folded(x, parts) - folded(y, parts)).sum() <= n + m)
+        for n, m, x, y in zip(na, nb, xa, xb):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            out.append(9 * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64)) <= n + m)
         return pd.Series(out, dtype=bool)
 
     pairs = stored(pairs, "near-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-    known = coarse_counts(docs, owners, ends)
+    known = with_parities(docs, owners, ends)
     both = pairs.join(known.toDF("a", "na", "xa"), "a").join(known.toDF("b", "nb", "xb"), "b")
     return both.where(allowed("na", "nb", "xa", "xb")).select("a", "b")
 
