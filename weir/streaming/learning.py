@@ -16,16 +16,9 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARAMS).parquet(path)
 
 
-def _latest(spark: SparkSession, path: str, before: int, init: list[float]) -> list[float]:
-    from pyspark.errors import AnalysisException
-
-    try:
-        row = read_params(spark, path).where(F.col("batch") < before).orderBy(
-            F.desc("batch")
-        ).first()
-    except AnalysisException:  # nothing written yet
-        row = None
-    return list(row["params"]) if row else list(init)
+def _before(spark: SparkSession, path: str, batch: int, init: list[float]) -> list[float]:
+    """The weights that the batch before this one wrote; every batch writes its own, an empty one, too."""
+    return list(read_params(spark, f"{path}/run={batch - 1}").first()["params"]) if batch else list(init)
 
 
 def learn_stream(
@@ -42,7 +35,7 @@ def learn_stream(
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        params = _latest(spark, path, batch_id, start)
+        params = _before(spark, path, batch_id, start)
         n, g = gradient(batch, features, response, params, loss)
         size = step_size(step, batch_id + 1, eta)
         new = [float(p - size * d) for p, d in zip(params, g)] if n else params
