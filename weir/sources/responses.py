@@ -17,7 +17,7 @@ def enrich_by_url(
     ``shape="body"`` adds the variant ``response``: the JSON body, or ``{"data": body}`` when the
     body is no JSON. ``shape="envelope"`` adds the struct ``response`` of ``body`` (JSON, else the
     text), ``headers`` and ``status`` as the response table has them. If a URL was captured more than
-    once, the last by ``order`` counts.
+    once, the last by ``order`` counts; without ``order`` that is an error when the query runs.
 
     The response table shrinks to one row per URL first, and a URL that very many messages share is
     split on the message side.
@@ -26,9 +26,9 @@ def enrich_by_url(
         raise ValueError("shape is 'body' or 'envelope'")
     extras = [c for c in ("headers", "status") if c in responses.columns]
     parts = F.struct(body, *extras)
-    latest = responses.groupBy(F.col(response_url).alias("_url")).agg(
-        F.max_by(parts, F.col(order or body)).alias("_r")
-    )
+    repeated = F.raise_error("a URL has several responses: give order").cast(responses.select(parts).schema[0].dataType)
+    chosen = F.max_by(parts, order) if order else F.when(F.count("*") == 1, F.first(parts)).otherwise(repeated)
+    latest = responses.groupBy(F.col(response_url).alias("_url")).agg(chosen.alias("_r"))
     text = F.col(f"_r.{body}")
     parsed = F.try_parse_json(text)
     if shape == "body":
