@@ -16,7 +16,7 @@ from weir.llm.bpe import round_trip
 from weir.llm.common import stored
 from weir.llm.decontaminate import clean_documents
 from weir.llm.jaccard_join import one_of_each
-from weir.llm.line_dedup import without_repeats
+from weir.llm.line_dedup import MOST_EDITS, without_repeats
 from weir.llm.quality import good_documents
 from weir.plans.tables import table
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = without_repeats(docs)
+    kept = without_repeats(docs, MOST_EDITS)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

@@ -326,6 +326,48 @@ def test_line_dedup(spark, edge, none):
     assert set(kept) == {i for i, (n, gone, _, _) in want.items() if n == 0 or gone < n}
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_line_dedup_with_more_edits(spark, monkeypatch):
+    rng, docs = random.Random(7), []
+    base = ["".join(rng.choice("abcde é") for _ in range(n)) for n in (38, 40, 41, 58, 60, 79, 80, 83, 150)]
+    for i in range(120):
+        s = rng.choice(base)
+        for _ in range(rng.randrange(6)):
+            p = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:p] + "x" + s[p:], s[:p] + s[p + 1 :], s[:p] + "y" + s[p + 1 :]])
+        docs.append((i, s))
+    docs += [(200, "the same long beginning of a line " + "a" * 50), (201, "the same long beginning of a line " + "b" * 50)]
+    top = {s: s for _, s in docs}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sorted(top):
+        for b in sorted(top):
+            n = min(len(a), len(b))
+            if a < b and n >= 16 and distance(a, b) <= max(1, min(4, n // 20)):
+                top[root(a)] = root(b)
+    first = {}
+    for i, s in docs:
+        first.setdefault(root(s), i)
+    want = {i: int(first[root(s)] != i) for i, s in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for lines in (64, 3):
+        monkeypatch.setattr("weir.llm.line_dedup.BLOCK_LINES", lines)
+        assert {r.doc_id: r.n_removed for r in line_dedup(df, 4).collect()} == want
+    assert sum(r.n_removed for r in line_dedup(df).collect()) < sum(want.values())
+
+
 def test_bit_parallel_distance(spark):
     words = ["", "a", "b", "ab", "ba", "abc", "acb", "abcd", "bcd", "éa", "aé", "aaaa", "aaa", "xabc"]
     pairs = [(a, b) for a in words for b in words]

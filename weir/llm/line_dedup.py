@@ -1,13 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are linked if they are equal, or if both have LEAST characters or more and one edit (EDITS) turns one into the
-other. By the partition principle, of EDITS + 1 = 2 segments of a line one is free of edits; the other is split again
+Two lines are linked if they are equal, or if both have LEAST characters or more and one edit (EDITS), or as many as
+their length allows up to ``edits``, turn one into the other. For one edit: by the partition principle, of EDITS + 1 = 2 segments of a line one is free of edits; the other is split again
 in the same way, once more, so linked lines agree in all but one of four leaves. A line is indexed under each of
 its four (length, leaf, text around the leaf), and probes the same places of lines one character shorter. Keys that
 only one line has are dropped. The leaves of those that remain are halved further, with the shared keys kept
 each time, down to one character: lines that still share a key are linked, so a key needs no pairs but those with one
 line of it. Links are then verified by banded bit-parallel edit distance on the leaves they first differed in.
 
+With ``edits`` over 1, lines of FAR characters or more are linked by one edit for each PER_EDIT characters of the shorter,
+``edits`` at most: two for 40 characters, four from 80 on. A line is cut into one segment more than edits, one of which is free
+of them, and is indexed under each; lines as long or up to as many characters longer look up their substrings of a segment's length
+at the places to which the edits left and right of it can shift it. The lines of a key are first compared with one of them;
+keys whose lines are then not all connected are compared in blocks, by Spark's banded edit distance.
+
 Of each class of linked lines the first line (least doc_id, then place) stays, the others are removed from their
 texts. Only SQL functions are used. A hot line or key is summed before it is shuffled, and otherwise only joined.
 
@@ -27,7 +33,14 @@ from .common import let, pick, small_side, stored
 from .graph import components
 
 EDITS = 1
+#: Of the registered query and the pipeline.
+MOST_EDITS = 4
+PER_EDIT = 20
+FAR = 2 * PER_EDIT
 LEAST = 16
+#: Lines, and characters, of a block.
+BLOCK_LINES = 64
+BLOCK_CHARS = 1 << 16
 LEAVES = 4
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -122,9 +135,87 @@ def within_one(a: Column, b: Column) -> Column:
     return let(F.struct(letters(a).alias("x"), letters(b).alias("y")), run)
 
 
-def line_links(docs: DataFrame) -> DataFrame:
+def segment_keys(line: Column, edits: int) -> Column:
+    """Array of key, indexed (or else probing) and the edits allowed, for segments of lines of FAR characters or more."""
+    def places(allowed: int, more: int) -> Column:
+        """Segment and shift, in one number, of probes for lines shorter by ``more``."""
+        found = [
+            j * 64 + shift + 32 for j in range(allowed + 1)
+            for shift in range(max(-j, more - allowed + j), min(j, more + allowed - j) + 1)
+        ] if allowed >= max(2, more) else []
+        return F.array(*[F.lit(x) for x in found]).cast("array<int>")
+
+    tables = [F.array(*[places(allowed, more) for allowed in range(1, edits + 1)]) for more in range(edits + 1)]
+
+    def keys(n: Column) -> Column:
+        def of(more: int) -> Column:
+            size = n - more
+            allowed = F.least(F.lit(edits), F.floor(size / PER_EDIT).cast("int"))
+
+            def one(x: Column) -> Column:
+                j, shift = F.floor(x / 64).cast("int"), x % 64 - 32
+                start, end = F.floor(j * size / (allowed + 1)).cast("int"), F.floor((j + 1) * size / (allowed + 1)).cast("int")
+                key = F.xxhash64(size, j, F.substr(line, start + shift + 1, end - start))
+                return F.struct(
+                    F.when((start + shift >= 0) & (end + shift <= n), key).alias("key"),
+                    (shift == 0 if more == 0 else F.lit(False)).alias("indexed"), allowed.alias("allowed"))
+
+            none = F.array().cast("array<struct<key:bigint,indexed:boolean,allowed:int>>")
+            return F.when(size >= FAR, F.transform(F.element_at(tables[more], allowed), one)).otherwise(none)
+
+        return F.concat(*[of(more) for more in range(edits + 1)])
+
+    return let(F.char_length(line), keys)
+
+
+def far_links(docs: DataFrame, edits: int) -> DataFrame:
+    """a, b: hashes of lines of FAR characters or more (the longer of a link may have more), enough links to connect all that links connect."""
+    lines = lines_of(docs).where(F.char_length("line") >= FAR).select("h", "line")
+    every = lines.select("h", F.inline(segment_keys(F.col("line"), edits))).where("key is not null")
+    keys = stored(every.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("indexed").alias("indexed")).where(
+        "low < high and indexed").select("key"), "line-segments")
+    found = lines.select("h", "line", F.inline(segment_keys(F.col("line"), edits))).where("key is not null")
+    members = stored(found.join(small_side(keys, 16), "key").groupBy("key", "h", "allowed", "line").agg(F.max("indexed").alias("indexed")), "line-members")
+
+    def close(x: Column, y: Column, allowed: Column) -> Column:
+        return F.levenshtein(x, y, edits).between(0, allowed)
+
+    pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a")).join(
+        members.select("key", F.col("h").alias("a"), F.col("line").alias("line_a")), ["key", "a"])
+    direct = stored(members.join(pivots, "key").where("a <> h").where(close(F.col("line_a"), F.col("line"), F.col("allowed"))).select(
+        "a", F.col("h").alias("b")).distinct(), "line-direct")
+    joined = components(direct).toDF("h", "component")
+    known = stored(members.join(small_side(joined, 24), "h", "left").withColumn("component", F.coalesce("component", "h")), "line-known")
+    parted = known.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max(F.char_length("line")).alias("size")).where("low < high")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_LINES), F.floor(BLOCK_CHARS / F.col("size"))))
+    counts = parted.select("key", F.ceil(F.col("n") / room).alias("blocks"))
+    blocks = stored(known.join(counts, "key").groupBy("key", "allowed", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
+        F.collect_list(F.struct("h", "component", "indexed", "line")).alias("some")), "line-blocks")
+    both = blocks.join(blocks.select("key", F.col("block").alias("block_b"), F.col("some").alias("others")), "key").where("block <= block_b")
+
+    def paired(x: Column) -> Column:
+        def fits(y: Column) -> Column:
+            new = (x["component"] != y["component"]) & (x["indexed"] | y["indexed"]) & ((F.col("block") < F.col("block_b")) | (x["h"] < y["h"]))
+            return F.when(new, close(x["line"], y["line"], F.col("allowed"))).otherwise(False)
+
+        return F.transform(F.filter("others", fits), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))
+
+    return direct.union(both.select(F.inline(F.flatten(F.transform("some", paired)))).distinct())
+
+
+def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: hashes of lines, enough links to connect all lines that links connect."""
+    if edits <= EDITS:
+        return near_links(docs)
+    return near_links(docs, FAR).union(far_links(docs, edits))
+
+
+def near_links(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Of lines one edit apart; ``most``: only of lines of so many characters at most."""
     long_lines = lines_of(docs).where(F.char_length("line") >= LEAST)
+    if most is not None:
+        long_lines = long_lines.where(F.char_length("line") <= most)
     every = long_lines.select("h", F.explode(F.transform(leaf_keys(F.col("line")), lambda k: k["key"])).alias("key"))
     keys = stored(shared(every), "line-keys")
     found = long_lines.select("h", "line", F.inline(leaf_keys(F.col("line")))).join(small_side(keys, 16), "key").select(
@@ -147,9 +238,9 @@ def line_links(docs: DataFrame) -> DataFrame:
         within_one(F.col("leaf_a"), F.col("leaf_b"))).select("a", "b").distinct()
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, places (array of the lines to remove) of the documents that have some."""
-    links = stored(components(line_links(docs)), "line-classes")
+    links = stored(components(line_links(docs, edits)), "line-classes")
     lines = lines_of(docs).select("doc_id", "place", "h")
     classes = lines.join(small_side(links.toDF("h", "component"), 24), "h", "left").select(
         "doc_id", "place", F.coalesce("component", "h").alias("class"))
@@ -161,9 +252,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def cleaned(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: Column, text: Column, edits: int = EDITS) -> DataFrame:
     """The rows with _places (to remove, or null) and _clean, the text without them."""
-    gone = stored(repeats(docs.select(doc_id.alias("doc_id"), text.alias("text"))), "line-repeats").toDF("_id", "_places")
+    gone = stored(repeats(docs.select(doc_id.alias("doc_id"), text.alias("text")), edits), "line-repeats").toDF("_id", "_places")
     size = gone.agg(F.count("*"), F.sum(F.size("_places"))).first()
     rows = docs.join(small_side(gone, 40 + 4 * (size[1] or 0) // max(1, size[0]), size[0]), doc_id.eqNullSafe(F.col("_id")), "left")
 
@@ -175,9 +266,9 @@ def cleaned(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     return rows.withColumn("_clean", F.when(F.col("_places").isNull(), text).otherwise(kept)).drop("_id")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, removed (places from 0, comma-joined), clean_sha256 (of what is left)."""
-    rows = cleaned(pick(docs, "doc_id", "text"), F.col("doc_id"), F.col("text"))
+    rows = cleaned(pick(docs, "doc_id", "text"), F.col("doc_id"), F.col("text"), edits)
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))
     places = F.coalesce("_places", F.array().cast("array<int>"))
     return rows.select(
@@ -186,7 +277,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs``, all their columns, their texts without repeated lines; rows of which no word is left go.
 
     Rows that had no word at first stay.
@@ -194,5 +285,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     held = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at = docs.columns.index("text")
     doc_id, text = F.col(f"_c{docs.columns.index('doc_id')}"), F.col(f"_c{at}")
-    rows = cleaned(held, doc_id, text).where(F.col("_places").isNull() | F.col("_clean").rlike(WORD))
+    rows = cleaned(held, doc_id, text, edits).where(F.col("_places").isNull() | F.col("_clean").rlike(WORD))
     return rows.withColumn(f"_c{at}", F.col("_clean")).select(*held.columns).toDF(*docs.columns)

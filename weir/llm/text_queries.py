@@ -8,7 +8,7 @@ from ..plans.tables import table
 from .decontaminate import contamination
 from .jaccard_join import near_components
 from .licenses import license_scan, license_sql
-from .line_dedup import line_dedup
+from .line_dedup import MOST_EDITS, line_dedup
 from .personal import personal_data
 from .quality import quality
 from .registry import query
@@ -75,4 +75,4 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op10_line_dedup")
 def op10(spark: SparkSession, d: str) -> DataFrame:
-    return line_dedup(table(spark, d, "documents"))
+    return line_dedup(table(spark, d, "documents"), MOST_EDITS)
