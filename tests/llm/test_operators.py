@@ -134,6 +134,13 @@ def test_personal_data(spark, edge, none):
     assert personal_data(edge).count() == len(rows_of()) and personal_data(none).count() == 0
 
 
+def test_account_numbers_before_other_words(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 Please pay", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 EUR 20",
+             "DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819 X", "DE89 3704 0044 0532 0130 01 Please", "DE893704004405320130001"]
+    got = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == {0: "iban:0:27", 1: "iban:0:27", 2: "iban:0:22", 3: "iban:0:27,iban:29:51", 4: "", 5: ""}
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("4111111111111111", "DE89370400440532013000"), ("4111111111111112", "DE89370400440532013001")], "c string, i string")
     assert [tuple(r) for r in df.select(luhn(df.c), mod_97(df.i)).collect()] == [(True, True), (False, False)]
