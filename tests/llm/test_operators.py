@@ -141,6 +141,14 @@ def test_account_numbers_before_other_words(spark):
     assert {r.doc_id: r.spans for r in got} == {0: "iban:0:27", 1: "iban:0:27", 2: "iban:0:22", 3: "iban:0:27,iban:29:51", 4: "", 5: ""}
 
 
+def test_context_on_both_sides(spark):
+    texts = ["Phone: 555-123-4567 or 555-765-4321", "555-123-4567 (mobile)", "123-45-6789 is my SSN", "SSNs 123-45-6789", "phones 555-123-4567",
+             "555-123-4567", "555-123-4567 and " + "x" * 40 + " phone", "phoney 555-123-4567"]
+    got = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == {
+        0: "phone:7:19,phone:23:35", 1: "phone:0:12", 2: "ssn:0:11", 3: "ssn:5:16", 4: "phone:7:19", 5: "", 6: "", 7: ""}
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("4111111111111111", "DE89370400440532013000"), ("4111111111111112", "DE89370400440532013001")], "c string, i string")
     assert [tuple(r) for r in df.select(luhn(df.c), mod_97(df.i)).collect()] == [(True, True), (False, False)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, pick
 
-SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+SPAN = "array<struct<start:int,end:int,value:string>>"
 PART = 256
 CONTEXT = 40
 
@@ -56,7 +56,7 @@ ADD_FROM = 0.6
 
 
 def spans(text: Column, pattern: str, possible: Column | None = None) -> Column:
-    """All matches of a pattern: start, end, value, and the characters before."""
+    """All matches of a pattern: start, end, value."""
     none = F.array().cast(SPAN)
 
     def place(matches: Column) -> Column:
@@ -67,7 +67,7 @@ def spans(text: Column, pattern: str, possible: Column | None = None) -> Column:
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + F.length(x["gap"])
             end = begin + F.length(x["value"])
-            span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"))
+            span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
             over = F.size(acc["part"]) >= PART
             return F.struct(
                 end.alias("at"),
@@ -112,13 +112,17 @@ def mod_97(iban: Column) -> Column:
     return let(F.concat(F.substring(iban, 5, 60), F.substring(iban, 1, 4)), rest)
 
 
-def near(span: Column, kind: str) -> Column:
-    return F.lower(span["before"]).rlike(rf"(?<![\p{{L}}])(?:{WORDS_NEAR[kind]})(?![\p{{L}}])")
+def near(text: Column, span: Column, kind: str) -> Column:
+    """Whether a word for the kind stands in the CONTEXT characters before or after the span, earlier matches included."""
+    word = rf"(?<![\p{{L}}])(?:{WORDS_NEAR[kind]})s?(?![\p{{L}}])"
+    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
+    before = F.substr(text, begin + 1, span["start"] - begin)
+    return F.lower(before).rlike(word) | F.lower(F.substr(text, span["end"] + 1, F.lit(CONTEXT))).rlike(word)
 
 
-def score(span: Column, base: float, kind: str, confirmed: Column | None = None) -> Column:
+def score(text: Column, span: Column, base: float, kind: str, confirmed: Column | None = None) -> Column:
     """A pattern's own weight, more by 0.3 with a passed checksum and by 0.4 with a context word; 0 if a checksum fails."""
-    s = F.lit(base) + F.when(near(span, kind), 0.4).otherwise(0.0)
+    s = F.lit(base) + F.when(near(text, span, kind), 0.4).otherwise(0.0)
     return s if confirmed is None else F.when(confirmed, s + 0.3).otherwise(0.0)
 
 
@@ -130,13 +134,13 @@ def kinds(text: Column) -> dict[str, tuple[Column, Column]]:
     card = F.filter(spans(text, LONG_NUMBER, number), lambda s: let(
         digits(s["value"]), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)))
     phone = F.filter(spans(text, PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(digits(s["value"])).between(8, 15))
-    short_card = F.filter(spans(text, SHORT_CARD, number), lambda s: score(s, 0.1, "card", luhn(digits(s["value"]))) >= ADD_FROM)
+    short_card = F.filter(spans(text, SHORT_CARD, number), lambda s: score(text, s, 0.1, "card", luhn(digits(s["value"]))) >= ADD_FROM)
     more_phone = F.concat(
-        F.filter(spans(text, LOCAL_PHONE, number), lambda s: score(s, 0.3, "phone") >= ADD_FROM),
+        F.filter(spans(text, LOCAL_PHONE, number), lambda s: score(text, s, 0.3, "phone") >= ADD_FROM),
         F.filter(spans(text, FULL_PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(digits(s["value"])).between(8, 15)),
     )
-    iban = F.filter(spans(text, IBAN, number), lambda s: score(s, 0.4, "iban", mod_97(F.replace(s["value"], F.lit(" "), F.lit("")))) >= ADD_FROM)
-    ssn = F.filter(spans(text, SSN, number), lambda s: score(s, 0.3, "ssn") >= ADD_FROM)
+    iban = F.filter(spans(text, IBAN, number), lambda s: score(text, s, 0.4, "iban", mod_97(F.replace(s["value"], F.lit(" "), F.lit("")))) >= ADD_FROM)
+    ssn = F.filter(spans(text, SSN, number), lambda s: score(text, s, 0.3, "ssn") >= ADD_FROM)
     none = F.array().cast(SPAN)
     return {"email": (email, none), "ip": (ip, none), "card": (card, short_card), "phone": (phone, more_phone),
             "iban": (none, iban), "ssn": (none, ssn)}
