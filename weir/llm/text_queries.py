@@ -9,10 +9,12 @@ from .decontaminate import contamination
 from .jaccard_join import near_components
 from .licenses import license_scan, license_sql
 from .line_dedup import MOST_EDITS, line_dedup
+from .periodic import digests, periodic_runs
 from .personal import personal_data
 from .quality import quality
 from .registry import query
 from .sharding import shard_documents
+from .variants import spelling_variants, word_counts
 
 
 @query("op1_shard_documents")
@@ -76,3 +78,13 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup(table(spark, d, "documents"), MOST_EDITS)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return digests(periodic_runs(table(spark, d, "documents"), plant=True))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, d, "documents"), plant=True))

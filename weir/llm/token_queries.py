@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import table
 from .bpe import round_trip
+from .packing import packed, with_crc32
 from .registry import query
 from .token_counts import length_histogram, with_suffix_sums
 from .token_ids import token_files
@@ -26,3 +27,8 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_bpe_round_trip")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_pack_powers")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return with_crc32(packed(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
