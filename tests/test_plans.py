@@ -98,3 +98,35 @@ def test_lookups_in_the_cache_share_one_shuffle(spark):
     df = sims.frame(spark, ROWS)
     text = plan(weir.cache_lookup(df.drop("value"), df, "key", "value", "5s"))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_rolling_shuffles_once(spark):
+    """Apart from the count and the sample, the messages are shuffled once, and sorted once per chunk."""
+    df = spark.read.parquet(f"{TABLES}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = plan(weir.rolling_average(df, "value", "1h", "ts", "event_id", rows_per_chunk=50))
+    assert text.count("Exchange") == 1 and "FlatMapGroupsInArrow" in text
+
+
+@pytest.mark.parametrize("make", [
+    lambda a, b, c: weir.zip_join(a, b, clears=c, rows_per_chunk=20),
+    lambda a, b, c: weir.queue_pops(a, b, rows_per_chunk=20),
+    lambda a, b, c: weir.queue_peek(a, b, c.select("ts"), rows_per_chunk=20),
+    lambda a, b, c: weir.pack_by_value(a, "key", "5s", rows_per_chunk=20),
+    lambda a, b, c: weir.pack_by_count(a, 3, clears=b, flushes=c, rows_per_chunk=20),
+    lambda a, b, c: weir.batch_payloads(a, 3, interval="5s", rows_per_chunk=20),
+])
+def test_chained_scans_compute_their_input_once(spark, make):
+    """However many scans build on one another, each message is computed once, and shuffled by chunk once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frames = [sims.frame(spark, sims.stream(s, 100, 100)) for s in (1, 2, 3)]
+    out = make(*[f.mapInArrow(count, f.schema) for f in frames])
+    text = plan(out)
+    out.collect()
+    assert 0 < seen.value <= 300 and seen.value % 100 == 0
+    assert "hashpartitioning(_chunk" not in text and "hashpartitioning(_key" not in text

@@ -1,6 +1,7 @@
 """The stateful operators against step-by-step simulations, on streams in which one instant and
 one key hold a large share, with chunks so small that every code path runs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,44 @@ def test_rolling(spark, chunk):
     }
 
 
+def test_rolling_edges(spark):
+    """Rows without a time or a value, a long window, one hot instant, other columns of any kind."""
+    rows = [(i, sims.at(i % 50 if i % 3 else 25), None if i % 7 == 0 else i / 2, {"a": [i]}) for i in range(300)] + [(300, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, value double, more map<string, array<int>>")
+    for width in (0, 3, 1000):
+        for chunk in (20, None):
+            got = {r.id: r for r in weir.rolling_average(df, "value", f"{width}s", rows_per_chunk=chunk).collect()}
+            counts = {r.id: r.Count for r in weir.rolling_count(df, f"{width}s", rows_per_chunk=chunk).collect()}
+            assert got[300].Average is None and counts[300] == 0 and len(got) == len(counts) == 301
+            for i, t, _, more in rows[:300]:
+                live = [v for _, u, v, _ in rows[:300] if sims.sec(t) - width <= sims.sec(u) <= sims.sec(t)]
+                values = [v for v in live if v is not None]
+                assert counts[i] == len(live) and got[i].more == more
+                assert got[i].Average == (pytest.approx(sum(values) / len(values)) if values else None)
+    assert weir.rolling_count(df.limit(0), "1s").count() == 0
+
+
+def test_learn_at(spark, chunk, many_polls):
+    """Least squares of all messages up to each poll, with two features and the constant."""
+    rng = np.random.default_rng(4)
+    rows = [(i, sims.at(int(rng.integers(60))), *map(float, rng.normal(size=3))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, a double, b double, y double")
+    extra = df.limit(3).withColumn("a", F.lit(None).cast("double")).withColumn("id", F.col("id") + 1000)
+    polls = [0, 1, 7, 30, 59, 90]
+    got = weir.learn_at(df.union(extra), sims.times(spark, polls), ["a", "b", F.lit(1.0)], "y", rows_per_chunk=chunk)
+    found = {sims.sec(r.ts): r.params for r in got.collect()}
+    for p in polls:
+        live = [r for r in rows if sims.sec(r[1]) <= p]
+        if len(live) < 3:
+            assert found[p] is None
+            continue
+        x = np.array([[r[2], r[3], 1.0] for r in live])
+        want = np.linalg.lstsq(x, np.array([r[4] for r in live]), rcond=None)[0]
+        assert found[p] == pytest.approx(list(want), abs=1e-6)
+    same = weir.learn_at(df, sims.times(spark, polls), ["a", F.col("a") * 2], "y", rows_per_chunk=chunk)
+    assert all(r.params is None for r in same.collect())
+
+
 def test_moving_average_skips_non_numbers(spark, chunk, many_polls):
     want = {
         t: pytest.approx(sum(m["value"] for m in ms) / len(ms)) if ms else None

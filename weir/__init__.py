@@ -29,7 +29,7 @@ from .operators.joins import (
     with_rules,
     zip_join,
 )
-from .operators.models import gradient, learn, learn_linear, linear_model, logistic_model, moments
+from .operators.models import gradient, learn, learn_at, learn_linear, linear_model, logistic_model, moments
 from .operators.packs import (
     pack_by_count,
     pack_by_interval,

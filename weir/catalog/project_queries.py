@@ -154,7 +154,7 @@ FROM h, f GROUP BY day, k
 
 
 def _spectrum(df):
-    return df.select(F.col("day").cast("string").alias("day"), "k",
+    return df.select(F.col("day").cast("string").alias("day"), F.col("k").cast("int").alias("k"),
                      (rounded("re", "re") + 0.0).alias("re"),
                      (rounded("im", "im") + 0.0).alias("im"))
 
@@ -175,6 +175,48 @@ def _(spark, d):
     return _spectrum(out.select("day", "k", F.col("c")[0].alias("re"), F.col("c")[1].alias("im")))
 
 
+def _long_spectrum_sql(minutes: int, n: str) -> str:
+    """The spectrum of all events per slot of so many minutes, of n points."""
+    return f"""
+WITH s AS (SELECT CAST(epoch_us(ts) // {60_000_000 * minutes} AS BIGINT) AS slot FROM events),
+h AS (SELECT slot - (SELECT min(slot) FROM s) AS idx, CAST(count(*) AS DOUBLE) AS v FROM s GROUP BY 1),
+m AS (SELECT max(idx) + 1 AS points FROM h), l AS (SELECT {n} AS n),
+f AS (SELECT n, unnest(range(n)) AS k FROM l)
+SELECT CAST(k AS BIGINT) AS k, round(sum(v * cos({2 * math.pi} * ((idx * k) % n) / n)) + 1e-9, 4) + 0.0 AS re,
+       round(-sum(v * sin({2 * math.pi} * ((idx * k) % n) / n)) + 1e-9, 4) + 0.0 AS im
+FROM h, f GROUP BY k
+"""
+
+
+def _slots(spark, d, minutes):
+    """Events per slot, numbered from 0, and the number of slots."""
+    slot = F.floor(F.unix_micros("ts") / F.lit(60_000_000 * minutes))
+    counts = events(spark, d).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("value"))
+    low, high = counts.agg(F.min("slot"), F.max("slot")).first()
+    return counts.select(F.lit(0).alias("all"), (F.col("slot") - low).alias("idx"), "value"), high - low + 1
+
+
+def _rounded_spectrum(df):
+    return df.select("k", (rounded("re", "re", 4) + 0.0).alias("re"), (rounded("im", "im", 4) + 0.0).alias("im"))
+
+
+@query("fft_long", _long_spectrum_sql(10, "(SELECT points FROM m)"))
+def _(spark, d):
+    slots, n = _slots(spark, d, 10)
+    return _rounded_spectrum(dft_by_key(slots, "all", "idx", "value", n))
+
+
+NEXT_PRIME = """(SELECT min(c) FROM (SELECT points + unnest(range(200)) AS c FROM m) WHERE c > 100
+  AND NOT EXISTS (SELECT 1 FROM range(2, 2000) AS d(q) WHERE q * q <= c AND c % q = 0))"""
+
+
+@query("fft_prime", _long_spectrum_sql(30, NEXT_PRIME))
+def _(spark, d):
+    slots, points = _slots(spark, d, 30)
+    n = next(c for c in range(points, points + 200) if c > 100 and all(c % q for q in range(2, math.isqrt(c) + 1)))
+    return _rounded_spectrum(dft_by_key(slots, "all", "idx", "value", n))
+
+
 @query("to_messages", """
 SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '"'
        || CASE WHEN event_type = 'click' THEN ',"user_id":' || user_id ELSE '' END || '}' AS message

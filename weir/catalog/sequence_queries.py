@@ -10,6 +10,7 @@ from .. import (
     bulk_docs,
     every_nth,
     learn,
+    learn_at,
     learn_linear,
     linear_model,
     logistic_model,
@@ -133,6 +134,19 @@ def _(spark, d):
     return t.select((F.abs("off") <= 6 * F.sqrt("var")).alias("near_mean"), "is_binary")
 
 
+@query("learn_at", f"""
+WITH {SQL_EVENTS}, {sql_ticks(6 * HOUR)},
+m AS (SELECT p, count(t) AS n, sum(CAST(user_id AS DOUBLE) * user_id) AS xx, sum(CAST(user_id AS DOUBLE)) AS x,
+  sum(user_id * value) AS xy, sum(value) AS y FROM polls LEFT JOIN e ON t <= p GROUP BY p)
+SELECT p AS t_us, CASE WHEN n * xx - x * x > 1e-9 * n * xx THEN round((n * xy - x * y) / (n * xx - x * x) + 1e-9, 5) + 0.0 END AS slope,
+  CASE WHEN n * xx - x * x > 1e-9 * n * xx THEN round((xx * y - x * xy) / (n * xx - x * x) + 1e-9, 5) END AS intercept FROM m
+""")
+def _(spark, d):
+    out = learn_at(events(spark, d), ticks(spark, d, "6h"), ["user_id", F.lit(1.0)], "value", "ts", "event_id")
+    slope, intercept = F.get("params", F.lit(0)), F.get("params", F.lit(1))
+    return out.select(us(), (rounded(slope, "slope", 5) + 0.0).alias("slope"), rounded(intercept, "intercept", 5))
+
+
 @query("learn_linear", """
 WITH s AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_discount) AS ab,
                   sum(l_discount * l_discount) AS bb, sum(l_quantity * l_extendedprice) AS ay,

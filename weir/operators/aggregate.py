@@ -15,6 +15,7 @@ from ..functions.duration import window_micros
 from ..functions.expressions import array_literal, as_col, label_text, micros, with_count_le
 from ..plans.lookups import lookup_join
 from ..plans.ordering import ordered
+from ..plans.rolling import rolling_sums
 from ..plans.streams import Stream, arrival, merged, of_stream, require_id
 from ..plans.trailing import few_polls, few_spans, span_counts, trailing_sums
 
@@ -44,7 +45,15 @@ def count_at(
 
 def rolling_count(events: DataFrame, window: str, ts: str = "ts", id: str = "id",
                   rows_per_chunk: int | None = None) -> DataFrame:
-    """``count_at`` with a poll right after every message."""
+    """``count_at`` with a poll right after every message.
+
+    The messages are shuffled once, by time, with a halo of one window (``plans/rolling.py``). Only a window so long that it
+    holds several chunks of messages takes the plan of ``count_at`` instead. Looks at the data first: a count and a sample.
+    """
+    require_id(events, id)
+    found = rolling_sums(events, ts, id, window_micros(window), None, rows_per_chunk)
+    if found is not None:
+        return found.select(*events.columns, F.col("_n").cast("double").alias("Count"))
     return _count(events, events, window, ts, id, ts, None, None, True, rows_per_chunk)
 
 
@@ -102,7 +111,12 @@ def moving_average_at(
 
 def rolling_average(events: DataFrame, value: str | Column, window: str, ts: str = "ts",
                     id: str = "id", rows_per_chunk: int | None = None) -> DataFrame:
-    """``moving_average_at`` with a poll right after every message."""
+    """``moving_average_at`` with a poll right after every message; see ``rolling_count`` for the plan."""
+    require_id(events, id)
+    number = as_col(value).try_cast("double")
+    found = rolling_sums(events, ts, id, window_micros(window), number, rows_per_chunk)
+    if found is not None:
+        return found.select(*events.columns, F.try_divide("_total", "_n").alias("Average"))
     return _averages(events, events, value, window, ts, id, ts, True, rows_per_chunk)
 
 

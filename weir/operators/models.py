@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_col, hashed_uniform
+from ..functions.expressions import array_literal, as_col, hashed_uniform, micros, with_count_le
+from ..plans.lookups import lookup_join
+from ..plans.ordering import ordered
+from ..plans.streams import require_id
+from ..plans.trailing import few_polls
 from .samplers import DEFAULT_SEED
 
 
@@ -90,6 +94,79 @@ def learn_linear(
     return moments(df, features, response).mapInPandas(solve, "params array<double>")
 
 
+def solved(df: DataFrame, d: int, out: str = "params") -> DataFrame:
+    """``df`` with the least-squares weights from its columns ``xx_i_j`` (i <= j) and ``xy_i``, as the array ``out``.
+
+    The d x d system is solved by a Cholesky factorisation, one column per element, so rows are solved in generated code.
+    Null where the features (nearly) depend on each other or fewer messages than features were seen.
+    """
+    col = F.col
+    for j in range(d):
+        rest = col(f"xx_{j}_{j}")
+        for k in range(j):
+            rest = rest - col(f"_l_{j}_{k}") * col(f"_l_{j}_{k}")
+        df = df.withColumn(f"_l_{j}_{j}", F.when(rest > F.abs(col(f"xx_{j}_{j}")) * 1e-12, F.sqrt(rest)))
+        below = {}
+        for i in range(j + 1, d):
+            rest = col(f"xx_{j}_{i}")
+            for k in range(j):
+                rest = rest - col(f"_l_{i}_{k}") * col(f"_l_{j}_{k}")
+            below[f"_l_{i}_{j}"] = rest / col(f"_l_{j}_{j}")
+        df = df.withColumns(below) if below else df
+    for i in range(d):
+        rest = col(f"xy_{i}")
+        for k in range(i):
+            rest = rest - col(f"_l_{i}_{k}") * col(f"_z_{k}")
+        df = df.withColumn(f"_z_{i}", rest / col(f"_l_{i}_{i}"))
+    for i in reversed(range(d)):
+        rest = col(f"_z_{i}")
+        for k in range(i + 1, d):
+            rest = rest - col(f"_l_{k}_{i}") * col(f"_w_{k}")
+        df = df.withColumn(f"_w_{i}", rest / col(f"_l_{i}_{i}"))
+    known = F.lit(True)
+    for i in range(d):
+        known = known & col(f"_w_{i}").isNotNull()
+    weights = F.when(known, F.array(*[col(f"_w_{i}") for i in range(d)]))
+    return df.withColumn(out, weights).drop(*[c for c in df.columns if c.startswith(("_l_", "_z_", "_w_"))])
+
+
+def learn_at(
+    events: DataFrame, polls: DataFrame, features: list[str | Column], response: str | Column, ts: str = "ts",
+    id: str = "id", poll_ts: str = "ts", rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """``polls`` with ``params``, the least-squares weights of all messages up to each poll (A12, linear loss).
+
+    Null before the messages determine the weights. Messages with a feature or response that is no number are skipped.
+    The moments of the messages are running sums along time: with few polls they are added up between polls on the map side,
+    so no message is shuffled; otherwise they are an ordered scan, which looks at the data first.
+    """
+    d = len(features)
+    names = [f"xx_{i}_{j}" for i in range(d) for j in range(i, d)] + [f"xy_{i}" for i in range(d)]
+    x, y = _numbers(events, features), as_col(response).try_cast("double")
+    seen = events.select(
+        micros(ts).alias("_us"), F.col(require_id(events, id)).alias("_id"), *[c.alias(f"x{i}") for i, c in enumerate(x)], y.alias("y")
+    ).dropna("any").select(
+        "_us", F.lit(0).alias("_rank"), "_id",
+        *[(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)],
+        *[(F.col(f"x{i}") * F.col("y")).alias(f"xy_{i}") for i in range(d)],
+    )
+    asked = polls.select(micros(poll_ts).alias("_us")).where("_us IS NOT NULL").distinct()
+    times = few_polls(asked, "_us")
+    if times:
+        slots = with_count_le(
+            seen.where(F.col("_us") <= times[-1]), "_slot", array_literal(times, "array<bigint>"), len(times), F.col("_us") - 1)
+        seen = slots.groupBy("_slot").agg(
+            F.max("_us").alias("_us"), F.lit(0).alias("_rank"), F.max("_id").alias("_id"), *[F.sum(n).alias(n) for n in names]
+        ).drop("_slot")
+    reads = asked.withColumn("_rank", F.lit(1))
+    rows = seen.unionByName(reads, allowMissingColumns=True)
+    scan = ordered(rows, ["_us", "_rank", "_id"], None, rows_per_chunk, bounded=bool(times)).scan(
+        **{f"_run_{n}": ("sum", F.col(n)) for n in names})
+    at_polls = scan.df.where("_rank = 1").select(F.col("_us").alias("_at"), *[F.col(f"_run_{n}").cast("double").alias(n) for n in names])
+    found = solved(at_polls, d).select("_at", "params")
+    return lookup_join(polls.withColumn("_us", micros(poll_ts)), found, ["_us"], ["_at"]).select(*polls.columns, "params")
+
+
 def step_size(schedule: str, t: int, eta: float) -> float:
     """Step of iteration ``t`` = 1, 2, …: ``constant``, ``inverse`` in t, or ``bottou``
     (slowly falling, eta / (1 + eta·t))."""

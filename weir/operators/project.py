@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,38 +136,145 @@ def script(
 
 def fft(df: DataFrame, series: str, out: str = "fft") -> DataFrame:
     """``df`` with the complex spectrum ``[[re, im], …]`` of an array of ``{timestamp, value}``
-    (P11). The timestamps are not used; a missing value counts as 0."""
+    (P11). The timestamps are not used; a missing value counts as 0.
 
-    @F.pandas_udf("array<array<double>>")
-    def spectrum(values: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            if len(v) == 0:
-                return []
-            s = np.fft.fft(np.nan_to_num(np.asarray(v, dtype="float64")))
-            return [[float(x.real), float(x.imag)] for x in s]
+    A message's array is transformed within its row, in two steps over n1 and n2 points where n = n1 * n2 with n1 as
+    near to the root of n as it divides: n * (n1 + n2) terms. Series of many points belong in rows: see ``dft_by_key``.
+    """
+    at = lambda cells, i: F.get(cells, i.cast("int"))
+    zero = lambda: F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+
+    def rotated(c: Column, turns: Column, of: Column) -> Column:
+        """c times e to the -2 pi i turns / of."""
+        a = F.lit(-2 * math.pi) * F.pmod(turns, of) / of
+        return F.struct((c["re"] * F.cos(a) - c["im"] * F.sin(a)).alias("re"), (c["re"] * F.sin(a) + c["im"] * F.cos(a)).alias("im"))
+
+    def total(n: Column, term: Callable[[Column], Column]) -> Column:
+        plus = lambda s, t: F.struct((s["re"] + t["re"]).alias("re"), (s["im"] + t["im"]).alias("im"))
+        return F.aggregate(upto(n), zero(), lambda s, i: plus(s, term(i)))
 
-        return values.map(one)
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+    def inner(s: Column) -> Column:
+        """For each t2 and k1 the sum over t1 of x[n2 t1 + t2], turned."""
+        point = lambda t2, t1: F.struct(at(s["x"], s["n2"] * t1 + t2).alias("re"), F.lit(0.0).alias("im"))
+        return F.transform(upto(s["n2"]), lambda t2: F.transform(upto(s["n1"]), lambda k1: total(
+            s["n1"], lambda t1: rotated(point(t2, t1), t1 * k1, s["n1"]))))
+
+    def outer(s: Column) -> Column:
+        return F.transform(upto(s["n1"] * s["n2"]), lambda k: total(s["n2"], lambda t2: rotated(
+            at(at(s["y"], t2), F.pmod(k, s["n1"])), t2 * k, s["n1"] * s["n2"])))
 
     numbers = F.transform(series, lambda p: F.coalesce(p["value"].cast("double"), F.lit(0.0)))
-    return df.withColumn(out, spectrum(numbers))
+    size = F.size(numbers).cast("bigint")
+    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt(size))), lambda d: size % d == 0)
+    n1 = F.element_at(divisors, -1)
+    split = F.struct(numbers.alias("x"), n1.alias("n1"), F.floor(size / n1).alias("n2"))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    cells = let(let(split, lambda s: F.struct(inner(s).alias("y"), s["n1"].alias("n1"), s["n2"].alias("n2"))), outer)
+    pairs = F.transform(cells, lambda c: F.array(c["re"], c["im"]))
+    empty = F.array().cast("array<array<double>>")
+    return df.withColumn(out, F.when(F.size(F.col(series)) > 0, pairs).when(F.col(series).isNotNull(), empty))
+
+
+#: Points that one step of a transform adds up in columns, and in rows; a larger prime factor takes the chirp form.
+RADIX, ROW_RADIX = 8, 64
+
+
+def radices(n: int) -> list[int]:
+    """Factors whose product is n, prime ones gathered to at most RADIX, small ones last."""
+    primes, m, p = [], n, 2
+    while m > 1:
+        while m % p == 0:
+            primes.append(p)
+            m //= p
+        p = p + 1 if p * p <= m else m
+    out: list[int] = []
+    for q in sorted(primes, reverse=True):
+        fit = next((i for i, f in enumerate(out) if f * q <= RADIX), None)
+        if fit is None:
+            out.append(q)
+        else:
+            out[fit] *= q
+    return out
+
+
+def _turned(re: Column, im: Column, turns: Column, of: int) -> tuple[Column, Column]:
+    """re + i im times e to the -2 pi i turns / of; whole turns are taken off first, which keeps the angle exact."""
+    a = F.lit(-2 * math.pi / of) * F.pmod(turns, F.lit(of))
+    return re * F.cos(a) - im * F.sin(a), re * F.sin(a) + im * F.cos(a)
+
+
+def _transformed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, k, re, im: the spectrum of rows with key, t, re and im, in one step for each factor of n.
+
+    Before a step there are points t < r for each of q frequencies k, with q * r = n. A step of radix f takes the points
+    t = t1 * (r / f) + t2 of one t2 and k together and gives f frequencies k + q * k1. So a step shuffles n rows.
+    """
+    r, q = n, 1
+    rows = rows.select(key, F.col("t").cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("k"), "re", "im")
+    for f in radices(n):
+        step = r // f
+        t1, t2 = F.floor(F.col("t") / step), F.pmod("t", F.lit(step))
+        parts = rows.select(key, t1.alias("t1"), t2.alias("t2"), "k", "re", "im")
+        if f <= RADIX:
+            cell = lambda c, j: F.coalesce(F.sum(F.when(F.col("t1") == j, F.col(c))), F.lit(0.0))
+            parts = parts.groupBy(key, "t2", "k").agg(*[cell(c, j).alias(f"{c}{j}") for j in range(f) for c in ("re", "im")])
+            cells = []
+            for k1 in range(f):
+                re, im = F.col("re0"), F.col("im0")
+                for j in range(1, f):
+                    a = 2 * math.pi * (j * k1 % f) / f
+                    c, s = round(math.cos(a), 16), round(-math.sin(a), 16)
+                    for factor, x, y in ((c, F.col(f"re{j}"), F.col(f"im{j}")), (s, -F.col(f"im{j}"), F.col(f"re{j}"))):
+                        if abs(factor) > 1e-15:
+                            re, im = (re + x, im + y) if factor == 1 else (re + x * factor, im + y * factor)
+                cells.append(F.struct(F.lit(k1).alias("k1"), re.alias("re"), im.alias("im")))
+            parts = parts.select(key, "t2", "k", F.inline(F.array(*cells)))
+        else:
+            each = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(f - 1))).alias("k1"))
+            re, im = _turned(F.col("re"), F.col("im"), F.col("t1") * F.col("k1"), f)
+            parts = each.groupBy(key, "t2", "k", "k1").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        re, im = _turned(F.col("re"), F.col("im"), F.col("t2") * F.col("k1"), r)
+        rows = parts.select(key, F.col("t2").alias("t"), (F.col("k") + q * F.col("k1")).alias("k"), re.alias("re"), im.alias("im"))
+        r, q = step, q * f
+    return rows.select(key, "k", "re", "im")
+
+
+def _chirped(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The spectrum for any n: t k = (t^2 + k^2 - (k - t)^2) / 2, so it is a convolution with a chirp, done by three
+    transforms of a power of two of at least 2 n - 1 points. The chirp's own is shared by all keys."""
+    m = 1 << (2 * n - 2).bit_length()
+    square = lambda c: F.pmod(F.col(c) * F.col(c), F.lit(2 * n))
+    re, im = _turned(F.col("re"), F.col("im"), square("t"), 2 * n)
+    signal = _transformed(rows.select(key, "t", re.alias("re"), im.alias("im")), key, m)
+    grid = rows.sparkSession.range(m).select(F.lit(0).alias("_one"), F.col("id").alias("t"), F.least("id", m - F.col("id")).alias("d"))
+    a = F.lit(math.pi / n) * square("d")
+    chirp = grid.where(F.col("d") < n).select("_one", "t", F.cos(a).alias("re"), F.sin(a).alias("im"))
+    chirp = _transformed(chirp, "_one", m).select(F.col("k").alias("_k"), F.col("re").alias("_re"), F.col("im").alias("_im"))
+    # conjugated before and after, a transform is its own inverse times m
+    product = signal.join(chirp, F.col("k") == F.col("_k")).select(
+        key, F.col("k").alias("t"), (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"),
+        (-(F.col("re") * F.col("_im") + F.col("im") * F.col("_re"))).alias("im"))
+    back = _transformed(product, key, m).where(F.col("k") < n)
+    re, im = _turned(F.col("re") / m, -F.col("im") / m, square("k"), 2 * n)
+    return back.select(key, "k", re.alias("re"), im.alias("im"))
 
 
 def dft_by_key(df: DataFrame, key: str, idx: str, value: str, n: int) -> DataFrame:
-    """Spectrum of a series in long form: ``key``, ``k``, ``re``, ``im``.
+    """Spectrum of a series in long form: ``key``, ``k``, ``re``, ``im``.
 
-    Each key has up to ``n`` points numbered 0…n-1 in ``idx``. Every point adds its share to the
-    ``n`` frequencies; the shares are summed on the map side before the shuffle.
+    Each key has up to ``n`` points numbered 0…n-1 in ``idx``; points that lack, or have no number, count as 0, and points of
+    one number are added. The transform goes factor by factor of n, with n rows to shuffle for each, whatever the length.
+    A prime factor beyond ROW_RADIX takes the chirp form. No key's series is brought together in one task.
     """
-    angle = F.lit(2 * np.pi / n) * F.pmod(F.col(idx) * F.col("k"), F.lit(n))
-    return (
-        df.select(key, idx, F.col(value).cast("double").alias("_v"),
-                  F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-        .groupBy(key, "k")
-        .agg(F.sum(F.col("_v") * F.cos(angle)).alias("re"),
-             (-F.sum(F.col("_v") * F.sin(angle))).alias("im"))
-    )
+    if n < 1:
+        raise ValueError("the number of points must be positive")
+    points = df.where(F.col(idx).between(0, n - 1)).groupBy(key, F.col(idx).cast("bigint").alias("t")).agg(
+        F.coalesce(F.sum(F.col(value).try_cast("double")), F.lit(0.0)).alias("re")).withColumn("im", F.lit(0.0))
+    if n == 1:
+        return points.select(key, F.col("t").alias("k"), "re", "im")
+    return (_chirped if max(radices(n)) > ROW_RADIX else _transformed)(points, key, n)
 
 
 def render_mail(

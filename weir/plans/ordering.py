@@ -6,11 +6,17 @@ rows are cut into chunks along their total order first:
 
 1. cut points: a bounded sample of the order keys is taken, and its quantiles are the cuts. The
    order keys include the unique id, so even rows that all share one timestamp are cut evenly;
-2. a window inside each chunk gives the local running value (one shuffle, by chunk);
-3. one aggregate row per chunk, with partial aggregation, gives the chunk totals, and a window
-   over that small table gives what each chunk starts from;
-4. the start values are joined back by chunk. The rows are already partitioned and sorted by
-   chunk, so this join moves only the small side.
+2. the rows are shuffled by chunk once and written as a table bucketed by chunk, from which all
+   further steps read without a shuffle, however many scans follow one another;
+3. a window inside each chunk gives the local running value;
+4. one aggregate row per chunk gives the chunk totals, and a window over that small table gives
+   what each chunk starts from. It is written out as well, so a scan that builds on another does
+   not run it again;
+5. the start values are joined back by chunk, which moves only the small side.
+
+An input that is costly to compute (with a shuffle, a window or Python in its plan) is written out
+first, as the count, the sample and the shuffle would each compute it. Jobs therefore run while the
+result is being built. Where there is one chunk only, nothing is written.
 
 With ``by`` columns the scan restarts for every key. Keys are windows of their own then, and only
 the keys that hold more rows than one chunk are cut along the order as well.
@@ -19,12 +25,14 @@ the keys that hold more rows than one chunk are cut along the order as well.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import array_literal, count_le, with_count_le
+from .tables import scratch_path, stored
 
 ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 20_000
@@ -34,6 +42,38 @@ HOT_SAMPLE_ROWS = 1_000_000
 MAX_HOT_KEYS = 20_000
 
 CHUNK = "_chunk"
+#: Parts of a plan that make reading it several times costly.
+COSTLY = ("Exchange", "Window", "Generate", "Join", "InPandas", "InArrow", "EvalPython", "Aggregate")
+
+
+def _storable(kind: T.DataType) -> bool:
+    """Whether a Parquet file can hold the type."""
+    if isinstance(kind, T.StructType):
+        return bool(kind.fields) and all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType))
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """The rows, written out if it would be costly to read them several times."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return stored(df, "rows") if _storable(df.schema) and any(word in plan for word in COSTLY) else df
+
+
+def _bucketed(df: DataFrame, keys: list[str], order: list[str], tasks: int) -> DataFrame:
+    """The rows shuffled by ``keys`` once and written as a table with a bucket for each of ``tasks``.
+
+    The table is taken out of the catalog at once: its files and this DataFrame are all that is used.
+    """
+    spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    writer = df.repartition(tasks, *keys).write.format("parquet").bucketBy(tasks, *keys).sortBy(*keys, *order)
+    writer.option("path", scratch_path(spark, "chunks")).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _sample(df: DataFrame, n: int, wanted: int) -> DataFrame:
@@ -92,10 +132,18 @@ class Ordered:
     ):
         self.df, self.order, self.by = df, order, by
         self.chunked, self.carry, self.tasks = chunked, carry, tasks
+        if carry and _storable(df.schema):
+            self.df, self.tasks = _bucketed(df, self.keys, order, max(tasks, 1)), 0
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.by, CHUNK] if self.chunked else list(self.by)
 
     def replace(self, df: DataFrame) -> Ordered:
         """The same chunks over a narrower or widened row."""
-        return Ordered(df, self.order, self.by, self.chunked, self.carry)
+        out = Ordered(df, self.order, self.by, self.chunked, carry=False)
+        out.carry = self.carry
+        return out
 
     def spread(self, keys: list[str]) -> DataFrame:
         """The rows shuffled by ``keys`` into as many tasks as there are chunks, where the
@@ -110,7 +158,7 @@ class Ordered:
         The running value covers all rows up to the current one, or up to the one before it
         with ``exclusive``. Null inputs are ignored; a sum over nothing is 0.
         """
-        keys = [*self.by, CHUNK] if self.chunked else list(self.by)
+        keys = self.keys
         frame = (
             Window.partitionBy(*keys)
             .orderBy(*self.order)
@@ -140,6 +188,7 @@ class Ordered:
                 for name, (kind, _) in running.items()
             ],
         )
+        start = stored(start, "starts") if _storable(start.schema) else start
         joined = local.join(start, keys, "left")
         merged = joined.withColumns(
             {
@@ -191,6 +240,7 @@ def ordered(
     if bounded:
         return Ordered(df, order, by, chunked=False, carry=False)
     limit = rows_per_chunk or ROWS_PER_CHUNK
+    df = _once(df)
     n = df.count()
     if by:
         return _ordered_by(df, order, by, n, limit)
@@ -199,7 +249,13 @@ def ordered(
     chunks = min(MAX_CHUNKS, max(math.ceil(n / limit), min(cores, n // smallest), 1))
     cuts = _cuts(df, order, n, chunks) if chunks > 1 else []
     cut = _with_cut_index(df, order, cuts)
-    return Ordered(cut, order, by, chunked=True, carry=bool(cuts), tasks=len(cuts) + 1)
+    return Ordered(cut, order, by, chunked=True, carry=bool(cuts), tasks=_tasks(df, n, len(cuts) + 1))
+
+
+def _tasks(df: DataFrame, n: int, pieces: int) -> int:
+    """Into how many tasks to shuffle n rows in so many chunks: several small chunks share one."""
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(math.ceil(n / ROWS_PER_CHUNK), min(pieces, shuffled))
 
 
 def _ordered_by(df, order, by, n, limit) -> Ordered:
@@ -218,8 +274,9 @@ def _ordered_by(df, order, by, n, limit) -> Ordered:
         .collect()
     )
     pieces = math.ceil(n / limit)
+    tasks = _tasks(df, n, pieces)
     if not hot:
-        return Ordered(df, order, by, chunked=False, carry=False, tasks=pieces)
+        return Ordered(df, order, by, chunked=False, carry=False, tasks=tasks)
     schema = T.StructType([df.schema[c] for c in by])
     hot_keys = df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
     cuts = _cuts(df, order, n, pieces)
@@ -227,7 +284,7 @@ def _ordered_by(df, order, by, n, limit) -> Ordered:
     marked = _with_cut_index(df.join(F.broadcast(hot_keys), by, "left"), order, cuts)
     index = F.when(F.col("_hot"), F.col(CHUNK) + 1).otherwise(0)
     marked = marked.withColumn(CHUNK, index).drop("_hot")
-    return Ordered(marked, order, by, chunked=True, carry=True, tasks=pieces)
+    return Ordered(marked, order, by, chunked=True, carry=True, tasks=tasks)
 
 
 def with_index(
