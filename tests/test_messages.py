@@ -1,7 +1,9 @@
 """Sources, single-message operators, models, samplers and sinks on small literal inputs."""
 
 import datetime as dt
+import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ import sims
 import weir
 from weir.functions.duration import interval_micros, parse_duration, window_micros
 from weir.functions.expressions import array_literal, count_le, label_text, with_count_le
+from weir.sources.messages import csv_records
 
 
 @pytest.mark.parametrize("text,want", [
@@ -145,6 +148,75 @@ def test_parse_csv(spark):
     ]
 
 
+def csv_by_state(text):
+    """Records of a CSV text, character by character: fields, or the text of a malformed record."""
+    text = text.replace("\r\n", "\n").removesuffix("\r")
+    out, at = [], 0
+    while at < len(text):
+        if text[at] == "\n":
+            at += 1
+            continue
+        start, fields, bad = at, [], False
+        while True:
+            while at < len(text) and text[at] in " \t":
+                at += 1
+            if text[at:at + 1] == '"':
+                at, field = at + 1, ""
+                while at < len(text):
+                    if text[at] != '"':
+                        field, at = field + text[at], at + 1
+                    elif text[at + 1:at + 2] == '"':
+                        field, at = field + '"', at + 2
+                    else:
+                        break
+                bad = at >= len(text) or text[at + 1:at + 2] not in ("", ",", "\n")
+                at += 1
+            else:
+                end = at
+                while end < len(text) and text[end] not in ',"\n':
+                    end += 1
+                field, bad, at = text[at:end], text[end:end + 1] == '"', end
+            fields.append(field)
+            if bad or text[at:at + 1] != ",":
+                break
+            at += 1
+        end = text.find("\n", at) if at < len(text) else -1
+        at = len(text) if end < 0 else end + 1
+        out.append((None, text[start:at]) if bad else (fields, None))
+    return out
+
+
+def test_csv_against_an_automaton(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice('ab,,""\n\n \t') for _ in range(rng.randrange(40))) for _ in range(600)]
+    texts += ['a,b"c,d\n1,2', '"open\nmore', '"a" b\nc', '""\n""""\n"a""', '"x\r\ny",z\r\n', ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, data string")
+    got = {r.id: [(x.fields, x.malformed) for x in r.records] for r in df.select("id", csv_records("data").alias("records")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == csv_by_state(t), t
+    kept = weir.parse_csv(df, "data", ["a"], ["id"], on_error="keep").where("malformed IS NOT NULL").count()
+    assert kept == sum(m is not None for t in texts for _, m in csv_by_state(t))
+
+
+def test_variant_messages(spark):
+    texts = ['{"a":24,"b":{"c":"test","d":[1,3,4]},"f":5,"x":{"y":5,"z":null}}', "[1]", '"text"', '{"b":7}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", F.try_parse_json("text").alias("message"))
+    keys = {"a": {}, "b": {"d": {}}, "x": {}, "none": {}}
+    got = {r[0]: r[1] and json.loads(r[1]) for r in weir.mask(df, keys, "message").select("id", F.to_json("message")).collect()}
+    assert got == {0: {"a": 24, "b": {"d": [1, 3, 4]}, "x": {"y": 5, "z": None}}, 3: {"b": 7}}
+    inner = weir.mask(df, {"id": {}, "message": {"b": {"d": {"e": {}}}}}).select("id", F.to_json("message")).collect()
+    assert {r[0]: r[1] and json.loads(r[1]) for r in inner} == {0: {"b": {"d": [1, 3, 4]}}, 1: [1], 2: "text", 3: {"b": 7}, 4: None}
+    maps = spark.sql("SELECT map('a', map('b', 1, 'c', 2), 'd', map('b', 3)) AS m, map('a', 1, 'b', 2) AS flat")
+    assert weir.mask(maps, {"m": {"a": {"c": {}}}, "flat": {"b": {}}}).first() == ({"a": {"c": 2}}, {"b": 2})
+    lists = spark.createDataFrame([(1, '[1, "x", {"q": true}]'), (2, '{"no": 1}'), (3, None)], "id int, text string").select(
+        "id", F.try_parse_json("text").alias("list"))
+    assert [r[0] for r in weir.unpack(lists, "list").select(F.to_json("message")).collect()] == ["1", '"x"', '{"q":true}']
+    assert [tuple(r) for r in weir.unpack(lists, "list", "id", ["id"]).select("id", F.to_json("Value"), "Label").collect()] == [
+        (1, "1", 1), (1, '"x"', 1), (1, '{"q":true}', 1)]
+    values = spark.sql("SELECT explode(array('1', '1.5', '1e6', 'true', '\"t\"', 'null', '[1]', '{}')) AS v").select(F.parse_json("v").alias("v"))
+    assert [r[0] for r in values.select(weir.label_text("v", "variant")).collect()] == ["1", "1.5", "1e+06", "true", "t", None, None, None]
+
+
 def test_parse_long_csv_text_whole(spark):
     n = 30_000
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(

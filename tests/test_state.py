@@ -131,6 +131,25 @@ def test_histogram_at(spark, chunk, many_polls):
     }
 
 
+def test_histogram_changes(spark, chunk, many_polls):
+    """Carried forward, the changes are the full histogram; there are at most two of them for each message."""
+    df, polls = sims.frame(spark, EVENTS), sims.times(spark, sorted(set(POLLS)))
+    for window in (3, 1000):
+        full = {(sims.sec(r.ts), r.Label): r.Count for r in weir.histogram_at(
+            df, polls, "key", f"{window}s", long=True, rows_per_chunk=chunk).collect()}
+        rows = weir.histogram_changes(df, polls, "key", f"{window}s", rows_per_chunk=chunk).collect()
+        changes = {(sims.sec(r.ts), r.Label): r.Count for r in rows}
+        assert len(changes) == len(rows) <= 2 * len(EVENTS)
+        now, want = {}, {}
+        for p in sorted(set(POLLS)):
+            before = dict(now)
+            now |= {k: c for (t, k), c in changes.items() if t == p}
+            assert all(before.get(k) != now[k] for t, k in changes if t == p)
+            want |= {(p, k): c for k, c in now.items()}
+        assert want == full
+    assert weir.histogram_changes(df, polls.limit(0), "key", "1s").count() == 0
+
+
 @pytest.mark.parametrize("pad", [True, False])
 def test_timeseries_rate_and_last(spark, chunk, pad):
     df, polls = sims.frame(spark, EVENTS), sims.times(spark, POLLS)

@@ -8,6 +8,7 @@ from .operators.aggregate import (
     count_at,
     dedupe,
     histogram_at,
+    histogram_changes,
     kl_divergence,
     kl_divergence_arrays,
     last_message,

@@ -11,6 +11,7 @@ from .. import (
     count_at,
     dedupe,
     histogram_at,
+    histogram_changes,
     kl_divergence,
     kl_divergence_arrays,
     last_message,
@@ -106,6 +107,19 @@ def _(spark, d):
     return out.select(us(), "Label", "Count")
 
 
+@query("histogram_changes", f"""
+WITH {SQL_EVENTS}, {sql_ticks(HOUR)},
+l AS (SELECT user_id, min(t) AS first FROM e GROUP BY 1),
+live AS (SELECT p, user_id, count(*) AS n FROM polls JOIN e ON t BETWEEN p - {3 * HOUR} AND p GROUP BY 1, 2),
+h AS (SELECT p, user_id, coalesce(n, 0) AS n, lag(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY p) AS before
+      FROM l JOIN polls ON first <= p LEFT JOIN live USING (p, user_id))
+SELECT p AS t_us, CAST(user_id AS VARCHAR) AS "Label", CAST(n AS DOUBLE) AS "Count" FROM h WHERE before IS NULL OR before <> n
+""")
+def _(spark, d):
+    out = histogram_changes(events(spark, d), ticks(spark, d, "1h"), "user_id", "3h", "ts", "event_id")
+    return out.select(us(), "Label", "Count")
+
+
 @query("timeseries_at", f"""
 WITH {SQL_EVENTS}, {sql_ticks(6 * HOUR)},
 n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM e),

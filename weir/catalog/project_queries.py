@@ -7,10 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from .. import (
+    decode_messages,
     dft_by_key,
     exists_key,
     fft,
     filter_messages,
+    histogram_at,
     map_messages,
     mask,
     num,
@@ -22,7 +24,7 @@ from .. import (
 )
 from ..functions.expressions import label_text
 from ..plans.tables import table
-from .registry import events, query, rounded
+from .registry import HOUR, SQL_EVENTS, events, query, rounded, sql_ticks, ticks, us
 
 
 @query("path", """
@@ -260,3 +262,64 @@ def _(spark, d):
 
     rows = events(spark, d).select("event_id", "event_type", "value", "user_id")
     return script(rows, score, "event_id bigint, score double")
+
+
+def _variants(spark, d):
+    """Events as messages without a schema; errors are arrays, and some views lack a member."""
+    inner = F.struct(F.col("value").alias("value"), F.struct(F.col("user_id").alias("user"), F.lit(1).alias("n")).alias("who"))
+    whole = F.struct("event_type", F.when(F.col("event_type") != "view", inner).alias("inner"), F.col("event_id").alias("x"))
+    text = F.when(F.col("event_type") == "error", F.to_json(F.array("event_id"))).otherwise(F.to_json(whole))
+    return events(spark, d).select("event_id", F.parse_json(text).alias("message"))
+
+
+@query("mask_variant", """
+SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id END AS user, false AS has_x,
+       event_type <> 'view' AS has_inner, false AS has_value FROM events WHERE event_type <> 'error'
+""")
+def _(spark, d):
+    out = mask(_variants(spark, d), {"event_type": {}, "inner": {"who": {"user": {}}}, "none": {}}, "message")
+    inner = F.try_variant_get("message", "$.inner", "variant")
+    return out.select(
+        "event_id", path("message", "$.event_type").alias("event_type"), path("message", "$.inner.who.user", "bigint").alias("user"),
+        exists_key("message", "x", "variant").alias("has_x"), exists_key("message", "inner", "variant").alias("has_inner"),
+        F.coalesce(exists_key(inner, "value", "variant"), F.lit(False)).alias("has_value"),
+    )
+
+
+@query("unpack_variant", """
+SELECT event_id, pos, CASE pos WHEN 0 THEN event_type WHEN 1 THEN CAST(user_id AS VARCHAR) ELSE 'true' END AS label,
+       event_type AS parent FROM events, (SELECT unnest(range(3)) AS pos) WHERE event_type <> 'error'
+""")
+def _(spark, d):
+    element = lambda p, **v: F.to_json(F.struct(F.lit(p).alias("pos"), *[x.alias(n) for n, x in v.items()]))
+    whole = F.concat(F.lit("["), element(0, v=F.col("event_type")), F.lit(","), element(1, v=F.col("user_id")), F.lit(","),
+                     element(2, v=F.lit(True)), F.lit("]"))
+    text = F.when(F.col("event_type") != "error", whole).otherwise(F.lit('{"no": "array"}'))
+    rows = events(spark, d).select("event_id", "event_type", F.parse_json(text).alias("list"))
+    out = unpack(rows, "list", "event_type", ["event_id"])
+    return out.select(
+        "event_id", path("Value", "$.pos", "bigint").alias("pos"),
+        label_text(F.try_variant_get("Value", "$.v", "variant"), "variant").alias("label"), F.col("Label").alias("parent"),
+    )
+
+
+@query("decode_to_histogram", f"""
+WITH {SQL_EVENTS}, {sql_ticks(6 * HOUR)},
+v AS (SELECT t, CASE event_type WHEN 'click' THEN CAST(user_id AS VARCHAR) WHEN 'view' THEN 'true' ELSE event_type END AS label
+      FROM e WHERE event_type <> 'error'),
+l AS (SELECT label, min(t) AS first FROM v GROUP BY 1),
+live AS (SELECT p, label, count(*) AS n FROM polls JOIN v ON t BETWEEN p - {HOUR} AND p GROUP BY 1, 2)
+SELECT p AS t_us, label AS "Label", CAST(coalesce(n, 0) AS DOUBLE) AS "Count"
+FROM l JOIN polls ON first <= p LEFT JOIN live USING (p, label)
+""")
+def _(spark, d):
+    tag = F.when(F.col("event_type") == "click", F.col("user_id").cast("string")).when(
+        F.col("event_type") == "view", F.lit("true")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    text = F.concat(F.lit('{"other": 1, "tags": ['), tag, F.lit("]}"))
+    payloads = events(spark, d).select(
+        "event_id", "ts", F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(text).alias("payload"))
+    messages = mask(decode_messages(payloads, "payload", keep=["event_id", "ts"]), {"tags": {}}, "message")
+    tags = messages.withColumn("tags", F.try_variant_get("message", "$.tags", "variant"))
+    each = unpack(tags, "tags", keep=["event_id", "ts"])
+    out = histogram_at(each, ticks(spark, d, "6h"), "message", "1h", "ts", "event_id", long=True)
+    return out.select(us(), "Label", "Count")

@@ -87,6 +87,25 @@ def _(spark, d):
                       F.col("extra")["3"].alias("extra"))
 
 
+@query("parse_csv_malformed", """
+SELECT c_custkey AS custkey, 0 AS record, c_name AS name, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS malformed FROM customer
+UNION ALL SELECT c_custkey, 1, NULL, NULL, 'a,b"c,' || c_name || chr(10) FROM customer
+UNION ALL SELECT c_custkey, 2, 'x "y"', c_name, NULL FROM customer
+UNION ALL SELECT c_custkey, 3, NULL, NULL, '1,"' || c_name || '" z,3' || chr(10) FROM customer
+UNION ALL SELECT c_custkey, 4, '', c_name || chr(10) || ',', NULL FROM customer
+UNION ALL SELECT c_custkey, 5, NULL, NULL, 'last,"never closed' || chr(10) || c_name || ',2' || chr(10) FROM customer
+""")
+def _(spark, d):
+    name = F.col("c_name")
+    text = F.concat(
+        name, F.lit(", "), F.col("c_mktsegment"), F.lit('\na,b"c,'), name, F.lit('\n"x ""y""", '), name, F.lit('\r\n1,"'), name,
+        F.lit('" z,3\n\n,"'), name, F.lit('\n,"\nlast,"never closed\n'), name, F.lit(",2\n"),
+    )
+    texts = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), text.alias("data"))
+    out = parse_csv(texts, "data", ["name", "segment"], ["custkey"], on_error="keep")
+    return out.select("custkey", "record", "name", "segment", "malformed")
+
+
 def _orders_xml(spark, d):
     o = table(spark, d, "orders")
     xml = F.concat(

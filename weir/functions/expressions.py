@@ -28,6 +28,16 @@ def path(col: str | Column, expr: str, as_type: str = "string") -> Column:
     return F.try_variant_get(as_col(col), expr, as_type)
 
 
+def entries(col: str | Column) -> Column:
+    """A variant object as a map of its members, which are variants; null for other values."""
+    return F.try_variant_get(as_col(col), "$", "map<string,variant>")
+
+
+def elements(col: str | Column) -> Column:
+    """A variant array as an array of variants; null for other values."""
+    return F.try_variant_get(as_col(col), "$", "array<variant>")
+
+
 def num(col: str | Column) -> Column:
     """Text to number; null where the text is no number."""
     return as_col(col).try_cast("double")
@@ -54,9 +64,16 @@ def label_text(col: str | Column, data_type: str) -> Column:
     exponent is below -4 or at least 6: ``1``, ``0.0001``, ``123456``, ``1e+06``, ``1e-05``.
 
     ``data_type`` is the Spark type name of ``col``; other types give null (such values are
-    skipped by the histogram).
+    skipped by the histogram). A variant's value decides for itself; all of its numbers are floats.
     """
     c = as_col(col)
+    if data_type == "variant":
+        kind = F.schema_of_variant(c)
+        # worked out once for each row, as the text reads it many times
+        numbers = F.array(F.try_variant_get(c, "$", "double"))
+        number = F.element_at(F.transform(numbers, lambda x: label_text(x, "double")), 1)
+        return F.when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(c, "$", "string")).when(
+            kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
     if data_type in ("string", "boolean", "tinyint", "smallint", "int", "bigint"):
         return c.cast("string")
     if data_type not in ("float", "double"):

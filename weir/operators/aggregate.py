@@ -200,6 +200,54 @@ def _later_polls(first: DataFrame, times: DataFrame, rows_per_chunk) -> DataFram
     ).join(numbered, "_poll").select("Label", "_us")
 
 
+def histogram_changes(
+    events: DataFrame, polls: DataFrame, value: str, window: str, ts: str = "ts", id: str = "id",
+    poll_ts: str = "ts", rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """``polls`` with ``Label`` and ``Count``, but only where a label's live count is another than at the poll before (A2).
+
+    A label's first row is that of the first poll that sees it, even if none of its messages is live any more. The full
+    histogram of a poll has each label with its latest row up to then. A message changes the count at two polls at most, the
+    first one not before it and the first one that no longer sees it, so there are at most two rows for each message, while
+    ``histogram_at`` has one for each label and poll. The changes are summed by label and poll on the map side, and only
+    those sums are put in order.
+    """
+    require_id(events, id)
+    width = window_micros(window)
+    kind = events.select(value).schema[0].dataType.simpleString()
+    labelled = events.select(
+        label_text(value, kind).alias("Label"), micros(ts).alias("_t"), F.col(id).alias("_id")
+    ).where(F.col("Label").isNotNull() & F.col("_t").isNotNull())
+    marks = labelled.select("Label", "_id", F.inline(F.array(
+        F.struct(F.col("_t").alias("_us"), F.lit(1).alias("_delta")),
+        F.struct((F.col("_t") + (width + 1)).alias("_us"), F.lit(-1).alias("_delta")),
+    )))
+    asked = polls.withColumn("_us", micros(poll_ts))
+    distinct = asked.select("_us").where("_us IS NOT NULL").distinct()
+    times = few_polls(asked.where("_us IS NOT NULL"), "_us")
+    if times is not None:
+        bounds = array_literal(times, "array<bigint>")
+        # the number of polls before the mark is the place of the poll that sees it first
+        seen = marks.where(F.col("_us") <= times[-1]) if times else marks.limit(0)
+        placed = with_count_le(seen, "_poll", bounds, len(times), F.col("_us") - 1)
+        at = F.get(bounds, F.col("_poll"))
+        sums = placed.groupBy("Label", "_poll").agg(F.sum("_delta").alias("_delta"))
+        sums = sums.select("Label", at.alias("_us"), "_delta")
+    else:
+        rows = marks.select("Label", "_delta", "_us", F.lit(0).alias("_rank"), "_id").unionByName(
+            distinct.select("_us", F.lit(1).alias("_rank")), allowMissingColumns=True)
+        scan = ordered(rows, ["_us", "_rank", "_id", "_delta"], rows_per_chunk=rows_per_chunk).scan(
+            _polls=("sum", F.col("_rank"))).df
+        numbered = scan.where("_rank = 1").select((F.col("_polls") - 1).alias("_poll"), F.col("_us").alias("_at"))
+        sums = scan.where("_rank = 0").groupBy("Label", F.col("_polls").alias("_seen")).agg(F.sum("_delta").alias("_delta"))
+        sums = lookup_join(sums, numbered, ["_seen"], ["_poll"], "inner").select("Label", F.col("_at").alias("_us"), "_delta")
+    # a label's first change is the first poll that sees it
+    counts = ordered(sums, ["_us"], ["Label"], rows_per_chunk).scan(_n=("sum", F.col("_delta")), _changes=("sum", F.lit(1))).df
+    changes = counts.where((F.col("_delta") != 0) | (F.col("_changes") == 1)).select(
+        "_us", "Label", F.col("_n").cast("double").alias("Count"))
+    return asked.join(changes, "_us").select(*polls.columns, "Label", "Count")
+
+
 def timeseries_at(
     events: DataFrame, polls: DataFrame, value: str | Column, n: int, ts: str = "ts",
     id: str = "id", poll_ts: str = "ts", pad: bool = True, rows_per_chunk: int | None = None,
@@ -453,6 +501,7 @@ def last_message_at(
 
 __all__ = [
     "cache_snapshot", "cardinality", "cardinality_at", "count_at", "dedupe", "histogram_at",
+    "histogram_changes",
     "kl_divergence", "kl_divergence_arrays", "last_message", "last_message_at", "last_n",
     "message_rate_at", "moving_average_at", "rolling_average", "rolling_count", "timeseries_at",
 ]

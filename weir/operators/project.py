@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.expressions import MICROS, as_col
+from ..functions.expressions import MICROS, as_col, elements, entries
 
 
 def filter_messages(df: DataFrame, cond: str | Column | None = None) -> DataFrame:
@@ -45,30 +45,73 @@ def map_messages(df: DataFrame, mapping: dict, additive: bool = True) -> DataFra
     return df.select(*[c.alias(k) for k, c in cols.items()])
 
 
-def mask(df: DataFrame, keys: dict) -> DataFrame:
-    """Keep the named columns only, recursively into structs.
+def mask(df: DataFrame, keys: dict, message: str | None = None) -> DataFrame:
+    """Keep the named columns only, recursively into structs, maps with text keys and variants.
 
-    ``{}`` keeps everything below; unknown keys are skipped; a value that is no struct is kept
-    as it is. Only struct access is used, so the scan reads just the kept leaves.
+    ``{}`` keeps everything below; unknown keys are skipped; a value without members is kept
+    as it is. Of structs only the kept leaves are read by the scan. ``message`` names a column with whole messages as variants:
+    then the keys are those of the messages, the other columns stay, and a message that is no object is dropped.
     """
+    if message is not None:
+        rows = df.where(entries(message).isNotNull())
+        return rows.withColumn(message, masked_variant(F.col(message), keys))
     if not keys:
         return df
     cols = _masked(df.schema, keys, F.col)
     return df.select(*cols)
 
 
+def masked_variant(value: Column, keys: dict) -> Column:
+    """A variant object with the named members only; null for a variant that is no object, unless all is kept."""
+    if not keys:
+        return value
+    members = entries(value)
+    kept = F.map_filter(members, lambda k, _: k.isin(*keys))
+    nested = _nested(keys)
+    if nested:
+        kept = F.transform_values(kept, lambda k, v: _by_key(k, v, nested, lambda x, below: F.coalesce(masked_variant(x, below), x)))
+    return F.when(members.isNotNull(), F.to_variant_object(kept))
+
+
+def _nested(keys: dict) -> dict[str, dict]:
+    return {k: below for k, below in keys.items() if isinstance(below, dict) and below}
+
+
+def _by_key(key: Column, value: Column, nested: dict[str, dict], change: Callable[[Column, dict], Column]) -> Column:
+    out = value
+    for name, below in nested.items():
+        out = F.when(key == name, change(value, below)).otherwise(out)
+    return out
+
+
+def _masked_map(kind: T.MapType, col: Column, keys: dict) -> Column:
+    kept, nested = F.map_filter(col, lambda k, _: k.isin(*keys)), _nested(keys)
+    if nested and isinstance(kind.valueType, T.VariantType):
+        change = lambda x, below: F.coalesce(masked_variant(x, below), x)
+    elif nested and isinstance(kind.valueType, T.MapType):
+        change = lambda x, below: _masked_map(kind.valueType, x, below)
+    else:
+        return kept  # structs of one map have one type, whatever the key
+    return F.transform_values(kept, lambda k, v: _by_key(k, v, nested, change))
+
+
 def _masked(schema: T.StructType, keys: dict, get: Callable[[str], Column]) -> list[Column]:
     out = []
     for field in schema.fields:
         if field.name not in keys:
             continue
         col, below = get(_quoted(field.name)), keys[field.name]
-        if isinstance(field.dataType, T.StructType) and isinstance(below, dict) and below:
-            inner = _masked(field.dataType, below, lambda n, c=col: c.getField(n.strip("`")))
-            if inner:
-                col = F.when(col.isNotNull(), F.struct(*inner))
-            else:
-                col = F.when(col.isNotNull(), F.from_json(F.lit("{}"), "struct<>"))
+        if isinstance(below, dict) and below:
+            if isinstance(field.dataType, T.StructType):
+                inner = _masked(field.dataType, below, lambda n, c=col: c.getField(n.strip("`")))
+                if inner:
+                    col = F.when(col.isNotNull(), F.struct(*inner))
+                else:
+                    col = F.when(col.isNotNull(), F.from_json(F.lit("{}"), "struct<>"))
+            elif isinstance(field.dataType, T.VariantType):
+                col = F.coalesce(masked_variant(col, below), col)
+            elif isinstance(field.dataType, T.MapType) and isinstance(field.dataType.keyType, T.StringType):
+                col = _masked_map(field.dataType, col, below)
         out.append(col.alias(field.name))
     return out
 
@@ -77,22 +120,29 @@ def _quoted(name: str) -> str:
     return f"`{name}`" if "." in name else name
 
 
-def unpack(df: DataFrame, array_col: str, label: str | None = None) -> DataFrame:
+def unpack(df: DataFrame, array_col: str, label: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """One message per array element (P8); a null array gives none.
 
     Struct elements become the message's columns, others the column ``Value``. With ``label`` the
-    messages are ``Value`` and ``Label``, the label taken from the parent.
+    messages are ``Value`` and ``Label``, the label taken from the parent. The elements of a variant are variants: without a
+    label they are the messages, in the column ``message``. A variant that is no array gives none. ``keep`` names columns of
+    the parent to pass on.
     """
+    kind = df.select(array_col).schema[0].dataType
+    variant = isinstance(kind, T.VariantType)
+    values = elements(array_col) if variant else F.col(array_col)
+    keep = list(keep or [])
     if label is not None:
         if label == array_col:
             raise ValueError("the label must not be the array itself")
-        return df.select(F.explode(array_col).alias("Value"), F.col(label).alias("Label"))
-    kind = df.select(array_col).schema[0].dataType
+        return df.select(*keep, F.explode(values).alias("Value"), F.col(label).alias("Label"))
+    if variant:
+        return df.select(*keep, F.explode(values).alias("message"))
     if not isinstance(kind, T.ArrayType):
         raise ValueError(f"{array_col!r} is not an array")
     if isinstance(kind.elementType, T.StructType):
-        return df.select(F.explode(array_col).alias("_e")).select("_e.*")
-    return df.select(F.explode(array_col).alias("Value"))
+        return df.select(*keep, F.explode(array_col).alias("_e")).select(*keep, "_e.*")
+    return df.select(*keep, F.explode(array_col).alias("Value"))
 
 
 def to_messages(df: DataFrame) -> DataFrame:

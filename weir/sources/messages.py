@@ -53,47 +53,67 @@ def read_messages(
     return decode_messages(reader.text(path), "value", "data", schema)
 
 
+#: White space that is trimmed before a field; line ends are not part of it.
+CSV_SPACE = r"[ \t\x0B\f\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*+"
+#: The inside of a quoted field, in which a quote is doubled.
+CSV_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+CSV_FIELD = rf'{CSV_SPACE}(?:"{CSV_QUOTED}"(?=[,\n]|\z)|(?!")[^",\n]*+(?!"))'
+CSV_GOOD = rf"{CSV_FIELD}(?:,{CSV_FIELD})*+(?:\n|\z)"
+#: A record whose next field has a quote inside an unquoted one, text behind its closing quote, or no closing quote. It
+#: ends with the line in which that shows.
+CSV_BAD = rf'(?:{CSV_FIELD},)*+{CSV_SPACE}(?:(?!")[^",\n]*+"[^\n]*+|"{CSV_QUOTED}"[^,\n][^\n]*+|"{CSV_QUOTED}\z)(?:\n|\z)'
+
+
 def csv_records(text: str | Column) -> Column:
-    """The records of a CSV text as an array of arrays of fields.
+    """The records of a CSV text as an array of ``{fields, malformed}``: the fields, or the text of a malformed record.
 
-    Quoted fields may hold commas, doubled quotes and newlines; blanks before a field are trimmed;
-    empty lines are skipped; records may differ in length.
+    The text is read from its start without a gap, each record beginning where the one before ended. Quoted fields may hold
+    commas, doubled quotes and newlines; white space before a field is trimmed; empty lines are skipped; records may differ
+    in length; ``\\r\\n`` counts as a newline everywhere. A record is malformed if a quote stands inside an unquoted field, if
+    anything but a comma or line end follows a closing quote, or if a quote is never closed; reading goes on with the next line.
     """
     whole = F.col(text) if isinstance(text, str) else text
-    record = r'([^"\n]*+(?:"[^"]*+"[^"\n]*+)*+)(?:\n|$)'
-    field = r'[ \t]*+("(?:[^"]*+"")*+[^"]*+"|[^,]*+),'
-    lines = F.filter(
-        F.transform(
-            F.regexp_extract_all(whole, F.lit(record), F.lit(1)), lambda r: F.rtrim(r, F.lit("\r"))
-        ),
-        lambda r: r != "",
-    )
+    whole = F.regexp_replace(whole, r"\r(?=\n|\z)", "")
+    records = F.filter(
+        F.regexp_extract_all(whole, F.lit(rf"\G(?:{CSV_GOOD}|{CSV_BAD})"), F.lit(0)), lambda r: ~r.isin("", "\n"))
+    field = rf'\G{CSV_SPACE}("{CSV_QUOTED}"|[^",]*+),'
     quoted = lambda f: F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(
-        lines,
-        lambda r: F.transform(
-            F.regexp_extract_all(F.concat(r, F.lit(",")), F.lit(field), F.lit(1)),
-            lambda f: F.when(F.startswith(f, F.lit('"')), quoted(f)).otherwise(f),
-        ),
-    )
 
+    def fields(record: Column) -> Column:
+        line = F.regexp_replace(record, r"\n\z", "")
+        return F.transform(
+            F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(field), F.lit(1)),
+            lambda f: F.when(F.startswith(f, F.lit('"')), quoted(f)).otherwise(f))
+
+    good = lambda r: r.rlike(rf"\A{CSV_GOOD}\z")
+    return F.transform(records, lambda r: F.struct(
+        F.when(good(r), fields(r)).alias("fields"), F.when(~good(r), r).alias("malformed")))
 
-def parse_csv(df: DataFrame, col: str, headers: list[str], keep: list[str] | None = None) -> DataFrame:
+
+def parse_csv(
+    df: DataFrame, col: str, headers: list[str], keep: list[str] | None = None, on_error: str = "drop",
+) -> DataFrame:
     """One row per record of the CSV texts in ``col`` (S2): ``record`` number, the ``headers`` as
     text columns (null where a record is short) and ``extra``, the further fields in a map keyed by
     their index (``"3"``), null if there are none. ``keep`` columns are passed on.
+
+    Malformed records (see ``csv_records``) are dropped, but count in ``record``; with ``on_error="keep"`` they come with null
+    columns and their text in the further column ``malformed``.
     """
+    if on_error not in ("drop", "keep"):
+        raise ValueError("on_error is 'drop' or 'keep'")
     n = len(headers)
-    fields = F.col("_fields")
+    fields = F.col("_record.fields")
     rest = F.slice(fields, n + 1, F.greatest(F.size(fields) - n, F.lit(0)))
     names = F.transform(rest, lambda _, i: (i + n).cast("string"))
     extra = F.when(F.size(fields) > n, F.map_from_arrays(names, rest))
-    return df.select(
-        *(keep or []), F.posexplode(csv_records(col)).alias("record", "_fields")
-    ).select(
+    rows = df.select(*(keep or []), F.posexplode(csv_records(col)).alias("record", "_record"))
+    if on_error == "drop":
+        rows = rows.where("_record.malformed IS NULL")
+    return rows.select(
         *(keep or []), "record",
         *[F.get(fields, F.lit(i)).alias(h) for i, h in enumerate(headers)],
-        extra.alias("extra"),
+        extra.alias("extra"), *([F.col("_record.malformed").alias("malformed")] if on_error == "keep" else []),
     )
 
 
