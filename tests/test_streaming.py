@@ -140,3 +140,128 @@ def test_learning_takes_one_step_per_batch(spark, live, tmp_path):
         means[(a, b)] = (b - a) / 0.5 + a  # the batch's mean value
     files = {round(np.mean([r["value"] for r in ROWS[i:i + 20]]), 9) for i in range(0, 120, 20)}
     assert {round(m, 9) for m in means.values()} == files
+
+
+def arrivals(rank):
+    """(time, rank, row) in the order in which the micro-batches bring them."""
+    out = []
+    for i in range(0, len(ROWS), 20):
+        out += sims.ordered(*[[r for r in ROWS[i:i + 20] if rank(r) == k] for k in range(3)])
+    return out
+
+
+def test_panes(live):
+    """Messages cost one row each; every finished poll is what the window holds, its ends included."""
+    average = streaming.run_available(streaming.average_stream(live, "value", "20s", "5s"), "avg").collect()
+    counts = streaming.run_available(streaming.histogram_stream(live, "key", "20s", "5s"), "hist").collect()
+    last = max(r["t"] for r in ROWS)
+    want, labels = {}, {}
+    for p in range(0, last, 5):
+        alive = [r for r in ROWS if p - 20 <= r["t"] <= p]
+        if alive:
+            want[p] = pytest.approx(sum(r["value"] for r in alive) / len(alive))
+        for key in {r["key"] for r in ROWS if p - 25 <= r["t"] <= p}:
+            now = sum(r["key"] == key for r in alive)
+            if now or any(r["key"] == key and p - 25 <= r["t"] <= p - 5 for r in ROWS):
+                labels[p, key] = float(now)
+    assert {sims.sec(r.poll): r.Average for r in average} == want
+    assert {(sims.sec(r.poll), r.Label): r.Count for r in counts} == labels
+
+
+def test_timeseries(live):
+    got = streaming.run_available(streaming.timeseries_stream(live, "key", "value", 3, "5s"), "series").collect()
+    last, want = max(r["t"] for r in ROWS), {}
+    for key, rows in per_key().items():
+        for p in {-(-r["t"] // 5) * 5 for r in rows}:
+            if p < last:
+                want[key, p] = [r["value"] for r in rows if r["t"] <= p][-3:]
+    assert {(r.key, sims.sec(r.poll)): [x.value for x in r.timeseries] for r in got} == want
+
+
+def test_session_packs(live):
+    out = streaming.run_available(streaming.pack_by_value_stream(live, "key", "3s", part_rows=4), "sessions")
+    ids = F.transform("Pack", lambda m: F.get_json_object(m, "$.id").cast("int")).alias("ids")
+    got = {(r.key, sims.sec(r.session), r.Part): r.ids for r in out.select("key", "session", "Part", ids).collect()}
+    last, want = max(r["t"] for r in ROWS), {}
+    for key, rows in per_key().items():
+        sessions = []
+        for r in rows:
+            if not sessions or r["t"] - sessions[-1][-1]["t"] > 3:
+                sessions.append([])
+            sessions[-1].append(r)
+        for s in sessions:
+            parts = [s[i:i + 4] for i in range(0, len(s), 4)]
+            open_still = s is sessions[-1] and s[-1]["t"] + 3 >= last
+            for n, part in enumerate(parts[:-1] if open_still else parts):
+                want[key, s[0]["t"], n] = [r["id"] for r in part]
+    assert got == want and all(len(ids) <= 4 for ids in got.values())
+
+
+@pytest.mark.parametrize("ttl", [None, 5])
+def test_membership(live, ttl):
+    adds, probes = live.where("id % 3 = 0"), live.where("id % 3 > 0")
+    out = streaming.is_member_stream(probes, adds, "key", ttl=None if ttl is None else f"{ttl}s")
+    added, want = {}, {}
+    for t, rank, r in arrivals(lambda r: int(r["id"] % 3 > 0)):
+        if rank == 0:
+            added[r["key"]] = t if ttl is not None else added.get(r["key"], t)
+        else:
+            at = added.get(r["key"])
+            want[r["id"]] = at is not None and (ttl is None or t - at <= ttl)
+    assert {r.id: r.isMember for r in streaming.run_available(out, "member").collect()} == want
+
+
+def test_zip_with_clears(live):
+    kind = lambda r: 0 if r["id"] % 10 == 0 else 1 + r["id"] % 2
+    clears, a, b = live.where("id % 10 = 0"), live.where("id % 10 > 0 AND id % 2 = 0"), live.where("id % 2 = 1")
+    out = streaming.run_available(streaming.zip_clear_stream(a, b, clears, "key", shards=3), "zip-clear")
+    epoch, waiting, seen, want = 0, {}, {}, set()
+    for _, rank, r in arrivals(kind):
+        if rank == 0:
+            epoch, waiting, seen = epoch + 1, {}, {}
+            continue
+        idx = seen[r["key"], rank] = seen.get((r["key"], rank), -1) + 1
+        other = waiting.pop((r["key"], 3 - rank, idx), None)
+        if other is None:
+            waiting[r["key"], rank, idx] = r["id"]
+        else:
+            want.add((r["key"], epoch, idx, *((r["id"], other) if rank == 1 else (other, r["id"]))))
+    assert want and {tuple(r) for r in out.select("key", "epoch", "idx", number("A"), number("B")).collect()} == want
+
+
+def test_packs_with_flushes_and_clears(live):
+    kind = lambda r: 0 if r["id"] % 17 == 0 else 1 if r["id"] % 13 == 0 else 2
+    clears, flushes = live.where("id % 17 = 0"), live.where("id % 17 > 0 AND id % 13 = 0")
+    rows = live.where("id % 17 > 0 AND id % 13 > 0")
+    out = streaming.run_available(streaming.pack_flush_stream(rows, "key", 3, flushes, clears, shards=3), "flush")
+    open_packs, sent, want = {}, {}, set()
+
+    def send(key):
+        want.add((key, sent.setdefault(key, 0), tuple(open_packs.pop(key))))
+        sent[key] += 1
+
+    for _, rank, r in arrivals(kind):
+        if rank == 0:
+            open_packs.clear()
+        elif rank == 1:
+            for key in list(open_packs):
+                send(key)
+        else:
+            if len(open_packs.get(r["key"], [])) == 3:
+                send(r["key"])
+            open_packs.setdefault(r["key"], []).append(r["id"])
+    ids = F.transform("Pack", lambda m: F.get_json_object(m, "$.id").cast("int")).alias("ids")
+    got = {(r.key, r.number, tuple(r.ids)) for r in out.select("key", "number", ids).collect()}
+    assert got == want
+
+
+def test_rules(live):
+    rules, rows = live.where("id % 9 = 0"), live.where("id % 9 > 0")
+    out = streaming.run_available(streaming.with_rules_stream(rows, rules, shards=3), "rules")
+    rule, want = None, {}
+    for _, rank, r in arrivals(lambda r: int(r["id"] % 9 > 0)):
+        if rank == 0:
+            rule = r["id"]
+        else:
+            want[r["id"]] = rule
+    assert {r.id: r.rule for r in out.select("id", number("rule")).collect()} == want

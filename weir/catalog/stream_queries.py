@@ -12,21 +12,29 @@ from pyspark.sql import types as T
 
 from ..plans.tables import scratch_path, use_utc, zoned
 from ..streaming import (
+    average_stream,
     cache_lookup_stream,
     count_stream,
     dedupe_stream,
+    histogram_stream,
+    is_member_stream,
     learn_stream,
     pack_by_count_stream,
     pack_by_interval_stream,
+    pack_by_value_stream,
+    pack_flush_stream,
     queue_stream,
     read_params,
     run_available,
     session_stream,
     sync_stream,
+    timeseries_stream,
     toggle_stream,
+    with_rules_stream,
+    zip_clear_stream,
     zip_stream,
 )
-from .registry import HOUR, SQL_EVENTS, query, us
+from .registry import HOUR, SQL_EVENTS, query, rounded, us
 
 LATEST = "(SELECT max(t) FROM e)"
 LATEST_MS = f"({LATEST} // 1000 * 1000)"
@@ -200,3 +208,111 @@ def _(spark, d):
         "batch", F.col("rows").alias("n"), F.round(F.col("params")[0] + 1e-9, 6).alias("w0"),
         F.round(F.col("params")[1] + 1e-9, 6).alias("w1"),
     )
+
+
+SQL_POLLS = f"""
+w AS (SELECT *, unnest(range((t + {HOUR - 1}) // {HOUR}, (t + {{reach}}) // {HOUR} + 1)) * {HOUR} AS p FROM e)
+"""
+
+
+@query("stream_average", f"""
+WITH {SQL_EVENTS}, {SQL_POLLS.format(reach=3 * HOUR)}
+SELECT p AS t_us, event_type, round(avg(value) + 1e-9, 6) AS average FROM w WHERE p + 1 <= {LATEST_MS} GROUP BY 1, 2
+""")
+def _(spark, d):
+    out = average_stream(stream(spark, d), "value", "3h", "1h", by=["event_type"])
+    return run_available(out, "average").select(us("poll"), "event_type", rounded("Average", "average"))
+
+
+@query("stream_histogram", f"""
+WITH {SQL_EVENTS}, {SQL_POLLS.format(reach=4 * HOUR)}
+SELECT p AS t_us, CAST(user_id AS VARCHAR) AS "Label", CAST(sum((t >= p - {3 * HOUR})::INT) AS DOUBLE) AS "Count"
+FROM w WHERE p + 1 <= {LATEST_MS} GROUP BY 1, 2 HAVING sum((t >= p - {3 * HOUR} OR t <= p - {HOUR})::INT) > 0
+""")
+def _(spark, d):
+    out = histogram_stream(stream(spark, d), "user_id", "3h", "1h")
+    return run_available(out, "histogram").select(us("poll"), "Label", "Count")
+
+
+@query("stream_timeseries", f"""
+WITH {SQL_EVENTS},
+p AS (SELECT DISTINCT user_id, (t + {6 * HOUR - 1}) // {6 * HOUR} * {6 * HOUR} AS p FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+c AS (SELECT user_id, p, count(*) AS seen FROM p JOIN e USING (user_id) WHERE t <= p GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS key, p AS t_us, least(seen, 3) - 1 - (seen - n) AS pos, CAST(t // 1000 AS DOUBLE) AS "timestamp", value
+FROM c JOIN n USING (user_id) WHERE n BETWEEN seen - 2 AND seen AND p // 1000 <= {LATEST_MS} // 1000 - 1
+""")
+def _(spark, d):
+    out = run_available(timeseries_stream(stream(spark, d), "user_id", "value", 3, "6h", id="event_id"), "series")
+    return out.select("key", us("poll"), F.posexplode("timeseries").alias("pos", "s")).select(
+        "key", "t_us", F.col("pos").cast("bigint").alias("pos"), "s.timestamp", "s.value")
+
+
+@query("stream_session_pack", f"""
+WITH {SQL_EVENTS},
+g AS (SELECT *, coalesce(t - lag(t) OVER u > {6 * HOUR}, true) AS starts FROM e
+      WINDOW u AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY t, event_id) - 1 AS pos,
+      min(t) OVER (PARTITION BY user_id, session) AS first, max(t) OVER (PARTITION BY user_id, session) AS last,
+      count(*) OVER (PARTITION BY user_id, session) AS total, max(session) OVER (PARTITION BY user_id) AS open FROM s)
+SELECT CAST(user_id AS VARCHAR) AS key, first AS t_us, CAST(pos // 2 AS INT) AS part, CAST(count(*) AS BIGINT) AS size, min(event_id) AS first_id
+FROM r WHERE session < open OR (last + {6 * HOUR}) // 1000 + 1 <= {LATEST_MS} // 1000 - 1 OR (pos // 2 + 1) * 2 < total GROUP BY 1, 2, 3
+""")
+def _(spark, d):
+    ids = stream(spark, d).select("user_id", "ts", "event_id")
+    packs = run_available(pack_by_value_stream(ids, "user_id", "6h", id="event_id", part_rows=2), "session-pack")
+    first = F.get_json_object(F.get("Pack", F.lit(0)), "$.event_id").cast("bigint")
+    return packs.select("key", us("session"), F.col("Part").alias("part"), F.size("Pack").cast("bigint").alias("size"), first.alias("first_id"))
+
+
+@query("stream_is_member", """
+WITH s AS (SELECT user_id, min(ts) AS first FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT event_id, coalesce(first <= ts, false) AS "isMember" FROM events LEFT JOIN s USING (user_id) WHERE event_type <> 'purchase'
+""")
+def _(spark, d):
+    probes = stream(spark, d, "click", "view", "error", "signup")
+    out = run_available(is_member_stream(probes, stream(spark, d, "purchase"), "user_id", id="event_id"), "member")
+    return out.select(F.col("id").alias("event_id"), "isMember")
+
+
+@query("stream_zip_clear", """
+WITH c AS (SELECT *, sum((event_type = 'error')::INT) OVER (ORDER BY ts, event_id) AS epoch FROM events),
+n AS (SELECT *, event_type IN ('click', 'signup') AS is_a, row_number() OVER (
+      PARTITION BY user_id, epoch, event_type IN ('click', 'signup') ORDER BY ts, event_id) - 1 AS idx FROM c WHERE event_type <> 'error')
+SELECT CAST(a.user_id AS VARCHAR) AS key, CAST(a.epoch AS BIGINT) AS epoch, a.idx, a.event_id AS a_id, b.event_id AS b_id
+FROM n a JOIN n b ON a.user_id = b.user_id AND a.epoch = b.epoch AND a.idx = b.idx AND a.is_a AND NOT b.is_a
+""")
+def _(spark, d):
+    out = run_available(
+        zip_clear_stream(stream(spark, d, "click", "signup"), stream(spark, d, "view", "purchase"), stream(spark, d, "error"),
+                         "user_id", id="event_id", shards=8), "zip-clear")
+    number = lambda c: F.get_json_object(c, "$.event_id").cast("bigint")
+    return out.select("key", "epoch", "idx", number("A").alias("a_id"), number("B").alias("b_id"))
+
+
+@query("stream_pack_flush", """
+WITH c AS (SELECT *, sum((event_type = 'error')::INT) OVER (ORDER BY ts, event_id) AS epoch FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) - 1 AS pos,
+      count(*) OVER (PARTITION BY user_id, epoch) AS total FROM c WHERE event_type <> 'error')
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS size, min(event_id) AS first, max(event_id) AS last
+FROM n WHERE total > (pos // 2 + 1) * 2 OR epoch < (SELECT max(epoch) FROM c) GROUP BY user_id, epoch, pos // 2
+""")
+def _(spark, d):
+    ids = stream(spark, d, "click", "view", "purchase", "signup").select("user_id", "ts", "event_id")
+    packs = run_available(pack_flush_stream(ids, "user_id", 2, stream(spark, d, "error"), id="event_id", shards=8), "pack-flush")
+    each = F.transform("Pack", lambda m: F.get_json_object(m, "$.event_id").cast("bigint"))
+    return packs.select("key", F.size("Pack").cast("bigint").alias("size"), F.array_min(each).alias("first"), F.array_max(each).alias("last"))
+
+
+@query("stream_rules", """
+SELECT e.event_id, r.event_id AS rule_id, r.value AS rule_value FROM (SELECT * FROM events WHERE event_type <> 'error') e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON e.ts >= r.ts
+""")
+def _(spark, d):
+    rules = stream(spark, d, "error").select("ts", "event_id", "value")
+    out = run_available(with_rules_stream(
+        stream(spark, d, "click", "view", "purchase", "signup"), rules, id="event_id", shards=8), "rules")
+    return out.select(
+        F.col("id").alias("event_id"), F.get_json_object("rule", "$.event_id").cast("bigint").alias("rule_id"),
+        F.get_json_object("rule", "$.value").cast("double").alias("rule_value"))
