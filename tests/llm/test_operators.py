@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from weir.llm import jaccard_join
 from weir.llm.bpe import Bpe, round_trip
 from weir.llm.decontaminate import clean_documents, contamination
+from weir.llm.ended import EndedBpe
 from weir.llm.jaccard_join import near_components, one_of_each
 from weir.llm.licenses import license_scan
 from weir.llm.line_dedup import line_dedup, within_one, without_repeats
@@ -401,9 +402,10 @@ def test_bpe(edge, none):
             assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
 
 
-@pytest.mark.parametrize("path", [BYTE, WORD])
-def test_encoder_against_library(path):
-    library, own = Tokenizer.from_file(path), Bpe(Path(path).read_text(encoding="utf-8"), batch_chars=500)
+@pytest.mark.parametrize("path, kind", [(BYTE, Bpe), (WORD, Bpe), (WORD, EndedBpe), (BYTE, EndedBpe)])
+def test_encoder_against_library(path, kind):
+    library, own = Tokenizer.from_file(path), kind(Path(path).read_text(encoding="utf-8"), batch_chars=500)
+    assert kind is Bpe or (own.fast is None) == (path == BYTE)
     own.cache.max_runs = 50
     rng = random.Random(6)
     letters = "abcdeEST  \n\n'.,1é ñÀ²½\t\x00\xa0́​中<|>😀"
@@ -430,6 +432,20 @@ def test_token_files(edge, none):
     assert order == sorted(order, key=lambda x: (x is not None, x))
 
 
+def test_ids_of_documents_stay_whole(spark):
+    """Ids beyond 2^53 beside a null one, and text ids; no setting of the session is left behind."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    big = [2**53 + 1, None, 2**53 + 3, -(2**63)]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(big)], "doc_id long, text string").coalesce(1)
+    assert collections.Counter(r.doc_id for r in round_trip(df, BYTE).collect()) == collections.Counter(big)
+    assert [r.doc_id for r in sorted(token_files(df, WORD).collect(), key=lambda r: r.start)] == [None, -(2**63), 2**53 + 1, 2**53 + 3]
+    names = spark.createDataFrame([("b", "x y"), ("a", None), (None, "z")], "doc_id string, text string")
+    assert {r.doc_id for r in round_trip(names, BYTE).collect()} == {"a", "b", None}
+    assert [(r.doc_id, r.start, r.n_tokens) for r in sorted(token_files(names, WORD).collect(), key=lambda r: r.start)] == [
+        (None, 0, 2), ("a", 2, 1), ("b", 3, 3)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_stream_of_bytes():
     rng = np.random.default_rng(7)
     for n in (0, 1, 4, 1001):

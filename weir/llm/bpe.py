@@ -19,12 +19,12 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, short_batches
+from .common import pick
 
 #: The patterns by which the two kinds of vocabulary cut a text into words.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,48 +236,59 @@ class Bpe:
         return gather(self.bytes_flat, self.bytes_offsets, ids)[0].tobytes().decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: dict[tuple, Bpe] = {}
+#: Texts that are encoded, and handed on, together; Spark bounds the bytes of a batch that comes in.
+TOGETHER = 1000
 
 
-def loaded(spec: str) -> Bpe:
-    """One encoder for each vocabulary and Python worker."""
-    key = hash(spec)
+def loaded(spec: str, kind: type[Bpe] = Bpe) -> Bpe:
+    """One encoder for each vocabulary, kind of encoder and Python worker."""
+    key = kind, hash(spec)
     if key not in _LOADED:
-        _LOADED[key] = Bpe(spec)
+        _LOADED[key] = kind(spec)
     return _LOADED[key]
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), TOGETHER):
+            yield b.slice(at, TOGETHER)
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets_of(map(len, arrays)).astype(np.int32)), pa.array(flat, kind))
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) of each text with the vocabulary file at ``path``."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    """doc_id, n_tokens, ids (array of int) of each text with the vocabulary file at ``path``. doc_id is of any type."""
+    spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for b in batches:
-            ids = bpe.encode(b["text"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array([len(x) for x in ids], np.int64), "ids": ids})
+        for b in portions(batches):
+            ids = bpe.encode(b["text"].to_pylist())
+            n = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], n, lists(ids, pa.int32())], names=["doc_id", "n_tokens", "ids"])
 
     texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of each row with ``ids``."""
-    spark = encoded.sparkSession
-    short_batches(spark)
-    spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    spec = encoded.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for b in batches:
-            b["decoded"] = [bpe.decode(x) for x in b["ids"]]
-            yield b
+        for b in portions(batches):
+            flat, ends = b["ids"].values.to_numpy(), b["ids"].offsets.to_numpy()
+            texts = pa.array([bpe.decode(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     rows = pick(encoded, "doc_id", "n_tokens", "ids")
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -7,8 +7,9 @@ are range-partitioned and sorted, each partition is a ``chunk``, and ``before``
 
 Texts: null counts as empty; every document gets the end id, so none has no ids. Rows of one doc_id (or without
 one, which come first) are ordered by the hash of their ids; equal rows each count. An empty table gives no
-blocks. Other columns are ignored. Encoding is that of the tokenizers library: runs of common letters are merged by
-the rounds of ``bpe``, which tests hold against the library, and all others go through the library. A document is held whole, with a block of others, in one task; nothing else is.
+blocks. Other columns are ignored; doc_id is of any type that can be sorted. Encoding is that of the tokenizers library: runs of
+common letters are cut and merged by ``ended``, which tests hold against the library, and all others go through the library.
+A document is held whole, with a block of others, in one task; nothing else is.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import scratch_path
-from .bpe import loaded
-from .common import pick, short_batches, small_side, stored
+from .bpe import loaded, portions
+from .common import pick, small_side, stored
+from .ended import EndedBpe
 
 #: Bytes of each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
@@ -60,36 +62,36 @@ def width(path: str, end_id: int | None) -> str:
 
 def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """doc_id, n_tokens, ids (values of the vocabulary's ``width``), the end id included."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
     end, kind = np.array([] if end_id is None else [end_id], np.int32), width(path, end_id)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = loaded(spec.value)
-        for b in batches:
-            ids = [np.append(x, end).astype(kind) for x in encoder.encode(b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = loaded(spec.value, EndedBpe)
+        for b in portions(batches):
+            ids = [np.append(x, end).astype(kind) for x in encoder.encode(b["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()),
+            ], names=["doc_id", "n_tokens", "ids"])
 
     texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def ranked(ids: DataFrame, kind: str) -> np.ndarray:
     """Token ids by falling frequency, then by id. Counts are summed per task first; the result is one number per
     id of the vocabulary, which bounds what reaches the driver."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b["ids"]), kind))
+            n = np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), kind))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"token": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
-    rows = ids.select("ids").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return np.array([t for t, _ in sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))], np.int64)
 
 
@@ -105,39 +107,48 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, b
     rank[by_rank] = np.arange(len(by_rank))
     shared = spark.sparkContext.broadcast(rank)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, block, before, held = TaskContext.get().partitionId(), 0, 0, []
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["chunk", "block", "before", "n_ids", "doc_ids", "lengths", "control", "data"]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, block, before, size, held = TaskContext.get().partitionId(), 0, 0, 0, []
 
-        def row() -> pd.DataFrame:
-            nonlocal block, before, held
-            flat = np.frombuffer(b"".join(x for _, x in held), kind)
+        def row() -> pa.RecordBatch:
+            nonlocal block, before, size, held
+            flat = np.frombuffer(b"".join(x for _, xs in held for x in xs), kind)
             control, data = pack(shared.value[flat])
-            out = {"chunk": chunk, "block": block, "before": before, "n_ids": len(flat), "doc_ids": [d for d, _ in held],
-                   "lengths": [len(x) // size_of for _, x in held], "control": control, "data": data}
-            block, before, held = block + 1, before + len(flat), []
-            return pd.DataFrame([out])
+            docs_of = pa.concat_arrays([d for d, _ in held])
+            one = lambda x, t: pa.array([x], t)
+            listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            lengths = pa.array([len(x) // size_of for _, xs in held for x in xs], pa.int32())
+            out = [one(chunk, pa.int32()), one(block, pa.int32()), one(before, pa.int64()), one(len(flat), pa.int64()),
+                   listed(docs_of), listed(lengths), one(control, pa.binary()), one(data, pa.binary())]
+            block, before, size, held = block + 1, before + len(flat), 0, []
+            return pa.RecordBatch.from_arrays(out, names=names)
 
-        size = 0
         for b in batches:
-            for doc, x in zip(b["doc_id"], b["ids"]):
-                held.append((None if pd.isna(doc) else int(doc), x))
+            first, part = 0, []
+            for at, x in enumerate(b["ids"].to_pylist()):
+                part.append(x)
                 size += len(x) // size_of
                 if size >= block_ids:
+                    held.append((b["doc_id"].slice(first, len(part)), part))
                     yield row()
-                    size = 0
+                    first, part = at + 1, []
+            if part:
+                held.append((b["doc_id"].slice(first, len(part)), part))
         if held:
             yield row()
 
     tie = ids.withColumn("tie", F.xxhash64("ids"))
     ordered = tie.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    ordered.mapInPandas(
-        blocks, "chunk int, block int, before long, n_ids long, doc_ids array<long>, lengths array<int>, control binary, data binary"
-    ).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(blocks, (
+        f"chunk int, block int, before long, n_ids long, doc_ids array<{id_kind}>, lengths array<int>, control binary, data binary"
+    )).write.parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (binary) from the files alone."""
-    short_batches(spark, 100)
     table = spark.read.schema("ids array<long>").parquet(f"{folder}/ranks").collect()
     by_rank = spark.sparkContext.broadcast(np.array(table[0][0], "<u4"))
     blocks = spark.read.parquet(f"{folder}/blocks")
@@ -145,22 +156,24 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     chunks = blocks.groupBy("chunk").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
     earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select("chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                ids = by_rank.value[unpack(r.control, r.data, r.n_ids)]
-                lengths = np.asarray(r.lengths, np.int64)
+            for at in range(len(b)):
+                cell = lambda name: b[name][at].as_py()  # noqa: B023, E731
+                ids = by_rank.value[unpack(cell("control"), cell("data"), cell("n_ids"))]
+                lengths = b["lengths"][at].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(lengths)
-                raw = [ids[a:e].tobytes() for a, e in zip(ends - lengths, ends)]
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(x) else int(x) for x in r.doc_ids], "Int64"),
-                    "start": r.first + r.before + ends - lengths, "n_tokens": lengths,
-                    "ids_crc32": [zlib.crc32(x) for x in raw], "ids": raw,
-                })
-
-    return blocks.join(small_side(starts, 16), "chunk").mapInPandas(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+                raw = [ids[i:j].tobytes() for i, j in zip(ends - lengths, ends)]
+                yield pa.RecordBatch.from_arrays([
+                    b["doc_ids"][at].values, pa.array(cell("first") + cell("before") + ends - lengths), pa.array(lengths),
+                    pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary()),
+                ], names=names)
+
+    id_kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return blocks.join(small_side(starts, 16), "chunk").mapInArrow(
+        run, f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long, ids binary"
     )
 
 
