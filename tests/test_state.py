@@ -325,3 +325,29 @@ def test_order_needs_an_id(spark):
         weir.toggle(df, id="nope")
     with pytest.raises(ValueError):
         weir.count_at(df, df, "1s", id="value")
+
+
+def test_pack_by_interval_with_clears_and_flushes(spark, chunk):
+    clears, flushes = [20, 50, 100, 199], [20, 30, 55, 100, 100, 101, 150]
+    batch, want, start = [], [], 0
+
+    def send(segment):
+        parts = [tuple(batch[i:i + 4]) for i in range(0, len(batch), 4)] or [None]
+        want.extend((start, segment, n, p) for n, p in enumerate(parts))
+
+    arrived = sims.ordered(clears, flushes, EVENTS)
+    for start in range(0, 200, 10):
+        segment, batch = 0, []
+        for t, rank, r in [a for a in arrived if start <= a[0] < start + 10]:
+            if rank == 2:
+                batch.append(r["id"])
+                continue
+            if rank == 1:
+                send(segment)
+            segment, batch = segment + 1, []
+        send(segment)
+    out = weir.pack_by_interval(
+        sims.frame(spark, EVENTS), "10s", ticks=sims.times(spark, list(range(0, 200, 10))), pack_rows=4, rows_per_chunk=chunk,
+        clears=sims.times(spark, clears), flushes=sims.times(spark, flushes))
+    got = [(sims.sec(r.start), r.segment, r.Part, None if r.Pack is None else tuple(m.id for m in r.Pack)) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

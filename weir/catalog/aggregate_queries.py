@@ -232,6 +232,29 @@ def _(spark, d):
                       F.array_max(pack).alias("last"))
 
 
+@query("pack_by_interval_flush", f"""
+WITH {SQL_EVENTS}, {sql_ticks(HOUR // 2)},
+m AS (SELECT *, t // {HOUR // 2} * {HOUR // 2} AS start, event_type IN ('error', 'signup') AS marker FROM e),
+s AS (SELECT *, CAST(sum(marker::INT) OVER (PARTITION BY start ORDER BY t, event_id) AS BIGINT) - marker::INT AS seg FROM m),
+r AS (SELECT *, (row_number() OVER (PARTITION BY start, seg ORDER BY t, event_id) - 1) // 2 AS part FROM s WHERE NOT marker),
+g AS (SELECT start, seg, part, count(*) AS size, min(event_id) AS first, max(event_id) AS last FROM r GROUP BY 1, 2, 3),
+k AS (SELECT start, seg, event_type = 'signup' AS flush FROM s WHERE marker),
+l AS (SELECT p AS start, count(k.start) AS seg FROM polls LEFT JOIN k ON k.start = p GROUP BY p),
+x AS (SELECT start, seg FROM g UNION SELECT start, seg FROM k WHERE flush UNION SELECT start, seg FROM l)
+SELECT start AS t_us, seg AS segment, coalesce(part, 0) AS part, size, first, last
+FROM x LEFT JOIN g USING (start, seg) LEFT JOIN k USING (start, seg) WHERE coalesce(flush, true)
+""")
+def _(spark, d):
+    ids = of_type(spark, d, "click", "view", "purchase").select("event_id", "ts")
+    out = pack_by_interval(
+        ids, "30m", "ts", "event_id", ticks=ticks(spark, d, "30m"), pack_rows=2, rows_per_chunk=500,
+        clears=of_type(spark, d, "error"), flushes=of_type(spark, d, "signup"))
+    pack = F.col("Pack.event_id")
+    size = F.when(F.col("Pack").isNotNull(), F.size("Pack")).cast("bigint")
+    return out.select(us("start"), "segment", F.col("Part").cast("bigint").alias("part"), size.alias("size"),
+                      F.array_min(pack).alias("first"), F.array_max(pack).alias("last"))
+
+
 SESSIONS = f"""
 WITH {SQL_EVENTS},
 g AS (SELECT *, coalesce(t - lag(t) OVER u > {6 * HOUR}, true) AS starts FROM e

@@ -31,6 +31,8 @@ from .. import (
     with_zipf,
     zip_join,
 )
+from ..plans.lookups import lookup_join
+from ..plans.ordering import with_index
 from ..plans.tables import table
 from .registry import HOUR, SQL_EVENTS, events, of_type, query, rounded, sql_ticks, ticks, us
 
@@ -270,16 +272,19 @@ def _(spark, d):
 
 
 @query("c12_poller", f"""
-WITH {sql_ticks(HOUR)}, n AS (SELECT p, (p - min(p) OVER ()) // {HOUR} % 2 AS page FROM polls)
-SELECT p AS t_us, url, html AS body FROM n JOIN pages ON page_id = page
+WITH {sql_ticks(HOUR)}, g AS (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS place, count(*) OVER () AS n FROM pages),
+t AS (SELECT p, (p - min(p) OVER ()) // {HOUR} AS tick FROM polls),
+u AS (SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url)
+SELECT p AS t_us, url, u.html AS body FROM t JOIN g ON place = tick % n JOIN u USING (url)
 """)
 def _(spark, d):
-    """Every tick asks for one of two URLs in turn."""
+    """Every tick asks for the URL of the next page, and begins again after the last."""
     pages = table(spark, d, "pages")
-    urls = {r.page_id: r.url for r in pages.where("page_id < 2").select("page_id", "url").collect()}
-    turn = F.when(F.col("tick") % 2 == 0, urls[0]).otherwise(urls[1])
-    asked = map_messages(ticks(spark, d, "1h"), {"asked": turn})
-    got = enrich_by_url(asked, "asked", pages, body="html")
+    n = pages.count()
+    places = with_index(pages.select("page_id", "url"), ["page_id"], "place").select("place", F.col("url").alias("asked"))
+    turns = map_messages(ticks(spark, d, "1h"), {"turn": F.col("tick") % max(n, 1)})
+    asked = lookup_join(turns, places, ["turn"], ["place"], "inner")
+    got = enrich_by_url(asked, "asked", pages, body="html", order="page_id")
     return got.select(us(), F.col("asked").alias("url"), path("response", "$.data").alias("body"))
 
 

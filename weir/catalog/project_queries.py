@@ -72,15 +72,19 @@ def _(spark, d):
 
 
 @query("label_text", """
-SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS whole, CASE WHEN o_custkey % 2 = 0 THEN 'true'
-       ELSE 'false' END AS flag FROM orders
+WITH l AS (SELECT *, o_custkey * 4000 AS large, rtrim(CAST(o_custkey * 4000 AS VARCHAR), '0') AS digits,
+  CAST(length(CAST(o_custkey * 4000 AS VARCHAR)) - 1 AS VARCHAR) AS exponent FROM orders)
+SELECT o_orderkey, CASE WHEN o_custkey < 1000000 THEN CAST(o_custkey AS VARCHAR) END AS whole,
+       CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
+       CASE WHEN large < 1000000 THEN CAST(large AS VARCHAR) ELSE substr(digits, 1, 1)
+            || CASE WHEN length(digits) > 1 THEN '.' || substr(digits, 2) ELSE '' END || 'e+' || lpad(exponent, 2, '0') END AS large
+FROM l
 """)
 def _(spark, d):
     o = table(spark, d, "orders").withColumn("even", F.col("o_custkey") % 2 == 0)
-    o = o.withColumn("half", F.col("o_custkey").cast("double"))
-    small = F.col("o_custkey") < 1_000_000
-    whole = F.when(small, label_text("half", "double")).otherwise(label_text("o_custkey", "bigint"))
-    return o.select("o_orderkey", whole.alias("whole"), label_text("even", "boolean").alias("flag"))
+    o = o.withColumn("half", F.col("o_custkey").cast("double")).withColumn("large", F.col("o_custkey") * 4000.0)
+    whole = F.when(F.col("o_custkey") < 1_000_000, label_text("half", "double"))
+    return o.select("o_orderkey", whole.alias("whole"), label_text("even", "boolean").alias("flag"), label_text("large", "double").alias("large"))
 
 
 @query("filter", "SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 50")

@@ -69,24 +69,45 @@ def label_text(col: str | Column, data_type: str) -> Column:
     c = as_col(col)
     if data_type == "variant":
         kind = F.schema_of_variant(c)
-        # worked out once for each row, as the text reads it many times
-        numbers = F.array(F.try_variant_get(c, "$", "double"))
-        number = F.element_at(F.transform(numbers, lambda x: label_text(x, "double")), 1)
+        number = label_text(F.try_variant_get(c, "$", "double"), "double")
         return F.when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(c, "$", "string")).when(
             kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
     if data_type in ("string", "boolean", "tinyint", "smallint", "int", "bigint"):
         return c.cast("string")
     if data_type not in ("float", "double"):
         return F.lit(None).cast("string")
+    return _let(c, lambda x: _let(_float_parts(x), lambda p: _let(_float_digits(x, p), _float_label)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once for each row however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _float_parts(c: Column) -> Column:
     # A float prints the digits of its own width, so the text is taken before widening.
     text = F.abs(c).cast("string")
     part = r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
-    whole, frac = F.regexp_extract(text, part, 1), F.regexp_extract(text, part, 2)
-    shift = F.coalesce(F.regexp_extract(text, part, 3).try_cast("int"), F.lit(0))
-    all_digits = F.concat(whole, frac)
+    return F.struct(
+        text.alias("text"), (text != c.cast("string")).alias("negative"), F.regexp_extract(text, part, 1).alias("whole"),
+        F.regexp_extract(text, part, 2).alias("frac"),
+        F.coalesce(F.regexp_extract(text, part, 3).try_cast("int"), F.lit(0)).alias("shift"),
+    )
+
+
+def _float_digits(c: Column, p: Column) -> Column:
+    all_digits = F.concat(p["whole"], p["frac"])
     lead = F.length(all_digits) - F.length(F.ltrim(all_digits, F.lit("0")))
-    digits = F.trim(all_digits, F.lit("0"))
-    point = F.length(whole) + shift - lead
+    return F.struct(
+        F.when(F.isnan(c), "NaN").when(p["text"] == "Infinity", F.when(p["negative"], "-Inf").otherwise("+Inf"))
+        .when(c == 0, F.when(p["negative"], "-0").otherwise("0")).alias("special"),
+        p["negative"].alias("negative"), F.trim(all_digits, F.lit("0")).alias("digits"),
+        (F.length(p["whole"]) + p["shift"] - lead).alias("point"), c.isNull().alias("none"),
+    )
+
+
+def _float_label(d: Column) -> Column:
+    digits, point = d["digits"], d["point"]
     exponent = point - 1
     tail = F.substr(digits, F.lit(2))
     scientific = F.concat(
@@ -109,14 +130,8 @@ def label_text(col: str | Column, data_type: str) -> Column:
         )
     )
     body = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
-    negative = text != c.cast("string")
-    return (
-        F.when(F.isnan(c), "NaN")
-        .when(text == "Infinity", F.when(negative, "-Inf").otherwise("+Inf"))
-        .when(c == 0, F.when(negative, "-0").otherwise("0"))
-        .when(negative, F.concat(F.lit("-"), body))
-        .otherwise(body)
-    )
+    signed = F.when(d["negative"], F.concat(F.lit("-"), body)).otherwise(body)
+    return F.when(~d["none"], F.coalesce(d["special"], signed))
 
 
 def array_literal(values: list, ddl: str) -> Column:

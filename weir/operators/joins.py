@@ -63,21 +63,23 @@ def is_member(
 
 
 def keep_members(
-    df: DataFrame, adds: DataFrame, key: str, ts: str | None = None, add_key: str | None = None
+    df: DataFrame, adds: DataFrame, key: str, ts: str | None = None, add_key: str | None = None,
+    add_ts: str | None = None,
 ) -> DataFrame:
     """The messages whose key is in the set (J3): as of the message's time when ``ts`` is given,
-    else in the set as a whole."""
+    else in the set as a whole. ``add_ts`` is the time column of the adds, if it has another name."""
     if ts is not None:
-        return is_member(df, adds, key, ts, add_key).where("isMember").drop("isMember")
+        return is_member(df, adds, key, ts, add_key, add_ts).where("isMember").drop("isMember")
     return lookup_join(df, _keys(adds, add_key or key), [key], ["_key"], "left_semi")
 
 
 def drop_members(
-    df: DataFrame, adds: DataFrame, key: str, ts: str | None = None, add_key: str | None = None
+    df: DataFrame, adds: DataFrame, key: str, ts: str | None = None, add_key: str | None = None,
+    add_ts: str | None = None,
 ) -> DataFrame:
     """The messages whose key is not in the set; see ``keep_members``."""
     if ts is not None:
-        return is_member(df, adds, key, ts, add_key).where("not isMember").drop("isMember")
+        return is_member(df, adds, key, ts, add_key, add_ts).where("not isMember").drop("isMember")
     return lookup_join(df, _keys(adds, add_key or key), [key], ["_key"], "left_anti")
 
 

@@ -10,6 +10,7 @@ from ..functions.duration import interval_micros, window_micros
 from ..functions.expressions import micros
 from ..plans.ordering import ordered
 from ..plans.streams import Stream, arrival, require_id
+from ..plans.tables import stored
 
 PACK_ROWS = 100_000
 
@@ -105,15 +106,23 @@ def interval_start(ts: str, interval: str, start: Column | None = None) -> Colum
 def pack_by_interval(
     df: DataFrame, interval: str = "1s", ts: str = "ts", id: str = "id",
     start: Column | None = None, ticks: DataFrame | None = None, pack_rows: int = PACK_ROWS,
-    rows_per_chunk: int | None = None,
+    rows_per_chunk: int | None = None, clears: DataFrame | None = None, flushes: DataFrame | None = None,
+    clear_ts: str = "ts", flush_ts: str = "ts",
 ) -> DataFrame:
     """Tumbling packs: ``start``, ``Part``, ``Pack``.
 
     ``ticks`` (a ``tick_grid`` with ``ts`` at the interval starts) adds a row with a null Pack for
     every interval without messages; intervals that are no tick keep their packs. An interval of more
     than ``pack_rows`` messages comes as several parts of so many.
+
+    ``clears`` drop what an interval has collected so far, ``flushes`` emit it, also when it is empty (``Pack`` is null then). Each
+    begins another ``segment`` of the interval, a further column, counted from 0; the last one is emitted at the interval's end.
+    At equal time a clear comes first, then a flush, then the message. ``start`` must be a constant then.
     """
     require_id(df, id)
+    if clears is not None or flushes is not None:
+        return _interval_segments(
+            df, interval, ts, id, start, ticks, pack_rows, rows_per_chunk, clears, flushes, clear_ts, flush_ts)
     rows = df.select(
         interval_start(ts, interval, start).alias("start"),
         micros(ts).alias("_us"), F.col(id).alias("_id"), F.struct("*").alias("_message"),
@@ -126,6 +135,36 @@ def pack_by_interval(
     )
 
 
+def _interval_segments(
+    df, interval, ts, id, start, ticks, pack_rows, rows_per_chunk, clears, flushes, clear_ts, flush_ts,
+) -> DataFrame:
+    """``start``, ``segment``, ``Part``, ``Pack``: intervals cut by clears and flushes."""
+    rows = df.select(
+        interval_start(ts, interval, start).alias("start"), micros(ts).alias("_us"), F.lit(2).alias("_rank"),
+        F.col(id).alias("_id"), F.struct("*").alias("_message"))
+    for rank, marks, at in ((0, clears, clear_ts), (1, flushes, flush_ts)):
+        if marks is not None:
+            rows = rows.unionByName(marks.select(
+                interval_start(at, interval, start).alias("start"), micros(at).alias("_us"), F.lit(rank).alias("_rank"),
+            ), allowMissingColumns=True)
+    is_mark = F.col("_rank") < 2
+    scan = ordered(rows.where(F.col("start").isNotNull()), ["_us", "_rank", "_id"], ["start"], rows_per_chunk).scan(
+        _marks=("sum", is_mark.cast("int"))).df
+    # a mark ends the segment before it
+    scan = stored(scan.select(
+        "start", (F.col("_marks") - is_mark.cast("int")).cast("bigint").alias("segment"), "_us", "_rank", "_id", "_message"), "segments")
+    by = ["start", "segment"]
+    packs = _packs(scan.where("_rank = 2").select(*by, "_us", "_id", "_message"), by, ["_us", "_id"], pack_rows, rows_per_chunk)
+    ends = scan.where("_rank < 2").select(*by, (F.col("_rank") == 1).alias("_sent"))
+    out = packs.join(ends, by, "full").where(F.coalesce("_sent", F.lit(True))).drop("_sent")
+    if ticks is not None:
+        marks = ends.groupBy("start").agg(F.count("*").alias("segment"))
+        last = ticks.select(F.col("ts").alias("start")).join(marks, "start", "left").select(
+            "start", F.coalesce("segment", F.lit(0)).cast("bigint").alias("segment"))
+        out = out.join(last, by, "full")
+    return out.select(*by, F.coalesce("Part", F.lit(0)).alias("Part"), "Pack")
+
+
 def sessions(
     df: DataFrame, key: str, gap: str, ts: str = "ts", id: str = "id",
     rows_per_chunk: int | None = None,
