@@ -76,6 +76,13 @@ def test_rolling_edges(spark):
                 assert counts[i] == len(live) and got[i].more == more
                 assert got[i].Average == (pytest.approx(sum(values) / len(values)) if values else None)
     assert weir.rolling_count(df.limit(0), "1s").count() == 0
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        there = df.withColumn("more", F.struct("ts"))
+        assert weir.rolling_count(there, "3s", rows_per_chunk=20).where("ts = more.ts AND Count > 0").count() == 300
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_learn_at(spark, chunk, many_polls):

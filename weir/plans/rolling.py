@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expressions import array_literal, micros, with_count_le
 from .ordering import CHUNK, MIN_ROWS_PER_CHUNK, ROWS_PER_CHUNK, SAMPLES_PER_CHUNK, _once, _sample
@@ -108,7 +109,7 @@ def rolling_sums(
         *[T.StructField(f.name, f.dataType, True) for f in df.schema],
         T.StructField("_n", T.LongType()), T.StructField("_total", T.DoubleType()),
     ])
-    names = df.columns
+    names, target = df.columns, to_arrow_schema(schema)
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("_us", "ascending")]))  # those without a time come last
@@ -118,7 +119,7 @@ def rolling_sums(
         rest = rows.num_rows - len(us)
         out = rows.select(names).append_column("_n", pa.array(np.append(n, np.zeros(rest, np.int64)), pa.int64()))
         out = out.append_column("_total", pa.chunked_array([pa.array(total, pa.float64()), pa.nulls(rest, pa.float64())]))
-        return out.filter(rows["_own"])
+        return out.filter(rows["_own"]).cast(target)  # times come in the session's zone and go out in UTC
 
     out = dealt.groupBy(CHUNK).applyInArrow(work, schema)
     if not hot:
