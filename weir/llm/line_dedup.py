@@ -9,10 +9,14 @@ each time, down to one character: lines that still share a key are linked, so a
 line of it. Links are then verified by banded bit-parallel edit distance on the leaves they first differed in.
 
 With ``edits`` over 1, lines of FAR characters or more are linked by one edit for each PER_EDIT characters of the shorter,
-``edits`` at most: two for 40 characters, four from 80 on. A line is cut into one segment more than edits, one of which is free
-of them, and is indexed under each; lines as long or up to as many characters longer look up their substrings of a segment's length
-at the places to which the edits left and right of it can shift it. The lines of a key are first compared with one of them;
-keys whose lines are then not all connected are compared in blocks, by Spark's banded edit distance.
+``edits`` at most: two for 40 characters, four from 80 on. Lines fall into classes of length. All lines of a class have one segment
+more than edits, of the same size: the first half counted from the line's start, the others from its end, so that places don't
+depend on the length within the class. A line is indexed under each of its segments, and looks up the substrings next to them in its
+class, and in the class below if a line as many characters shorter as it may be lies there. Of linked lines, one segment j (from 0)
+of the shorter is free of edits with j edits to its left and at most allowed - j to its right (edits to the left less j start at 0,
+end below 0 and only sink by 1, over a free segment), so shifts go up to j from the start and up to allowed - j from the end: 13 keys
+for four edits, whatever the lengths. The lines of a key are first compared with one of them; keys whose lines are then not all
+connected are compared in blocks, by Spark's banded edit distance. Key tables hold hashes only; texts are read for lines of shared keys.
 
 Of each class of linked lines the first line (least doc_id, then place) stays, the others are removed from their
 texts. Only SQL functions are used. A hot line or key is summed before it is shuffled, and otherwise only joined.
@@ -29,6 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lookups import lookup_join
 from .common import let, pick, small_side, stored
 from .graph import components
 
@@ -135,62 +140,65 @@ def within_one(a: Column, b: Column) -> Column:
     return let(F.struct(letters(a).alias("x"), letters(b).alias("y")), run)
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """Array of key, indexed (or else probing) and the edits allowed, for segments of lines of FAR characters or more."""
-    def places(allowed: int, more: int) -> Column:
-        """Segment and shift, in one number, of probes for lines shorter by ``more``."""
-        found = [
-            j * 64 + shift + 32 for j in range(allowed + 1)
-            for shift in range(max(-j, more - allowed + j), min(j, more + allowed - j) + 1)
-        ] if allowed >= max(2, more) else []
-        return F.array(*[F.lit(x) for x in found]).cast("array<int>")
+def length_class(n: Column, edits: int) -> Column:
+    """Least length of the class of lines of ``n`` characters (FAR or more): multiples of PER_EDIT as long as another edit is allowed
+    for them, then steps of a sixteenth of the power of two below, 16 at least."""
+    most = edits * PER_EDIT
+    step = F.greatest(F.lit(16), F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 5))
+    return F.when(n < most, n - n % PER_EDIT).otherwise(F.greatest(F.lit(most), n - n % step)).cast("int")
 
-    tables = [F.array(*[places(allowed, more) for allowed in range(1, edits + 1)]) for more in range(edits + 1)]
 
-    def keys(n: Column) -> Column:
-        def of(more: int) -> Column:
-            size = n - more
-            allowed = F.least(F.lit(edits), F.floor(size / PER_EDIT).cast("int"))
-
-            def one(x: Column) -> Column:
-                j, shift = F.floor(x / 64).cast("int"), x % 64 - 32
-                start, end = F.floor(j * size / (allowed + 1)).cast("int"), F.floor((j + 1) * size / (allowed + 1)).cast("int")
-                key = F.xxhash64(size, j, F.substr(line, start + shift + 1, end - start))
-                return F.struct(
-                    F.when((start + shift >= 0) & (end + shift <= n), key).alias("key"),
-                    (shift == 0 if more == 0 else F.lit(False)).alias("indexed"), allowed.alias("allowed"))
-
-            none = F.array().cast("array<struct<key:bigint,indexed:boolean,allowed:int>>")
-            return F.when(size >= FAR, F.transform(F.element_at(tables[more], allowed), one)).otherwise(none)
+def probes(allowed: int) -> list[int]:
+    """Segment and shift, in one number, of all keys of a line."""
+    reach = [min(j, allowed - j) for j in range(allowed + 1)]
+    return [j * 64 + shift + 32 for j in range(allowed + 1) for shift in range(-reach[j], reach[j] + 1)]
 
-        return F.concat(*[of(more) for more in range(edits + 1)])
 
-    return let(F.char_length(line), keys)
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key, h, indexed (or else probing) and the edits allowed, for segments of lines (h, line) of FAR characters or more."""
+    n, low, allowed = F.col("n"), F.col("low"), F.col("allowed")
+    own, below = length_class(n, edits), length_class(F.greatest(F.lit(FAR), n - edits), edits)
+    classes = F.when(own == below, F.array(own)).otherwise(F.array(own, below))
+    rows = lines.withColumn("n", F.char_length("line")).select("h", "line", "n", F.posexplode(classes).alias("other", "low"))
+    rows = rows.withColumn("allowed", F.least(F.lit(edits), F.floor(low / PER_EDIT)).cast("int"))
+    table = F.array(*[F.array(*[F.lit(x) for x in (probes(e) if e * PER_EDIT >= FAR else [])]).cast("array<int>") for e in range(1, edits + 1)])
+    rows = rows.select("h", "line", "n", "other", "low", "allowed", F.explode(F.element_at(table, allowed)).alias("x"))
+    j, shift, size = F.shiftright("x", 6), F.col("x").bitwiseAND(63) - 32, F.floor(low / (allowed + 1)).cast("int")
+    start = F.when(j * 2 <= allowed, j * size).otherwise(n - (allowed - j + 1) * size) + shift
+    return rows.select(
+        F.xxhash64(low, j, F.substr("line", start + 1, size)).alias("key"), "h",
+        ((shift == 0) & (F.col("other") == 0)).alias("indexed"), "allowed")
 
 
 def far_links(docs: DataFrame, edits: int) -> DataFrame:
     """a, b: hashes of lines of FAR characters or more (the longer of a link may have more), enough links to connect all that links connect."""
     lines = lines_of(docs).where(F.char_length("line") >= FAR).select("h", "line")
-    every = lines.select("h", F.inline(segment_keys(F.col("line"), edits))).where("key is not null")
-    keys = stored(every.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("indexed").alias("indexed")).where(
-        "low < high and indexed").select("key"), "line-segments")
-    found = lines.select("h", "line", F.inline(segment_keys(F.col("line"), edits))).where("key is not null")
-    members = stored(found.join(small_side(keys, 16), "key").groupBy("key", "h", "allowed", "line").agg(F.max("indexed").alias("indexed")), "line-members")
+    every = segment_keys(lines, edits)
+    keys = stored(every.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("indexed")).where(
+        "least < most and indexed").select("key"), "line-segments")
+    members = stored(every.join(small_side(keys, 16), "key").groupBy("key", "h", "allowed").agg(F.max("indexed").alias("indexed")), "line-members")
+    wanted = members.select("h").distinct()
+    texts = stored(lines.join(small_side(wanted, 16), "h").groupBy("h").agg(F.any_value("line").alias("line")), "line-texts")
 
     def close(x: Column, y: Column, allowed: Column) -> Column:
         return F.levenshtein(x, y, edits).between(0, allowed)
 
-    pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a")).join(
-        members.select("key", F.col("h").alias("a"), F.col("line").alias("line_a")), ["key", "a"])
-    direct = stored(members.join(pivots, "key").where("a <> h").where(close(F.col("line_a"), F.col("line"), F.col("allowed"))).select(
-        "a", F.col("h").alias("b")).distinct(), "line-direct")
+    pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a"))
+    tried = lookup_join(members, pivots.toDF("pivot_key", "a"), ["key"], ["pivot_key"], "inner").where("a <> h").groupBy("a", "h").agg(
+        F.max("allowed").alias("allowed"))
+    tried = lookup_join(tried, texts.toDF("a_h", "line_a"), ["a"], ["a_h"], "inner").select("a", "line_a", F.col("h").alias("b"), "allowed")
+    tried = lookup_join(tried, texts.toDF("b_h", "line_b"), ["b"], ["b_h"], "inner")
+    direct = stored(tried.where(close(F.col("line_a"), F.col("line_b"), F.col("allowed"))).select("a", "b"), "line-direct")
     joined = components(direct).toDF("h", "component")
     known = stored(members.join(small_side(joined, 24), "h", "left").withColumn("component", F.coalesce("component", "h")), "line-known")
-    parted = known.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max(F.char_length("line")).alias("size")).where("low < high")
+    parted = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+    open_keys = lookup_join(known, parted.select(F.col("key").alias("open"), "n"), ["key"], ["open"], "inner")
+    open_keys = lookup_join(open_keys, texts.toDF("h_open", "line"), ["h"], ["h_open"], "inner").select("key", "h", "component", "indexed", "allowed", "line", "n")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_LINES), F.floor(BLOCK_CHARS / F.col("size"))))
-    counts = parted.select("key", F.ceil(F.col("n") / room).alias("blocks"))
-    blocks = stored(known.join(counts, "key").groupBy("key", "allowed", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
+    spread = stored(open_keys, "line-open")
+    counts = spread.groupBy("key").agg(F.first("n").alias("n"), F.max(F.char_length("line")).alias("size")).select(
+        F.col("key").alias("many"), F.ceil(F.col("n") / room).alias("blocks"))
+    blocks = stored(lookup_join(spread, counts, ["key"], ["many"], "inner").groupBy("key", "allowed", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
         F.collect_list(F.struct("h", "component", "indexed", "line")).alias("some")), "line-blocks")
     both = blocks.join(blocks.select("key", F.col("block").alias("block_b"), F.col("some").alias("others")), "key").where("block <= block_b")
 
