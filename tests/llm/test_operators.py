@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weir.llm import jaccard_join
@@ -18,7 +19,7 @@ from weir.llm.decontaminate import clean_documents, contamination
 from weir.llm.ended import EndedBpe
 from weir.llm.jaccard_join import near_components, one_of_each
 from weir.llm.licenses import license_scan
-from weir.llm.line_dedup import line_dedup, within_one, without_repeats
+from weir.llm.line_dedup import line_dedup, within_one, without_repeats, word_marks
 from weir.llm.personal import luhn, mod_97, personal_data
 from weir.llm.quality import good_documents, quality
 from weir.llm.sharding import best_fit, fit_shards, shard_documents
@@ -384,6 +385,17 @@ def test_line_dedup_with_more_edits(spark, monkeypatch):
     assert sum(r.n_removed for r in line_dedup(df).collect()) < sum(want.values())
 
 
+def test_word_marks(spark):
+    rng, rows = random.Random(3), []
+    for _ in range(400):
+        s = "".join(rng.choice("ab  é") for _ in range(rng.randrange(30)))
+        p = rng.randrange(len(s) + 1)
+        rows.append((s, rng.choice([s[:p] + x + s[p + d :] for d in (0, 1) for x in ("", " ", "c")])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    apart = df.select(F.bit_count(word_marks(df.a).bitwiseXOR(word_marks(df.b))).alias("n")).collect()
+    assert max(r.n for r in apart) == 3
+
+
 def test_bit_parallel_distance(spark):
     words = ["", "a", "b", "ab", "ba", "abc", "acb", "abcd", "bcd", "éa", "aé", "aaaa", "aaa", "xabc"]
     pairs = [(a, b) for a in words for b in words]

@@ -16,7 +16,7 @@ class, and in the class below if a line as many characters shorter as it may be
 of the shorter is free of edits with j edits to its left and at most allowed - j to its right (edits to the left less j start at 0,
 end below 0 and only sink by 1, over a free segment), so shifts go up to j from the start and up to allowed - j from the end: 13 keys
 for four edits, whatever the lengths. The lines of a key are first compared with one of them; keys whose lines are then not all
-connected are compared in blocks, by Spark's banded edit distance. Key tables hold hashes only; texts are read for lines of shared keys.
+connected are compared in blocks, by parities of their words, which rule out most other lines, then Spark's banded edit distance. Key tables hold hashes only; texts are read for lines of shared keys.
 
 Of each class of linked lines the first line (least doc_id, then place) stays, the others are removed from their
 texts. Only SQL functions are used. A hot line or key is summed before it is shuffled, and otherwise only joined.
@@ -170,6 +170,14 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
         ((shift == 0) & (F.col("other") == 0)).alias("indexed"), "allowed")
 
 
+def word_marks(line: Column) -> Column:
+    """64 parities of the line's words, by hash. An edit changes a word, cuts one in two or joins two: at most three parities."""
+    def turn(acc: Column, word: Column) -> Column:
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(word).bitwiseAND(63).cast("int")))
+
+    return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), turn)
+
+
 def far_links(docs: DataFrame, edits: int) -> DataFrame:
     """a, b: hashes of lines of FAR characters or more (the longer of a link may have more), enough links to connect all that links connect."""
     lines = lines_of(docs).where(F.char_length("line") >= FAR).select("h", "line")
@@ -178,34 +186,36 @@ def far_links(docs: DataFrame, edits: int) -> DataFrame:
         "least < most and indexed").select("key"), "line-segments")
     members = stored(every.join(small_side(keys, 16), "key").groupBy("key", "h", "allowed").agg(F.max("indexed").alias("indexed")), "line-members")
     wanted = members.select("h").distinct()
-    texts = stored(lines.join(small_side(wanted, 16), "h").groupBy("h").agg(F.any_value("line").alias("line")), "line-texts")
+    texts = stored(lines.join(small_side(wanted, 16), "h").groupBy("h").agg(F.any_value("line").alias("line")).select(
+        "h", F.struct("line", word_marks(F.col("line")).alias("marks")).alias("text")), "line-texts")
 
     def close(x: Column, y: Column, allowed: Column) -> Column:
-        return F.levenshtein(x, y, edits).between(0, allowed)
+        alike = F.bit_count(x["marks"].bitwiseXOR(y["marks"])) <= 3 * allowed
+        return alike & F.levenshtein(x["line"], y["line"], edits).between(0, allowed)
 
     pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a"))
     tried = lookup_join(members, pivots.toDF("pivot_key", "a"), ["key"], ["pivot_key"], "inner").where("a <> h").groupBy("a", "h").agg(
         F.max("allowed").alias("allowed"))
-    tried = lookup_join(tried, texts.toDF("a_h", "line_a"), ["a"], ["a_h"], "inner").select("a", "line_a", F.col("h").alias("b"), "allowed")
-    tried = lookup_join(tried, texts.toDF("b_h", "line_b"), ["b"], ["b_h"], "inner")
-    direct = stored(tried.where(close(F.col("line_a"), F.col("line_b"), F.col("allowed"))).select("a", "b"), "line-direct")
+    tried = lookup_join(tried, texts.toDF("a_h", "text_a"), ["a"], ["a_h"], "inner").select("a", "text_a", F.col("h").alias("b"), "allowed")
+    tried = lookup_join(tried, texts.toDF("b_h", "text_b"), ["b"], ["b_h"], "inner")
+    direct = stored(tried.where(close(F.col("text_a"), F.col("text_b"), F.col("allowed"))).select("a", "b"), "line-direct")
     joined = components(direct).toDF("h", "component")
     known = stored(members.join(small_side(joined, 24), "h", "left").withColumn("component", F.coalesce("component", "h")), "line-known")
     parted = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
     open_keys = lookup_join(known, parted.select(F.col("key").alias("open"), "n"), ["key"], ["open"], "inner")
-    open_keys = lookup_join(open_keys, texts.toDF("h_open", "line"), ["h"], ["h_open"], "inner").select("key", "h", "component", "indexed", "allowed", "line", "n")
+    open_keys = lookup_join(open_keys, texts.toDF("h_open", "text"), ["h"], ["h_open"], "inner").select("key", "h", "component", "indexed", "allowed", "text", "n")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_LINES), F.floor(BLOCK_CHARS / F.col("size"))))
     spread = stored(open_keys, "line-open")
-    counts = spread.groupBy("key").agg(F.first("n").alias("n"), F.max(F.char_length("line")).alias("size")).select(
+    counts = spread.groupBy("key").agg(F.first("n").alias("n"), F.max(F.char_length("text.line")).alias("size")).select(
         F.col("key").alias("many"), F.ceil(F.col("n") / room).alias("blocks"))
     blocks = stored(lookup_join(spread, counts, ["key"], ["many"], "inner").groupBy("key", "allowed", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
-        F.collect_list(F.struct("h", "component", "indexed", "line")).alias("some")), "line-blocks")
+        F.collect_list(F.struct("h", "component", "indexed", "text")).alias("some")), "line-blocks")
     both = blocks.join(blocks.select("key", F.col("block").alias("block_b"), F.col("some").alias("others")), "key").where("block <= block_b")
 
     def paired(x: Column) -> Column:
         def fits(y: Column) -> Column:
             new = (x["component"] != y["component"]) & (x["indexed"] | y["indexed"]) & ((F.col("block") < F.col("block_b")) | (x["h"] < y["h"]))
-            return F.when(new, close(x["line"], y["line"], F.col("allowed"))).otherwise(False)
+            return F.when(new, close(x["text"], y["text"], F.col("allowed"))).otherwise(False)
 
         return F.transform(F.filter("others", fits), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))
 
