@@ -191,7 +191,8 @@ def far_links(docs: DataFrame, edits: int) -> DataFrame:
 
     def close(x: Column, y: Column, allowed: Column) -> Column:
         alike = F.bit_count(x["marks"].bitwiseXOR(y["marks"])) <= 3 * allowed
-        return alike & F.levenshtein(x["line"], y["line"], edits).between(0, allowed)
+        far = edits + 1  # the distance is -1 where it exceeds edits; worked out once for each pair
+        return alike & (F.pmod(F.levenshtein(x["line"], y["line"], edits), F.lit(far + 1)) <= allowed)
 
     pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a"))
     tried = lookup_join(members, pivots.toDF("pivot_key", "a"), ["key"], ["pivot_key"], "inner").where("a <> h").groupBy("a", "h").agg(
