@@ -33,3 +33,14 @@ def test_names_agree():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["c8_quake_maps", "enrich_by_url", "enrich_by_url_envelope"])
+def test_pages_of_one_url(spark, tmp_path, name):
+    """Several pages may have one URL and different text."""
+    for t in compare.TABLES:
+        if t != "pages":
+            os.symlink(f"{TABLES}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con = compare.connect(TABLES)
+    con.execute(f"COPY (SELECT * REPLACE ('http://a/' || page_id // 2 AS url) FROM pages) TO '{tmp_path}/pages.parquet'")
+    assert compare.difference(entry.queries()[name](spark, str(tmp_path)), compare.connect(tmp_path), entry.oracle_sql()[name]) is None

@@ -200,9 +200,12 @@ SELECT event_id, page_id AS shake, 'p' || page_id AS id FROM events JOIN pages O
 WHERE event_type <> 'error' AND page_id % 3 <> 0
 """)
 def _(spark, d):
-    """Follow a detail URL where there is one, and map a bracketed path where it exists."""
-    pages = table(spark, d, "pages").select("page_id", "url")
+    """Follow a detail URL where there is one, and map a bracketed path where it exists.
+
+    A detail URL names its page: the table has some URLs several times.
+    """
     text = F.col("page_id").cast("string")
+    pages = table(spark, d, "pages").select("page_id", F.concat("url", F.lit("&page="), text).alias("url"))
     product = F.when(F.col("page_id") % 3 == 0, '{"other":1}').otherwise(
         F.concat(F.lit('{"shake/map.jpg":[0,'), text, F.lit("]}")))
     details = pages.select("url", F.concat(
