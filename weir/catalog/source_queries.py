@@ -182,8 +182,14 @@ def _(spark, d):
     return bang(events(spark, d), F.max("ts")).select(us(), "Bang")
 
 
+def _captured(spark, d):
+    """The pages under URLs that name the page: the table has some URLs several times, with other text."""
+    pages = table(spark, d, "pages")
+    return pages.withColumn("url", F.concat("url", F.lit("&page="), F.col("page_id").cast("string")))
+
+
 def _requests(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url")
+    pages = _captured(spark, d).select("page_id", "url")
     found = events(spark, d).join(pages, F.col("user_id") == F.col("page_id"))
     lost = F.concat(F.lit("http://none/"), F.col("event_id").cast("string"))
     url = F.when(F.col("event_type") == "error", lost).otherwise(F.col("url"))
@@ -195,7 +201,7 @@ SELECT event_id, CAST(length(html) AS BIGINT) AS size, html AS data
 FROM events JOIN pages ON user_id = page_id WHERE event_type <> 'error'
 """)
 def _(spark, d):
-    out = enrich_by_url(_requests(spark, d), "asked", table(spark, d, "pages"), body="html")
+    out = enrich_by_url(_requests(spark, d), "asked", _captured(spark, d), body="html")
     data = path("response", "$.data")
     return out.select("event_id", F.length(data).cast("bigint").alias("size"), data.alias("data"))
 
@@ -205,6 +211,6 @@ SELECT event_id, html AS body, '200 OK' AS status
 FROM events JOIN pages ON user_id = page_id WHERE event_type <> 'error'
 """)
 def _(spark, d):
-    captured = table(spark, d, "pages").withColumn("status", F.lit("200 OK"))
+    captured = _captured(spark, d).withColumn("status", F.lit("200 OK"))
     out = enrich_by_url(_requests(spark, d), "asked", captured, "envelope", body="html")
     return out.select("event_id", path("response.body", "$").alias("body"), "response.status")
