@@ -48,6 +48,10 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(["ts", "rank", "id"], kind="stable")
 
 
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("int64") // (1000 if ts.dtype == "datetime64[ns]" else 1)
+
+
 class _KeyState(StatefulProcessor):
     """Common shape: subclasses turn one key's ordered rows into output rows."""
 
@@ -252,35 +256,44 @@ def cache_lookup_stream(
 
 
 class _Sync(_KeyState):
+    """One timer a key and micro-batch, for the earliest release: it sends all that the watermark has passed."""
+
     columns = ["release", "late", "id", "message"]
 
     def open(self, handle):
-        self.held = handle.getMapState("held", "due_ms bigint, own bigint, id bigint",
-                                       "due bigint, message string")
+        self.held = handle.getListState("held", "due bigint, own bigint, id bigint, message string")
+
+    def wait(self, held: list[tuple]) -> None:
+        if held:
+            self.handle.registerTimer(-(-min(r[0] for r in held) // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        out, timers = [], set()
-        for r in _in_order(rows).itertuples():
-            arrival = r.ts.value // 1000
-            if r.due < arrival:
-                out.append((key[0], r.ts, True, r.id, r.message))
-                continue
-            due_ms = -(-r.due // 1000)
-            self.held.updateValue((due_ms, r.own, r.id), (r.due, r.message))
-            timers.add(due_ms)
-        for due_ms in timers:
-            self.handle.registerTimer(due_ms)
-        yield pd.DataFrame(out, columns=["key", *self.columns])
+        ordered = _in_order(rows)
+        late = ordered["due"] < _micros(ordered["ts"])
+        on_time, behind = ordered[~late], ordered[late]
+        held = list(zip(*[on_time[c].tolist() for c in ("due", "own", "id", "message")]))
+        if held:
+            self.held.appendList(held)
+        self.wait(held)
+        yield pd.DataFrame({
+            "key": key[0], "release": behind["ts"], "late": True, "id": behind["id"], "message": behind["message"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted(k for k in self.held.keys() if k[0] <= expired)
-        out = []
-        for k in ready:
-            due, message = self.held.getValue(k)
-            out.append((key[0], pd.Timestamp(due, unit="us"), False, k[2], message))
-            self.held.removeKey(k)
-        yield pd.DataFrame(out, columns=["key", *self.columns])
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        ready, later = [], []
+        for r in self.held.get():
+            (ready if r[0] <= passed else later).append(tuple(r))
+        if not ready:
+            return
+        if later:
+            self.held.put(later)
+        else:
+            self.held.clear()
+        self.wait(later)
+        ready.sort(key=lambda r: r[:3])
+        due, _, ids, messages = zip(*ready)
+        yield pd.DataFrame({
+            "key": key[0], "release": pd.to_datetime(list(due), unit="us"), "late": False, "id": ids, "message": messages})
 
 
 def sync_stream(
