@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.duration import interval_micros, window_micros
 from ..functions.expressions import as_col, label_text, micros
-from .stateful import DELAY, _KeyState, _run
+from .stateful import DELAY, _KeyState, _micros, _run
 
 
 def _live(df: DataFrame, window: str, every: str, ts: str, by: list[str], sums: dict[str, Column], delay: str, before: bool) -> DataFrame:
@@ -84,25 +84,43 @@ class _Recent(_KeyState):
 
     def open(self, handle):
         self.kept = handle.getListState("kept", "us bigint, id bigint, value double")
+        self.done = handle.getValueState("done", "poll bigint")
+
+    def poll(self, us: int) -> int:
+        return -(-us // self.step) * self.step
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        polls = set()
+        first = None
         for batch in rows:
-            us = batch["ts"].astype("int64") // (1000 if batch["ts"].dtype == "datetime64[ns]" else 1)
-            self.kept.appendList([(int(u), int(i), float(v)) for u, i, v in zip(us, batch["id"], batch["value"])])
-            polls |= set((-(-us // self.step) * self.step).tolist())
-        for p in polls:
-            self.handle.registerTimer(-(-p // 1000))
+            us = _micros(batch["ts"]).tolist()
+            self.kept.appendList(list(zip(us, batch["id"].tolist(), batch["value"].tolist())))
+            first = min(us) if first is None else min(first, min(us))
+        # One timer for the earliest poll reads all polls that the watermark has passed.
+        self.handle.registerTimer(self.poll(first) // 1000)
         yield pd.DataFrame([], columns=["key", *self.columns])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        poll = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.step * self.step
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        done = self.done.get()
         rows = sorted(tuple(r) for r in self.kept.get())
-        seen, later = [r for r in rows if r[0] <= poll], [r for r in rows if r[0] > poll]
-        last = seen[-self.n:]
-        self.kept.put(last + later)
-        series = json.dumps([{"timestamp": float(u // 1000), "value": v} for u, _, v in last])
-        yield pd.DataFrame([(key[0], pd.Timestamp(poll, unit="us"), series)], columns=["key", *self.columns])
+        # Of the rows at or before the last poll read only the last n are kept; they ask for no poll.
+        waiting = sorted({self.poll(r[0]) for r in rows if done is None or r[0] > done[0]})
+        polls = [p for p in waiting if p <= passed]
+        if not polls:
+            return
+        out, seen = [], 0
+        for p in polls:
+            while seen < len(rows) and rows[seen][0] <= p:
+                seen += 1
+            last = rows[max(seen - self.n, 0):seen]
+            series = json.dumps([{"timestamp": float(u // 1000), "value": v} for u, _, v in last])
+            out.append((key[0], p, series))
+        self.kept.put(rows[max(seen - self.n, 0):])
+        self.done.update((polls[-1],))
+        if len(waiting) > len(polls):
+            self.handle.registerTimer(waiting[len(polls)] // 1000)
+        made = pd.DataFrame(out, columns=["key", *self.columns])
+        yield made.assign(poll=pd.to_datetime(made["poll"], unit="us"))
 
 
 def timeseries_stream(
