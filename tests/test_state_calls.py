@@ -55,6 +55,9 @@ class Cell:
     def appendList(self, values):
         self.update([*self.value, *values])
 
+    def appendValue(self, value):
+        self.appendList([value])
+
     def clear(self):
         self.update(self.empty)
 
@@ -128,7 +131,7 @@ def test_timeseries_reads_all_polls_at_one_timer():
     out, fired = expire(recent, 200_000)
     assert len(out) == 201 and fired == 1 and state.calls < 10
     out, _ = expire(recent, 400_000)
-    assert len(out) == n - 201 and len(recent.kept.value) == 2
+    assert len(out) == n - 201 and len(recent.kept.get()) == 2
     late = pd.DataFrame({"ts": at([500]), "id": [n], "value": 1.0})
     rows(recent.handleInputRows(("k",), iter([late]), None))
     out, _ = expire(recent, 600_000)
@@ -170,3 +173,29 @@ def test_shards_keep_texts_out_of_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50_000_000  # of 100 million bytes of texts
+
+
+def test_zip_keeps_what_waits_in_blocks():
+    pairs, state = started(stateful._Zip())
+    side = lambda n, rank, first: pd.DataFrame(
+        {"ts": at(range(first, first + n)), "rank": rank, "id": range(n), "message": [f"{rank}-{i}" for i in range(n)]})
+    assert rows(pairs.handleInputRows(("k",), iter([side(700, 0, 0)]), None)) == []
+    assert state.calls < 10
+    out = rows(pairs.handleInputRows(("k",), iter([side(600, 1, 700)]), None))
+    assert [r[1:] for r in out] == [(i, f"0-{i}", f"1-{i}") for i in range(600)]
+    assert len(pairs.waiting.value) == 1 and state.calls < 20
+    out = rows(pairs.handleInputRows(("k",), iter([side(200, 1, 1300)]), None))
+    assert [r[1:] for r in out] == [(i, f"0-{i}", f"1-{i - 600}") for i in range(600, 700)]
+    assert sum(len(v[0]) > 2 for v in pairs.waiting.value.values()) == 2  # 100 wait on the other side
+
+
+def test_a_session_takes_few_calls():
+    packs, state = started(controls._SessionPack(10_000_000, 3))
+    for first in range(0, 50, 5):
+        frame = pd.DataFrame({"ts": at(range(first, first + 5)), "rank": 0, "id": range(5), "message": "m"})
+        rows(packs.handleInputRows(("k",), iter([frame]), None))
+    assert len(state.timers) == 1 and state.calls <= 21
+    out, _ = expire(packs, 30_000)
+    assert out == [] and state.timers == {59_001}
+    out, _ = expire(packs, 59_001)
+    assert [len(r[3]) for r in out] == [2] and packs.at.value is None

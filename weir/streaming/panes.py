@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.duration import interval_micros, window_micros
 from ..functions.expressions import as_col, label_text, micros
-from .stateful import DELAY, _KeyState, _micros, _run
+from .stateful import DELAY, _Blocks, _KeyState, _micros, _run
 
 
 def _live(df: DataFrame, window: str, every: str, ts: str, by: list[str], sums: dict[str, Column], delay: str, before: bool) -> DataFrame:
@@ -83,7 +83,7 @@ class _Recent(_KeyState):
         self.n, self.step = n, step
 
     def open(self, handle):
-        self.kept = handle.getListState("kept", "us bigint, id bigint, value double")
+        self.kept = _Blocks(handle, "kept")  # microseconds, id, value
         self.done = handle.getValueState("done", "poll bigint")
 
     def poll(self, us: int) -> int:
@@ -93,16 +93,16 @@ class _Recent(_KeyState):
         first = None
         for batch in rows:
             us = _micros(batch["ts"]).tolist()
-            self.kept.appendList(list(zip(us, batch["id"].tolist(), batch["value"].tolist())))
+            self.kept.add(list(zip(us, batch["id"].tolist(), batch["value"].tolist())))
             first = min(us) if first is None else min(first, min(us))
         # One timer for the earliest poll reads all polls that the watermark has passed.
         self.handle.registerTimer(self.poll(first) // 1000)
-        yield pd.DataFrame([], columns=["key", *self.columns])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         done = self.done.get()
-        rows = sorted(tuple(r) for r in self.kept.get())
+        rows = sorted(self.kept.get())
         # Of the rows at or before the last poll read only the last n are kept; they ask for no poll.
         waiting = sorted({self.poll(r[0]) for r in rows if done is None or r[0] > done[0]})
         polls = [p for p in waiting if p <= passed]

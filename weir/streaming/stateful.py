@@ -8,6 +8,7 @@ text in the column ``message``, so any schema will do.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,6 +27,10 @@ DELAY = "1 millisecond"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Waiting messages of a key that share one value of the state.
+BLOCK = 256
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -78,6 +83,26 @@ class _KeyState(StatefulProcessor):
         pass
 
 
+class _Blocks:
+    """Rows of a key in the state, as one JSON text for each micro-batch: a call and a value for many rows."""
+
+    def __init__(self, handle, name: str):
+        self.state = handle.getListState(name, "block string")
+
+    def add(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.appendValue((json.dumps(rows),))
+
+    def get(self) -> list[tuple]:
+        return [tuple(r) for block in self.state.get() for r in json.loads(block[0])]
+
+    def put(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.put([(json.dumps(rows),)])
+        else:
+            self.state.clear()
+
+
 def _get(state, default):
     value = state.get()
     return default if value is None else value
@@ -175,24 +200,34 @@ class _Zip(_KeyState):
 
     def open(self, handle):
         self.seen = handle.getValueState("seen", "a bigint, b bigint")
-        self.waiting = handle.getMapState("waiting", "idx bigint", "message string")
+        self.waiting = handle.getMapState("waiting", "block bigint", "messages string")
 
     def step(self, rows):
         seen, out = list(_get(self.seen, (0, 0))), []
-        fresh: dict[int, str] = {}
-        for side, message in zip(rows["rank"], rows["message"]):
+        blocks: dict[int, dict[str, str]] = {}  # of BLOCK indexes each, as the state holds them
+        stored = set()
+
+        def block(idx: int) -> dict[str, str]:
+            at = idx // BLOCK
+            if at not in blocks:
+                had = self.waiting.getValue((at,))
+                blocks[at] = {} if had is None else json.loads(had[0])
+                stored.update([at] if had is not None else [])
+            return blocks[at]
+
+        for side, message in zip(rows["rank"].tolist(), rows["message"].tolist()):
             idx = seen[side]
             seen[side] += 1
             if seen[1 - side] <= idx:
-                fresh[idx] = message
+                block(idx)[str(idx)] = message
                 continue
-            other = fresh.pop(idx, None)
-            if other is None:
-                other = self.waiting.getValue((idx,))[0]
-                self.waiting.removeKey((idx,))
+            other = block(idx).pop(str(idx))
             out.append((idx, message, other) if side == 0 else (idx, other, message))
-        for idx, message in fresh.items():
-            self.waiting.updateValue((idx,), (message,))
+        for at, messages in blocks.items():
+            if messages:
+                self.waiting.updateValue((at,), (json.dumps(messages),))
+            elif at in stored:
+                self.waiting.removeKey((at,))
         self.seen.update(tuple(seen))
         return out
 
@@ -261,7 +296,7 @@ class _Sync(_KeyState):
     columns = ["release", "late", "id", "message"]
 
     def open(self, handle):
-        self.held = handle.getListState("held", "due bigint, own bigint, id bigint, message string")
+        self.held = _Blocks(handle, "held")  # due, own time, id, message
 
     def wait(self, held: list[tuple]) -> None:
         if held:
@@ -272,23 +307,20 @@ class _Sync(_KeyState):
         late = ordered["due"] < _micros(ordered["ts"])
         on_time, behind = ordered[~late], ordered[late]
         held = list(zip(*[on_time[c].tolist() for c in ("due", "own", "id", "message")]))
-        if held:
-            self.held.appendList(held)
+        self.held.add(held)
         self.wait(held)
-        yield pd.DataFrame({
-            "key": key[0], "release": behind["ts"], "late": True, "id": behind["id"], "message": behind["message"]})
+        if len(behind):
+            yield pd.DataFrame({
+                "key": key[0], "release": behind["ts"], "late": True, "id": behind["id"], "message": behind["message"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         ready, later = [], []
         for r in self.held.get():
-            (ready if r[0] <= passed else later).append(tuple(r))
+            (ready if r[0] <= passed else later).append(r)
         if not ready:
             return
-        if later:
-            self.held.put(later)
-        else:
-            self.held.clear()
+        self.held.put(later)
         self.wait(later)
         ready.sort(key=lambda r: r[:3])
         due, _, ids, messages = zip(*ready)
