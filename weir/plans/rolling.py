@@ -28,6 +28,8 @@ from .trailing import trailing_sums
 #: More copies of a row than this on average, and the caller's other plan is the better one.
 MOST_COPIES = 1.0
 MOST_CHUNKS = 20_000
+#: A task holds a chunk and its halo in Python, so chunks are cut smaller than those of Spark's own windows.
+FRAME_ROWS = 250_000
 
 
 def running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -75,14 +77,16 @@ def rolling_sums(
         "_us": micros(ts), "_w": weight.cast("bigint"), "_v": F.coalesce(F.lit(0.0) if value is None else value, F.lit(0.0)),
     }))
     timed = rows.where("_us IS NOT NULL")
-    n, limit = timed.count(), rows_per_chunk or ROWS_PER_CHUNK
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    chunks = min(MOST_CHUNKS, max(math.ceil(n / limit), min(cores, n // min(limit, MIN_ROWS_PER_CHUNK)), 1))
-    cuts, hot, sample = _cuts(timed, n, chunks)
-    places = np.array(cuts, np.int64)
-    times = np.array(sample, np.int64)
-    copies = np.searchsorted(places, times + width, "right") - np.searchsorted(places, times, "right")
-    if len(copies) and copies.mean() > MOST_COPIES:
+    n, cores = timed.count(), df.sparkSession.sparkContext.defaultParallelism
+    for limit in [rows_per_chunk] if rows_per_chunk else [FRAME_ROWS, ROWS_PER_CHUNK]:
+        chunks = min(MOST_CHUNKS, max(math.ceil(n / limit), min(cores, n // min(limit, MIN_ROWS_PER_CHUNK)), 1))
+        cuts, hot, sample = _cuts(timed, n, chunks)
+        places = np.array(cuts, np.int64)
+        times = np.array(sample, np.int64)
+        copies = np.searchsorted(places, times + width, "right") - np.searchsorted(places, times, "right")
+        if not len(copies) or copies.mean() <= MOST_COPIES:
+            break
+    else:
         return None
     bounds = array_literal(cuts, "array<bigint>")
     is_hot = F.array_contains(array_literal(hot, "array<bigint>"), F.col("_us")) if hot else F.lit(False)
