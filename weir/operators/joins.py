@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.duration import window_micros
 from ..plans.lookups import lookup_join
+from ..plans.ordering import spread
 from ..plans.streams import Stream, arrival, of_stream, require_id
 
 
@@ -33,13 +34,14 @@ def zip_join(
         _a=("sum", side_a.cast("int")), _b=("sum", side_b.cast("int")),
     )
     done = F.when(F.col("_rank") == 0, F.struct("_a", "_b"))
-    scan = scan.scan(_done=("last", done)).df
+    scan = scan.scan(_done=("last", done))
     seen = lambda side: F.col(side) - F.coalesce(F.col("_done")[side], F.lit(0)) - 1
     # Partners meet in a group of two. (A self-join would run the scan once per side.)
-    sides = scan.where(side_a | side_b).select(
+    sides = scan.df.where(side_a | side_b).select(
         "epoch", F.when(side_a, seen("_a")).otherwise(seen("_b")).alias("idx"), "_m1", "_m2"
     )
-    pairs = sides.groupBy("epoch", "idx").agg(
+    # Shuffled before they are grouped: halves that are a chunk apart or more don't shrink in the chunk's own task.
+    pairs = spread(sides, ["epoch", "idx"], scan.width).groupBy("epoch", "idx").agg(
         F.first("_m1", ignorenulls=True).alias("A"), F.first("_m2", ignorenulls=True).alias("B")
     )
     return pairs.where(F.col("A").isNotNull() & F.col("B").isNotNull())

@@ -34,7 +34,11 @@ from pyspark.sql import types as T
 from ..functions.expressions import array_literal, count_le, with_count_le
 from .tables import scratch_path, stored
 
-ROWS_PER_CHUNK = 1_000_000
+ROWS_PER_CHUNK = 100_000
+#: A task holds several chunks, as they are dealt by hash: of so many rows on average, none has much more than twice as many.
+ROWS_PER_TASK = 250_000
+#: Keys of more rows than this are cut.
+ROWS_PER_KEY = 250_000
 MIN_ROWS_PER_CHUNK = 20_000
 MAX_CHUNKS = 20_000
 SAMPLES_PER_CHUNK = 20
@@ -119,6 +123,17 @@ def _with_cut_index(df: DataFrame, order: list[str], cuts: list[tuple]) -> DataF
     return df.withColumn(CHUNK, F.when(F.col(order[0]).isin(hot), exact).otherwise(F.col(CHUNK)))
 
 
+def spread(df: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """The rows shuffled by ``keys`` into so many tasks, where the session has fewer cores or shuffle partitions.
+
+    Up to as many tasks as cores are left to Spark, which else puts partitions together by their compressed size,
+    however many rows that is.
+    """
+    spark = df.sparkSession
+    enough = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df if tasks <= enough else df.repartition(tasks, *keys)
+
+
 class Ordered:
     """Rows cut into chunks along ``order``, ready for running aggregates.
 
@@ -132,6 +147,7 @@ class Ordered:
     ):
         self.df, self.order, self.by = df, order, by
         self.chunked, self.carry, self.tasks = chunked, carry, tasks
+        self.width = tasks
         if carry and _storable(df.schema):
             self.df, self.tasks = _bucketed(df, self.keys, order, max(tasks, 1)), 0
 
@@ -142,15 +158,13 @@ class Ordered:
     def replace(self, df: DataFrame) -> Ordered:
         """The same chunks over a narrower or widened row."""
         out = Ordered(df, self.order, self.by, self.chunked, carry=False)
-        out.carry = self.carry
+        out.carry, out.width = self.carry, self.width
         return out
 
     def spread(self, keys: list[str]) -> DataFrame:
-        """The rows shuffled by ``keys`` into as many tasks as there are chunks, where the
-        session's number of shuffle partitions is lower. The windows keep this partitioning."""
-        if self.tasks <= int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-            return self.df
-        return self.df.repartition(self.tasks, *keys)
+        """The rows shuffled by ``keys`` into tasks of ROWS_PER_TASK, where the session's shuffles may give
+        larger ones. The windows keep this partitioning."""
+        return spread(self.df, keys, self.tasks)
 
     def scan(self, exclusive: bool = False, **running: tuple[str, Column]) -> Ordered:
         """Add running aggregates: ``name=(kind, column)``, kind one of sum, min, max, last.
@@ -239,11 +253,11 @@ def ordered(
     by = list(by or [])
     if bounded:
         return Ordered(df, order, by, chunked=False, carry=False)
-    limit = rows_per_chunk or ROWS_PER_CHUNK
     df = _once(df)
     n = df.count()
     if by:
-        return _ordered_by(df, order, by, n, limit)
+        return _ordered_by(df, order, by, n, rows_per_chunk or ROWS_PER_KEY)
+    limit = rows_per_chunk or ROWS_PER_CHUNK
     cores = df.sparkSession.sparkContext.defaultParallelism
     smallest = min(limit, MIN_ROWS_PER_CHUNK)
     chunks = min(MAX_CHUNKS, max(math.ceil(n / limit), min(cores, n // smallest), 1))
@@ -255,7 +269,7 @@ def ordered(
 def _tasks(df: DataFrame, n: int, pieces: int) -> int:
     """Into how many tasks to shuffle n rows in so many chunks: several small chunks share one."""
     shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(math.ceil(n / ROWS_PER_CHUNK), min(pieces, shuffled))
+    return max(math.ceil(n / ROWS_PER_TASK), min(pieces, shuffled))
 
 
 def _ordered_by(df, order, by, n, limit) -> Ordered:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expressions import array_literal, micros, with_count_le
-from .ordering import CHUNK, MIN_ROWS_PER_CHUNK, ROWS_PER_CHUNK, SAMPLES_PER_CHUNK, _once, _sample
+from .ordering import CHUNK, MIN_ROWS_PER_CHUNK, SAMPLES_PER_CHUNK, _once, _sample
 from .trailing import trailing_sums
 
 #: More copies of a row than this on average, and the caller's other plan is the better one.
@@ -30,6 +30,8 @@ MOST_COPIES = 1.0
 MOST_CHUNKS = 20_000
 #: A task holds a chunk and its halo in Python, so chunks are cut smaller than those of Spark's own windows.
 FRAME_ROWS = 250_000
+#: Larger chunks, for windows that would copy too many rows otherwise.
+ROWS_PER_CHUNK = 1_000_000
 
 
 def running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
