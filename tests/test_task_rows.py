@@ -31,3 +31,14 @@ def test_zip_join_groups_in_bounded_tasks(spark, two_partitions):
     pairs = weir.zip_join(df, df.withColumn("ts", F.timestamp_micros(F.col("id") + 10)))
     assert pairs.where("A.id = B.id").count() == 700_000
     assert most_rows(pairs) <= 250_000
+
+
+def test_histogram_reads_have_bounded_tasks(spark, two_partitions):
+    """Labels are dealt before each is given all polls, and no task sums up what it gave them."""
+    df = spark.range(3_000).withColumn("ts", F.timestamp_micros("id"))
+    polls = spark.range(100).select(F.timestamp_micros(F.lit(10_000) + F.col("id")).alias("ts"))
+    out = weir.histogram_at(df, polls, "id", "1s", long=True)
+    assert out.where("Count = 1").count() == out.count() == 300_000
+    assert most_rows(out) <= 100_000
+    assert "keys=[Label#" in (text := out._jdf.queryExecution().toString()) and "_lo#" not in "".join(
+        line for line in text.splitlines() if "HashAggregate" in line)

@@ -7,6 +7,8 @@ every ``*_at`` operator returns its rows with the state as of each poll. Arrival
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,10 @@ from pyspark.sql import types as T
 from ..functions.duration import window_micros
 from ..functions.expressions import array_literal, as_col, label_text, micros, with_count_le
 from ..plans.lookups import lookup_join
-from ..plans.ordering import ordered
+from ..plans.ordering import ROWS_PER_TASK, ordered, spread
 from ..plans.rolling import rolling_sums
 from ..plans.streams import Stream, arrival, merged, of_stream, require_id
+from ..plans.tables import stored
 from ..plans.trailing import few_polls, few_spans, span_counts, trailing_sums
 
 RECENT_ROWS = 200_000
@@ -141,18 +144,23 @@ def histogram_at(
     first = labelled.groupBy("Label").agg(F.min("_us").alias("_first"))
     asked = polls.withColumn("_us", micros(poll_ts))
     times = few_polls(asked, "_us")
+    tasks = 0
     if times is None:
         reads = _later_polls(first, asked.select("_us").distinct(), rows_per_chunk)
     elif not times:
         reads = first.select("Label", F.col("_first").alias("_us")).where(F.lit(False))
     else:
         all_times = array_literal(times, "array<bigint>")
-        first = with_count_le(first, "_before", all_times, len(times), F.col("_first") - 1)
+        first = stored(with_count_le(first, "_before", all_times, len(times), F.col("_first") - 1), "labels")
+        # Every label has two reads for each later poll, and at most one slot before each read.
+        n = first.agg(F.sum(F.lit(4) * (F.lit(len(times)) - F.col("_before")))).first()[0] or 0
+        tasks = max(1, math.ceil(n / ROWS_PER_TASK))
+        first = spread(first, ["Label"], tasks)
         later = F.slice(all_times, F.col("_before") + 1, F.lit(len(times)))
         reads = first.select("Label", F.explode(later).alias("_us"))
     spans = None if times is None else [(t - width, t) for t in times]
     counts = span_counts(
-        labelled, reads.withColumn("_lo", F.col("_us") - width), ["Label"], spans, rows_per_chunk
+        labelled, reads.withColumn("_lo", F.col("_us") - width), ["Label"], spans, rows_per_chunk, tasks
     ).select("_us", "Label", F.col("_n").cast("double").alias("Count"))
     if long:
         return asked.join(counts, "_us").select(*polls.columns, "Label", "Count")

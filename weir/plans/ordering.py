@@ -244,15 +244,16 @@ def ordered(
     by: list[str] | None = None,
     rows_per_chunk: int | None = None,
     bounded: bool = False,
+    tasks: int = 0,
 ) -> Ordered:
     """Cut ``df`` into chunks along ``order``; see the module text.
 
     ``bounded`` states that every group of ``by`` is known to be small, which saves the look at
-    the data. Otherwise two small jobs run here: a count, and a sample of the keys.
+    the data; ``tasks`` then says how many tasks the rows are worth. Otherwise two small jobs run here: a count, and a sample of the keys.
     """
     by = list(by or [])
     if bounded:
-        return Ordered(df, order, by, chunked=False, carry=False)
+        return Ordered(df, order, by, chunked=False, carry=False, tasks=tasks)
     df = _once(df)
     n = df.count()
     if by:

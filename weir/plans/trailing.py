@@ -70,12 +70,14 @@ def span_counts(
     by: list[str] | None = None,
     spans: list[tuple[int, int]] | None = None,
     rows_per_chunk: int | None = None,
+    tasks: int = 0,
 ) -> DataFrame:
     """Number of events with ``_lo <= t <= _us`` for every distinct ``(by, _lo, _us)`` of ``polls``:
     ``by``, ``_us``, ``_n``.
 
     ``events`` has ``by``, ``_us`` and a unique ``_id``; ``polls`` may have a unique ``_id`` too. ``spans`` are all the ``(_lo, _us)`` when they
-    are few (see ``few_spans``); each key then has at most a few rows per poll.
+    are few (see ``few_spans``); each key then has at most a few rows per poll. With ``tasks``, the polls are known to be
+    distinct, and the rows are dealt to at least so many tasks by key.
     """
     by = list(by or [])
     values = events.select(*by, "_us", "_id")
@@ -90,12 +92,14 @@ def span_counts(
         F.struct(F.col("_lo").alias("_t"), F.lit(0).alias("_rank")),
     )
     id_type = values.schema["_id"].dataType
-    reads = _asked(polls, [*by, "_lo", "_us"], id_type, spans is not None).select(
+    cols = [*by, "_lo", "_us"]
+    asked = polls.select(*cols, F.lit(None).cast(id_type).alias("_id")) if tasks else _asked(polls, cols, id_type, spans is not None)
+    reads = asked.select(
         *by, F.col("_us").alias("_poll"), "_id", F.inline(ends)
     ).select(*by, "_t", "_rank", "_id", F.lit(0).cast("bigint").alias("_w"), "_poll")
     scan = ordered(
         rows.unionByName(reads), ["_t", "_rank", "_id"], by, rows_per_chunk,
-        bounded=spans is not None,
+        bounded=spans is not None, tasks=tasks,
     ).scan(_seen=("sum", F.col("_w")))
     # Polls of the same time read the same values, so the largest of them is the one.
     read = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_seen")))
