@@ -444,6 +444,13 @@ def test_token_files(edge, none):
     assert order == sorted(order, key=lambda x: (x is not None, x))
 
 
+def test_token_files_without_ids(edge):
+    """The same rows, with no ids on their way out of the tasks that read them."""
+    whole, lean = token_files(edge, WORD), token_files(edge, WORD, with_ids=False)
+    assert lean.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(lean.collect(), key=lambda r: r.start) == sorted(whole.drop("ids").collect(), key=lambda r: r.start)
+
+
 def test_ids_of_documents_stay_whole(spark):
     """Ids beyond 2^53 beside a null one, and text ids; no setting of the session is left behind."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")

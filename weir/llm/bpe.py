@@ -16,6 +16,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -197,7 +198,7 @@ class Bpe:
     def codes(self, runs: list[str]) -> np.ndarray:
         """Places of the runs in the cache."""
         known = self.cache.index.get
-        codes = np.array([known(r, -1) for r in runs], np.int64)
+        codes = np.fromiter(map(known, runs, repeat(-1)), np.int64, len(runs))
         new = np.flatnonzero(codes < 0).tolist()
         if new:
             self.learn(list({runs[i] for i in new}))

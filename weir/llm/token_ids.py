@@ -39,7 +39,9 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
     more = (v >= 1 << 8).astype(np.uint8) + (v >= 1 << 16) + (v >= 1 << 24)
-    data = v.view(np.uint8).reshape(-1, 4)[PLACES <= more[:, None]]
+    # columns that no value uses are left out
+    used = int(more.max(initial=0)) + 1
+    data = v.view(np.uint8).reshape(-1, 4)[:, :used][PLACES[:used] <= more[:, None]]
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = more
     return (codes.reshape(-1, 4) << (2 * PLACES)).sum(axis=1).astype(np.uint8).tobytes(), data.tobytes()
@@ -48,8 +50,9 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of a block."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    used = int(lengths.max(initial=1))
     out = np.zeros((n, 4), np.uint8)
-    out[PLACES < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    out[:, :used][PLACES[:used] < lengths[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").reshape(-1)
 
 
@@ -147,8 +150,11 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, b
     )).write.parquet(f"{folder}/blocks")
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (binary) from the files alone."""
+def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (binary) from the files alone.
+
+    All ids are read and summed up; without ``with_ids`` they don't leave the task that reads them.
+    """
     table = spark.read.schema("ids array<long>").parquet(f"{folder}/ranks").collect()
     by_rank = spark.sparkContext.broadcast(np.array(table[0][0], "<u4"))
     blocks = spark.read.parquet(f"{folder}/blocks")
@@ -156,7 +162,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     chunks = blocks.groupBy("chunk").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
     earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select("chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,20 +171,21 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 ids = by_rank.value[unpack(cell("control"), cell("data"), cell("n_ids"))]
                 lengths = b["lengths"][at].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(lengths)
-                raw = [ids[i:j].tobytes() for i, j in zip(ends - lengths, ends)]
+                raw = ids.view(np.uint8)
+                parts = [raw[4 * i:4 * j] for i, j in zip((ends - lengths).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     b["doc_ids"][at].values, pa.array(cell("first") + cell("before") + ends - lengths), pa.array(lengths),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary()),
+                    pa.array([zlib.crc32(x) for x in parts], pa.int64()), *([pa.array([x.tobytes() for x in parts], pa.binary())] if with_ids else []),
                 ], names=names)
 
     id_kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     return blocks.join(small_side(starts, 16), "chunk").mapInArrow(
-        run, f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long, ids binary"
+        run, f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     )
 
 
-def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """Write the ids of all documents below the shared folder and read the files back."""
+def token_files(docs: DataFrame, path: str, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+    """Write the ids of all documents below the shared folder and read the files back; see ``read_ids``."""
     folder = scratch_path(docs.sparkSession, "token-files")
     write_ids(docs, path, folder, end_id)
-    return read_ids(docs.sparkSession, folder)
+    return read_ids(docs.sparkSession, folder, with_ids)

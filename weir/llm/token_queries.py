@@ -15,7 +15,7 @@ from .token_ids import token_files
 
 @query("op5_token_files")
 def op5(spark: SparkSession, d: str) -> DataFrame:
-    rows = token_files(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    rows = token_files(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
