@@ -287,6 +287,22 @@ def test_jaccard_join_in_parts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(df).collect()} == want
 
 
+def test_jaccard_join_reads_texts_once_for_sets_and_signatures(spark):
+    """One pass gives sets and signatures; the two others join texts to the pairs to verify, of which there are none."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_components(df.mapInArrow(count, df.schema)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, 26, i) for i, _ in docs}
+    assert seen.value <= 600
+
+
 def one_edit(a, b):
     a, b = sorted((a, b), key=len)
     i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))

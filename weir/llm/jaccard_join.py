@@ -174,29 +174,38 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """sig, member of all sets; copies in one task sign once."""
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), member (hash of the set, null for an empty one), sigs: its signatures, or null where the set is
+    empty or its task has signed an equal one before. One pass over the texts serves for all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         hashes = Hashes()
         for b in batches:
-            sig, member = [], []
+            n, member, sigs = [], [], []
             for t in b["text"]:
                 s = shingles(t.as_py(), hashes)
                 m = member_of(s)
+                n.append(len(s))
+                member.append(m)
                 if m is None or m in seen:
+                    sigs.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(m)
-                for band, k in bands_of(len(s)):
-                    keys = signatures(s, band, k)
-                    sig.append(keys.view(np.int64))
-                    member.append(np.full(len(keys), m, np.int64))
-            if sig:
-                yield pa.record_batch({"sig": np.concatenate(sig), "member": np.concatenate(member)})
+                sigs.append(np.concatenate([signatures(s, band, k) for band, k in bands_of(len(s))]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(n, pa.int32()), pa.array(member, pa.int64()), pa.array(sigs, SET)],
+                names=["doc_id", "n", "member", "sigs"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, member long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, n int, member long, sigs array<bigint>")
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """sig, member of all sets of described rows; copies in one task sign once."""
+    return rows.select(F.explode("sigs").alias("sig"), "member")
 
 
 def linked(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -287,13 +296,15 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         "member", F.coalesce("component", "member").alias("component"))
 
 
-def crowded(docs: DataFrame, owners: DataFrame) -> DataFrame:
+def crowded(docs: DataFrame, owners: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """sig, parts: signatures that many members have, as those members tell whose hash is a multiple of SAMPLE.
 
-    It only decides how rows are shuffled, never which.
+    It only decides how rows are shuffled, never which. ``rows`` are all documents as described, if they are stored.
     """
-    some = owners.where(F.pmod("member", F.lit(SAMPLE)) == 0).select("doc_id")
-    n = signed(docs.join(small_side(some, 16), "doc_id", "left_semi")).groupBy("sig").agg((F.count("*") * SAMPLE).alias("n"))
+    some = F.pmod("member", F.lit(SAMPLE)) == 0
+    if rows is None:
+        rows = described(docs.join(small_side(owners.where(some).select("doc_id"), 16), "doc_id", "left_semi"))
+    n = signed(rows.where(some)).distinct().groupBy("sig").agg((F.count("*") * SAMPLE).alias("n"))
     return stored(n.where(F.col("n") > PART_ROWS).select("sig", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "near-crowded")
 
 
@@ -317,14 +328,14 @@ def after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({name: pa.array(x, pa.int64()) for name, x in columns.items()})
 
 
-def shared_signatures(docs: DataFrame, owners: DataFrame) -> DataFrame:
+def shared_signatures(docs: DataFrame, owners: DataFrame, described_rows: DataFrame) -> DataFrame:
     """sig, member, pivot (least member of the signature, another than this one).
 
     One shuffle by signature serves to drop repeats, find pivots and drop signatures of one member; a crowded signature
     is dealt to several tasks by member, and what each found least is put together.
     """
     split = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("member"), "parts"))
-    rows = signed(docs).join(small_side(crowded(docs, owners), 16), "sig", "left").select("sig", "member", split.alias("part"))
+    rows = signed(described_rows).join(small_side(crowded(docs, owners, described_rows), 16), "sig", "left").select("sig", "member", split.alias("part"))
     dealt = rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "member")
     found = stored(dealt.mapInArrow(after_first, "sig long, member long, part long, low long"), "near-found")
     whole = stored(found.where("part >= 0").groupBy("sig").agg(F.min("low").alias("least")), "near-ends")
@@ -332,9 +343,9 @@ def shared_signatures(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.where("pivot <> member").select("sig", "member", "pivot")
 
 
-def near_links(docs: DataFrame, owners: DataFrame) -> DataFrame:
+def near_links(docs: DataFrame, owners: DataFrame, described_rows: DataFrame) -> DataFrame:
     """Links a, b between members, enough of them to connect all that are connected."""
-    shared = shared_signatures(docs, owners)
+    shared = shared_signatures(docs, owners, described_rows)
     stars = shared.groupBy("pivot", "member").agg(F.count("*").alias("k"))
     ranked = stored(stars.select(
         F.col("pivot").alias("a"), F.col("member").alias("b"),
@@ -392,9 +403,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     short_batches(docs.sparkSession)
     texts = pick(docs, "doc_id", "text")
-    rows = stored(sets(texts), "near-members")
+    rows = stored(described(texts), "near-members")
     owners = stored(rows.where("member is not null and doc_id is not null").groupBy("member").agg(F.min("doc_id").alias("doc_id")), "near-owners")
-    found = stored(components(near_links(texts, owners)), "near-components")
+    found = stored(components(near_links(texts, owners, rows)), "near-components")
     named = found.toDF("member", "component").join(owners, "member").groupBy("component").agg(F.min("doc_id").alias("least"))
     linked_members = found.toDF("member", "component").join(named, "component").select("member", "least")
     classes = owners.join(linked_members, "member", "left").select("member", F.least("doc_id", "least").alias("component_id"))
