@@ -19,7 +19,7 @@ from weir.llm.decontaminate import clean_documents, contamination
 from weir.llm.ended import EndedBpe
 from weir.llm.jaccard_join import near_components, one_of_each
 from weir.llm.licenses import license_scan
-from weir.llm.line_dedup import line_dedup, within_one, without_repeats, word_marks
+from weir.llm.line_dedup import letter_counts, letters_apart, line_dedup, within_one, without_repeats, word_marks
 from weir.llm.personal import luhn, mod_97, personal_data
 from weir.llm.quality import good_documents, quality
 from weir.llm.sharding import best_fit, fit_shards, shard_documents
@@ -401,6 +401,37 @@ def test_line_dedup_with_more_edits(spark, monkeypatch):
     assert sum(r.n_removed for r in line_dedup(df).collect()) < sum(want.values())
 
 
+def test_letters_apart(spark):
+    """Never more than the edits between two lines, and enough to tell lines with other words apart."""
+    rng, rows = random.Random(4), []
+    words = ["".join(rng.choice("etaoinsrhldcumfpé") for _ in range(rng.randrange(3, 8))) for _ in range(200)]
+    for _ in range(300):
+        s = t = " ".join(rng.choices(words, k=30))
+        n = rng.randrange(5)
+        for _ in range(n):
+            p = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:p] + rng.choice("ex ") + t[p:], t[:p] + t[p + 1 :], t[:p] + rng.choice("ty") + t[p + 1 :]])
+        other = " ".join(rng.choice(words) if i % 5 == 0 else w for i, w in enumerate(s.split(" ")))
+        rows.append((s, t, other, n))
+    df = spark.createDataFrame(rows, "a string, b string, c string, n int")
+    x, y, z = (letter_counts(F.col(c)) for c in "abc")
+    got = df.select(letters_apart(x, y).alias("edited"), letters_apart(x, z).alias("other"), "n").collect()
+    assert all(r.edited <= r.n for r in got)
+    assert sum(r.other > 4 for r in got) > 250
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Of a line with many copies few make keys; its near lines are still found, also where none of its documents has an id."""
+    rng = random.Random(6)
+    x, y = ("".join(rng.choice("abcdefgh é") for _ in range(90)) for _ in range(2))
+    docs = [(i, x) for i in range(3, 40)] + [(None, y)] * 30 + [(50, x[:40] + "Q" + x[41:]), (51, y[1:] + "Q"), (52, x[:10] + y[:80]), (2, x + "QQ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for copies in (100, 5):
+        monkeypatch.setattr("weir.llm.line_dedup.COPIES", copies)
+        got = {(r.doc_id, r.n_removed) for r in line_dedup(df, 4).collect()}
+        assert got == {(2, 0), (50, 1), (51, 0), (52, 0), (None, 1)} | {(i, 1) for i in range(3, 40)}
+
+
 def test_word_marks(spark):
     rng, rows = random.Random(3), []
     for _ in range(400):

@@ -15,8 +15,10 @@ depend on the length within the class. A line is indexed under each of its segme
 class, and in the class below if a line as many characters shorter as it may be lies there. Of linked lines, one segment j (from 0)
 of the shorter is free of edits with j edits to its left and at most allowed - j to its right (edits to the left less j start at 0,
 end below 0 and only sink by 1, over a free segment), so shifts go up to j from the start and up to allowed - j from the end: 13 keys
-for four edits, whatever the lengths. The lines of a key are first compared with one of them; keys whose lines are then not all
-connected are compared in blocks, by parities of their words, which rule out most other lines, then Spark's banded edit distance. Key tables hold hashes only; texts are read for lines of shared keys.
+for four edits, whatever the lengths. All keys are dealt out once, with the line's hash, and those of different lines kept where they
+arrive; of a line with very many copies only those in one document make keys. The lines of a key are first compared with one of them;
+keys whose lines are then not all connected are compared in blocks. Pairs are compared by lengths and counts of common letters, which
+rule out most, then Spark's banded edit distance. Key tables hold hashes only; texts are read for lines of shared keys.
 
 Of each class of linked lines the first line (least doc_id, then place) stays, the others are removed from their
 texts. Only SQL functions are used. A hot line or key is summed before it is shuffled, and otherwise only joined.
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lookups import lookup_join
@@ -46,6 +48,11 @@ LEAST = 16
 #: Lines, and characters, of a block.
 BLOCK_LINES = 64
 BLOCK_CHARS = 1 << 16
+#: Copies of a line from which it is hot, and the most hot lines; of larger tables, as many copies as leave no more.
+COPIES = 100
+HOT_LINES = 20_000
+#: One byte each in UTF-8; other letters are not counted.
+LETTERS = "etaoinsrhldcumfp"
 LEAVES = 4
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -56,6 +63,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD)).withColumn("h", F.xxhash64("line"))
 
 
+def line_list(docs: DataFrame) -> DataFrame:
+    """doc_id, place, h of each line with a word; short: its text, if it has LEAST to FAR characters."""
+    short = F.when(F.char_length("line").between(LEAST, FAR), F.col("line"))
+    return lines_of(docs).select("doc_id", "place", "h", short.alias("short"))
+
+
 def leaf_keys(line: Column) -> Column:
     """Array of key, role (0 indexed, 1 probing for lines one shorter), start and length of the leaf."""
     def keys(n: Column) -> Column:
@@ -159,14 +172,15 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     n, low, allowed = F.col("n"), F.col("low"), F.col("allowed")
     own, below = length_class(n, edits), length_class(F.greatest(F.lit(FAR), n - edits), edits)
     classes = F.when(own == below, F.array(own)).otherwise(F.array(own, below))
-    rows = lines.withColumn("n", F.char_length("line")).select("h", "line", "n", F.posexplode(classes).alias("other", "low"))
+    wide = lines.select("h", F.encode("line", "UTF-32").alias("wide"))  # four bytes a character: places need no walk through the text
+    rows = wide.withColumn("n", F.shiftright(F.octet_length("wide"), 2)).select("h", "wide", "n", F.posexplode(classes).alias("other", "low"))
     rows = rows.withColumn("allowed", F.least(F.lit(edits), F.floor(low / PER_EDIT)).cast("int"))
     table = F.array(*[F.array(*[F.lit(x) for x in (probes(e) if e * PER_EDIT >= FAR else [])]).cast("array<int>") for e in range(1, edits + 1)])
-    rows = rows.select("h", "line", "n", "other", "low", "allowed", F.explode(F.element_at(table, allowed)).alias("x"))
+    rows = rows.select("h", "wide", "n", "other", "low", "allowed", F.explode(F.element_at(table, allowed)).alias("x"))
     j, shift, size = F.shiftright("x", 6), F.col("x").bitwiseAND(63) - 32, F.floor(low / (allowed + 1)).cast("int")
     start = F.when(j * 2 <= allowed, j * size).otherwise(n - (allowed - j + 1) * size) + shift
     return rows.select(
-        F.xxhash64(low, j, F.substr("line", start + 1, size)).alias("key"), "h",
+        F.xxhash64(low, j, F.substr("wide", start * 4 + 1, size * 4)).alias("key"), "h",
         ((shift == 0) & (F.col("other") == 0)).alias("indexed"), "allowed")
 
 
@@ -178,63 +192,94 @@ def word_marks(line: Column) -> Column:
     return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), turn)
 
 
-def far_links(docs: DataFrame, edits: int) -> DataFrame:
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS is in the line."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def letters_apart(x: Column, y: Column) -> Column:
+    """Of two lines' counts: letters that one line has more than the other, the larger of both ways. An edit adds and takes away one at most."""
+    def more(a: Column, b: Column) -> Column:
+        return reduce(lambda m, n: m + n, [F.greatest(F.get(a, i) - F.get(b, i), F.lit(0)) for i in range(len(LETTERS))])
+
+    return F.greatest(more(x, y), more(y, x))
+
+
+def thinned(lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """h, line of the lines, of a hot one only those in its first document, if that has a doc_id."""
+    copies = stored(listed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COPIES), "line-copies")
+    limit = max(COPIES, listed.count() // HOT_LINES)
+    hot = listed.join(F.broadcast(copies.where(F.col("n") > limit).select("h")), "h").groupBy("h").agg(F.min("doc_id").alias("hot_doc"))
+    rows = lines.join(F.broadcast(hot.withColumnRenamed("h", "hot")), F.col("h") == F.col("hot"), "left")
+    return rows.where("hot_doc is null or doc_id = hot_doc").select("h", "line")
+
+
+def far_links(docs: DataFrame, listed: DataFrame, edits: int) -> DataFrame:
     """a, b: hashes of lines of FAR characters or more (the longer of a link may have more), enough links to connect all that links connect."""
-    lines = lines_of(docs).where(F.char_length("line") >= FAR).select("h", "line")
-    every = segment_keys(lines, edits)
-    keys = stored(every.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("indexed").alias("indexed")).where(
-        "least < most and indexed").select("key"), "line-segments")
-    members = stored(every.join(small_side(keys, 16), "key").groupBy("key", "h", "allowed").agg(F.max("indexed").alias("indexed")), "line-members")
+    lines = lines_of(docs).where(F.char_length("line") >= FAR)
+    key = Window.partitionBy("key")
+    every = segment_keys(thinned(lines, listed), edits).select(
+        "*", F.min("h").over(key).alias("least"), F.max("h").over(key).alias("most"), F.max("indexed").over(key).alias("any"))
+    members = stored(every.where(F.col("any") & (F.col("least") < F.col("most"))).groupBy("key", "h", "allowed").agg(
+        F.max("indexed").alias("indexed")), "line-members")
     wanted = members.select("h").distinct()
-    texts = stored(lines.join(small_side(wanted, 16), "h").groupBy("h").agg(F.any_value("line").alias("line")).select(
-        "h", F.struct("line", word_marks(F.col("line")).alias("marks")).alias("text")), "line-texts")
+    texts = stored(lines.select("h", "line").join(small_side(wanted, 16), "h").groupBy("h").agg(F.any_value("line").alias("line")).select(
+        "h", "line", F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("counts")), "line-texts")
+    looks = texts.select("h", F.struct("n", "counts").alias("look"))
+
+    def alike(x: Column, y: Column, allowed: Column) -> Column:
+        return (F.abs(x["n"] - y["n"]) <= allowed) & (letters_apart(x["counts"], y["counts"]) <= allowed)
 
     def close(x: Column, y: Column, allowed: Column) -> Column:
-        alike = F.bit_count(x["marks"].bitwiseXOR(y["marks"])) <= 3 * allowed
         far = edits + 1  # the distance is -1 where it exceeds edits; worked out once for each pair
-        return alike & (F.pmod(F.levenshtein(x["line"], y["line"], edits), F.lit(far + 1)) <= allowed)
+        return F.pmod(F.levenshtein(x, y, edits), F.lit(far + 1)) <= allowed
 
     pivots = members.where("indexed").groupBy("key").agg(F.min("h").alias("a"))
-    tried = lookup_join(members, pivots.toDF("pivot_key", "a"), ["key"], ["pivot_key"], "inner").where("a <> h").groupBy("a", "h").agg(
-        F.max("allowed").alias("allowed"))
-    tried = lookup_join(tried, texts.toDF("a_h", "text_a"), ["a"], ["a_h"], "inner").select("a", "text_a", F.col("h").alias("b"), "allowed")
-    tried = lookup_join(tried, texts.toDF("b_h", "text_b"), ["b"], ["b_h"], "inner")
-    direct = stored(tried.where(close(F.col("text_a"), F.col("text_b"), F.col("allowed"))).select("a", "b"), "line-direct")
+    tried = lookup_join(members, pivots.toDF("pivot_key", "a"), ["key"], ["pivot_key"], "inner").where("a <> h").groupBy(
+        "a", F.col("h").alias("b")).agg(F.max("allowed").alias("allowed"))
+    tried = lookup_join(tried, looks.toDF("a_h", "look_a"), ["a"], ["a_h"], "inner")
+    tried = lookup_join(tried, looks.toDF("b_h", "look_b"), ["b"], ["b_h"], "inner")
+    tried = tried.where(alike(F.col("look_a"), F.col("look_b"), F.col("allowed"))).select("a", "b", "allowed")
+    tried = lookup_join(tried, texts.select(F.col("h").alias("a_h"), F.col("line").alias("line_a")), ["a"], ["a_h"], "inner")
+    tried = lookup_join(tried, texts.select(F.col("h").alias("b_h"), F.col("line").alias("line_b")), ["b"], ["b_h"], "inner")
+    direct = stored(tried.where(close(F.col("line_a"), F.col("line_b"), F.col("allowed"))).select("a", "b"), "line-direct")
     joined = components(direct).toDF("h", "component")
     known = stored(members.join(small_side(joined, 24), "h", "left").withColumn("component", F.coalesce("component", "h")), "line-known")
-    parted = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+    parted = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where(
+        "least < most and n > 2")  # of two lines, one is the key's pivot
     open_keys = lookup_join(known, parted.select(F.col("key").alias("open"), "n"), ["key"], ["open"], "inner")
-    open_keys = lookup_join(open_keys, texts.toDF("h_open", "text"), ["h"], ["h_open"], "inner").select("key", "h", "component", "indexed", "allowed", "text", "n")
+    whole = texts.select(F.col("h").alias("h_open"), F.struct("line", "n", "counts").alias("text"))
+    spread = stored(lookup_join(open_keys, whole, ["h"], ["h_open"], "inner").select("key", "h", "component", "indexed", "allowed", "text", "n"), "line-open")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_LINES), F.floor(BLOCK_CHARS / F.col("size"))))
-    spread = stored(open_keys, "line-open")
-    counts = spread.groupBy("key").agg(F.first("n").alias("n"), F.max(F.char_length("text.line")).alias("size")).select(
+    counts = spread.groupBy("key").agg(F.first("n").alias("n"), F.max("text.n").alias("size")).select(
         F.col("key").alias("many"), F.ceil(F.col("n") / room).alias("blocks"))
-    blocks = stored(lookup_join(spread, counts, ["key"], ["many"], "inner").groupBy("key", "allowed", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
+    blocks = stored(lookup_join(spread, counts, ["key"], ["many"], "inner").groupBy(
+        "key", "allowed", "blocks", F.pmod(F.xxhash64("h", "key"), "blocks").alias("block")).agg(
         F.collect_list(F.struct("h", "component", "indexed", "text")).alias("some")), "line-blocks")
-    both = blocks.join(blocks.select("key", F.col("block").alias("block_b"), F.col("some").alias("others")), "key").where("block <= block_b")
+    alone, many = blocks.where("blocks = 1").drop("blocks"), blocks.where("blocks > 1").drop("blocks")
+    both = many.join(many.select("key", F.col("block").alias("block_b"), F.col("some").alias("others")), "key").where("block <= block_b").unionByName(
+        alone.withColumns({"block_b": F.col("block"), "others": F.col("some")}))
 
     def paired(x: Column) -> Column:
         def fits(y: Column) -> Column:
             new = (x["component"] != y["component"]) & (x["indexed"] | y["indexed"]) & ((F.col("block") < F.col("block_b")) | (x["h"] < y["h"]))
-            return F.when(new, close(x["text"], y["text"], F.col("allowed"))).otherwise(False)
+            able = F.when(new, alike(x["text"], y["text"], F.col("allowed"))).otherwise(False)
+            return F.when(able, close(x["text"]["line"], y["text"]["line"], F.col("allowed"))).otherwise(False)
 
         return F.transform(F.filter("others", fits), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))
 
     return direct.union(both.select(F.inline(F.flatten(F.transform("some", paired)))).distinct())
 
 
-def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: hashes of lines, enough links to connect all lines that links connect."""
+def line_links(docs: DataFrame, listed: DataFrame, edits: int = EDITS) -> DataFrame:
+    """a, b: hashes of lines, enough links to connect all lines that links connect; ``listed``: their ``line_list``."""
     if edits <= EDITS:
-        return near_links(docs)
-    return near_links(docs, FAR).union(far_links(docs, edits))
+        return near_links(lines_of(docs).where(F.char_length("line") >= LEAST).select("h", "line"))
+    return near_links(listed.where("short is not null").select("h", F.col("short").alias("line"))).union(far_links(docs, listed, edits))
 
 
-def near_links(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """Of lines one edit apart; ``most``: only of lines of so many characters at most."""
-    long_lines = lines_of(docs).where(F.char_length("line") >= LEAST)
-    if most is not None:
-        long_lines = long_lines.where(F.char_length("line") <= most)
+def near_links(long_lines: DataFrame) -> DataFrame:
+    """Of lines (h, line) one edit apart."""
     every = long_lines.select("h", F.explode(F.transform(leaf_keys(F.col("line")), lambda k: k["key"])).alias("key"))
     keys = stored(shared(every), "line-keys")
     found = long_lines.select("h", "line", F.inline(leaf_keys(F.col("line")))).join(small_side(keys, 16), "key").select(
@@ -259,15 +304,15 @@ def near_links(docs: DataFrame, most: int | None = None) -> DataFrame:
 
 def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, places (array of the lines to remove) of the documents that have some."""
-    links = stored(components(line_links(docs, edits)), "line-classes")
-    lines = lines_of(docs).select("doc_id", "place", "h")
-    classes = lines.join(small_side(links.toDF("h", "component"), 24), "h", "left").select(
-        "doc_id", "place", F.coalesce("component", "h").alias("class"))
-    classes = stored(classes, "line-list")
-    each = classes.groupBy("class", "doc_id").agg(F.collect_set("place").alias("places"), F.min("place").alias("at"))
+    listed = stored(line_list(docs), "line-list")
+    links = stored(components(line_links(docs, listed, edits)), "line-classes")
+    classes = stored(listed.join(small_side(links.toDF("h", "component"), 24), "h", "left").select(
+        "doc_id", "place", F.coalesce("component", "h").alias("class")), "line-class-list")
     first = classes.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
-    mine = F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    gone = each.join(first, "class").select("doc_id", F.explode(F.when(mine, F.array_remove("places", F.col("at"))).otherwise(F.col("places"))).alias("place"))
+    again = stored(lookup_join(classes, first.select(F.col("class").alias("of"), "first_doc"), ["class"], ["of"], "inner").select(
+        "class", "doc_id", "place", F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("mine")), "line-again")
+    stays = again.where("mine").groupBy("class").agg(F.min("place").alias("stays"))
+    gone = lookup_join(again, stays.withColumnRenamed("class", "of"), ["class"], ["of"], "inner").where("not mine or place <> stays")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
