@@ -268,7 +268,8 @@ def far_links(docs: DataFrame, listed: DataFrame, edits: int) -> DataFrame:
 
         return F.transform(F.filter("others", fits), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))
 
-    return direct.union(both.select(F.inline(F.flatten(F.transform("some", paired)))).distinct())
+    found = joined.where("h <> component").select(F.col("h").alias("a"), F.col("component").alias("b"))  # connects what direct does
+    return found.union(both.select(F.inline(F.flatten(F.transform("some", paired)))).distinct())
 
 
 def line_links(docs: DataFrame, listed: DataFrame, edits: int = EDITS) -> DataFrame:
