@@ -296,7 +296,7 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         "member", F.coalesce("component", "member").alias("component"))
 
 
-def stars(labels: DataFrame) -> DataFrame:
+def known_links(labels: DataFrame) -> DataFrame:
     """Links a, b of labelled members that connect what the labels tell."""
     return labels.where("member <> component").select(F.col("member").alias("a"), F.col("component").alias("b"))
 
@@ -364,14 +364,14 @@ def near_links(docs: DataFrame, owners: DataFrame, described_rows: DataFrame) ->
         return ends.where("ca <> cb").select("a", "b")
 
     more = stored(bounded(docs, owners, apart(ranked.where("place > 1"))), "near-more")
-    links = stars(labels).union(stored(linked(docs, owners, more), "near-links"))
+    links = known_links(labels).union(stored(linked(docs, owners, more), "near-links"))
     labels = stored(labelled(members, links), "near-labels")
     rows = stored(still_open(shared, labels), "near-compared")
     known = with_parities(docs, owners, rows.select("member").distinct())
     tried = ranked.select("a", "b")
     for nearest in (True, False):
         fresh = stored(across(rows.join(known, "member"), nearest).join(tried, ["a", "b"], "left_anti"), "near-fresh")
-        links = stars(labels).union(stored(linked(docs, owners, fresh), "near-links"))
+        links = known_links(labels).union(stored(linked(docs, owners, fresh), "near-links"))
         if nearest:
             labels = stored(labelled(members, links), "near-labels")
             rows = stored(still_open(rows.select("sig", "member").distinct(), labels), "near-compared")
